@@ -380,6 +380,11 @@ def sort_numeric_text(spark, d):
 
 def _stats_sql(source: str, expr: str, name: str, dtype: str, number: str | None = None) -> str:
     """One statistics row in SQL. `number` is the numeric reading of the column, if it has one."""
+
+    def r(expression: str, digits: int) -> str:
+        # statistics round the binary value, with ties to even
+        return f"CAST(printf('%.{digits}f', {expression}) AS DOUBLE)"
+
     is_text = dtype == "string"
     value = f"CAST({number} AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
     longest = "length(x)" if is_text else "CAST(NULL AS BIGINT)"
@@ -396,23 +401,23 @@ def _stats_sql(source: str, expr: str, name: str, dtype: str, number: str | None
         else None
     )
     return f"""SELECT '{name}' AS column_name, '{dtype}' AS data_type, total_rows, non_null_count,
-      CASE WHEN total_rows = 0 THEN 0.0 ELSE round(100 - CAST(total_rows - non_null_count AS DOUBLE) / total_rows * 100, 1)
+      CASE WHEN total_rows = 0 THEN CAST(0 AS DOUBLE) ELSE {r('100 - CAST(total_rows - non_null_count AS DOUBLE) / total_rows * 100', 1)}
         END AS non_null_percentage,
       total_rows - non_null_count AS null_count,
-      CASE WHEN total_rows = 0 THEN 0.0 ELSE round(CAST(total_rows - non_null_count AS DOUBLE) / total_rows * 100, 1)
+      CASE WHEN total_rows = 0 THEN CAST(0 AS DOUBLE) ELSE {r('CAST(total_rows - non_null_count AS DOUBLE) / total_rows * 100', 1)}
         END AS null_percentage,
       unique_count,
-      CASE WHEN total_rows = 0 THEN 0.0 ELSE round(CAST(unique_count AS DOUBLE) / total_rows * 100, 1)
+      CASE WHEN total_rows = 0 THEN CAST(0 AS DOUBLE) ELSE {r('CAST(unique_count AS DOUBLE) / total_rows * 100', 1)}
         END AS unique_percentage,
       low AS min_value, high AS max_value,
-      CASE WHEN isfinite(mean) THEN round(mean, 2) END AS mean, round(q2, 2) AS median,
-      CASE WHEN isfinite(deviation) THEN round(deviation, 2) END AS std_dev,
+      CASE WHEN isfinite(mean) THEN {r('mean', 2)} END AS mean, {r('q2', 2)} AS median,
+      CASE WHEN isfinite(deviation) THEN {r('deviation', 2)} END AS std_dev,
       outliers AS outlier_count,
-      round(CAST(outliers AS DOUBLE) / non_null_count * 100, 1) AS outlier_percentage,
-      round(q1 - 1.5 * (q3 - q1), 2) AS outlier_lower_bound, round(q3 + 1.5 * (q3 - q1), 2) AS outlier_upper_bound,
+      {r('CAST(outliers AS DOUBLE) / non_null_count * 100', 1)} AS outlier_percentage,
+      {r('q1 - 1.5 * (q3 - q1)', 2)} AS outlier_lower_bound, {r('q3 + 1.5 * (q3 - q1)', 2)} AS outlier_upper_bound,
       {top.format('x') if top else 'CAST(NULL AS VARCHAR)'} AS most_common_value,
       {top.format('n') if top else 'CAST(NULL AS BIGINT)'} AS most_common_count,
-      min_length, max_length, round(avg_length, 1) AS avg_length,
+      min_length, max_length, {r('avg_length', 1)} AS avg_length,
       CAST({shown.format('first')} AS VARCHAR) AS earliest_date, CAST({shown.format('last')} AS VARCHAR) AS latest_date,
       {span} AS date_range_days
     FROM (SELECT count(*) AS total_rows, count(x) AS non_null_count, count(DISTINCT x) AS unique_count,
@@ -489,7 +494,7 @@ def stats_with_nulls(spark, d):
 
 @_query(
     """SELECT 'p_name' AS column_name, 'string' AS data_type, count(*) AS total_rows, CAST(0 AS BIGINT) AS non_null_count,
-      count(*) AS null_count, 100.0 AS null_percentage, 0.0 AS non_null_percentage, CAST(0 AS BIGINT) AS unique_count,
+      count(*) AS null_count, CAST(100 AS DOUBLE) AS null_percentage, CAST(0 AS DOUBLE) AS non_null_percentage, CAST(0 AS BIGINT) AS unique_count,
       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS BIGINT) AS max_length FROM part"""
 )
 def stats_all_null(spark, d):
@@ -502,7 +507,7 @@ def stats_all_null(spark, d):
 
 @_query(
     """SELECT 'p_size' AS column_name, 'int' AS data_type, count(*) AS total_rows, count(p_size) AS non_null_count,
-      0.0 AS null_percentage, 0.0 AS non_null_percentage, count(DISTINCT p_size) AS unique_count,
+      CAST(0 AS DOUBLE) AS null_percentage, CAST(0 AS DOUBLE) AS non_null_percentage, count(DISTINCT p_size) AS unique_count,
       CAST(NULL AS DOUBLE) AS mean FROM part WHERE p_size < -1"""
 )
 def stats_zero_rows(spark, d):
@@ -634,7 +639,7 @@ def _text_part(spark, d):
         F.when(F.col("p_partkey") % 7 == 0, "NA").otherwise(F.col("p_size").cast("string")).alias("size"),
         F.col("p_retailprice").cast("string").alias("price"),
         F.when(F.col("p_partkey") == 1999, "ACCFS-108").otherwise(F.col("p_size").cast("string")).alias("mixed"),
-        F.concat(F.lit("922337203685477"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("wide"),
+        F.concat(F.lit("922337203685478"), F.lpad(F.col("p_partkey").cast("string"), 4, "0")).alias("wide"),
         (F.col("p_size") > 20).cast("string").alias("large"),
         F.nullif("p_name", "p_name").alias("empty"),
     )
@@ -644,8 +649,7 @@ def _text_part(spark, d):
 @_query(
     """SELECT * FROM (VALUES ('key', 'bigint'), ('p_name', 'string'), ('size', 'bigint'), ('price', 'double'),
       ('large', 'boolean'), ('empty', 'string'),
-      ('wide', (SELECT CASE WHEN bool_and(TRY_CAST('922337203685477' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS BIGINT)
-        IS NOT NULL) THEN 'bigint' ELSE 'decimal(20,0)' END FROM part)),
+      ('wide', 'decimal(20,0)'),
       ('mixed', (SELECT CASE WHEN bool_or(p_partkey = 1999) THEN 'string' ELSE 'bigint' END FROM part))) t(name, type)"""
 )
 def infer_column_types(spark, d):
@@ -720,8 +724,8 @@ def truncate_cells(spark, d):
 
 
 @_query(
-    """SELECT event_id, strftime(ts, CASE WHEN microsecond(ts) % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%S'
-        ELSE '%Y-%m-%dT%H:%M:%S.%f' END) AS ts, user_id, event_type,
+    """SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+        ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts, user_id, event_type,
       CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS value, props FROM events"""
 )
 def wire_form(spark, d):

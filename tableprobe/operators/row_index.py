@@ -29,10 +29,9 @@ _FILE, _BLOCK, _SEQ, _OFFSET = "__file", "__block", "__seq", "__offset"
 def _knows(df: DataFrame, field: str) -> bool:
     """Whether the frame still carries this field of its file scan."""
     try:
-        df.select(f"_metadata.{field}")
+        return field in df.select("_metadata").schema["_metadata"].dataType.names
     except AnalysisException:
         return False
-    return True
 
 
 def plain_path(uri: str) -> str:

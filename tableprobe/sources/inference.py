@@ -37,7 +37,7 @@ _REAL = r"^(-?[0-9]+|[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?[0-9]
 _BOOLEAN = r"^(?i:true|false)$"
 
 #: The largest unsigned 64-bit integer.
-_UINT64_MAX = 2**64 - 1
+_UINT64_MAX = str(2**64 - 1)
 
 #: Columns whose types are decided in one job.
 _COLUMNS_PER_JOB = 32

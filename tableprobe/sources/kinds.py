@@ -25,7 +25,7 @@ _FAMILIES = {
     "datetime": "temporal",
 }
 
-_UINT64_MAX = 2**64 - 1
+_UINT64_MAX = str(2**64 - 1)
 _COLUMNS_PER_JOB = 32
 
 
