@@ -54,7 +54,8 @@ def classify_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """`path, size, size_text, modified, source_type` of every file below a folder.
 
     The listing does not open a file; of each only the first 16 bytes are read, in the tasks.
-    An unknown extension without the database magic is ``unknown``.
+    An unknown extension without the database magic is ``unknown``. Spark leaves files of zero
+    bytes out of a scan, so they are not listed.
     """
     files = (
         spark.read.format("binaryFile")
