@@ -2,13 +2,13 @@
 
 from .classify import classify_files, source_type
 from .delimited import read_csv, read_delimited, read_tsv
-from .grid import grid_to_table, table_to_grid
+from .grid import grid_to_table, rows_to_table, table_to_grid
 from .headers import case_unique_names, header_names
 from .inference import MISSING, SHEET_ERRORS, infer_types, mark_missing, null_markers, type_text_columns
 from .kinds import resolve_kinds
 from .sqlite import list_sqlite_tables, read_sqlite
 from .tables import column_metadata, list_tables, read_parquet, read_table, table_metadata
-from .workbook import list_sheets, read_cells, read_workbook
+from .workbook import list_sheets, read_cells, read_rows, read_workbook
 
 __all__ = [
     "MISSING",
@@ -29,10 +29,12 @@ __all__ = [
     "read_delimited",
     "read_parquet",
     "read_sqlite",
+    "read_rows",
     "read_table",
     "read_tsv",
     "read_workbook",
     "resolve_kinds",
+    "rows_to_table",
     "source_type",
     "table_metadata",
     "table_to_grid",

@@ -1,74 +1,91 @@
-"""From a long table of spreadsheet cells to a typed table."""
+"""From spreadsheet cells to a typed table.
+
+Cells come as whole rows, the way a workbook is decoded, or as a long table of single cells.
+Row 1 of the first sheet names the columns, whatever it holds. Rows behind the last one with
+a value are not there, blank rows between are; short rows are filled with nulls.
+Missing-value markers and error values are nulls, and every column gets its type from all its
+values. Sheets of several paths are stacked in the order of the paths.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.types import column
 from ..operators.row_index import ROW_INDEX, join_offsets, running_offsets
 from .headers import header_names
-from .kinds import resolve_kinds, without_markers
+from .kinds import kind_types, typed_cell, without_markers
+
 
-#: The long form: one row per cell that holds something, `row` and `col` from 1.
-CELLS = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("row", T.LongType()),
-        T.StructField("col", T.IntegerType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
+def rows_to_table(rows: DataFrame, row_index: bool = False) -> DataFrame:
+    """Rows `path, row, cells`, where `cells` is an array of (kind, text) by column.
+
+    The rows of each path are complete from 1 to the last one with a value. Nothing is
+    shuffled but one row per path and one per column and kind.
+    """
+    sheets = rows.groupBy("path").agg(F.max("row").alias("last"), F.max(F.size("cells")).alias("width"))
+    shape = _shape(sheets)
+    if not shape.width:
+        return rows.sparkSession.createDataFrame([], T.StructType([]))
+    first = rows.filter((F.col("path") == shape["first"]) & (F.col("row") == 1)).select("cells.text").first()
+    names = header_names(list(first[0]) if first else [], shape.width)
+    body = rows.filter("row > 1")
+    cells = body.select(F.posexplode("cells").alias("i", "cell"))
+    types = kind_types(cells.withColumn("cell", without_markers(F.col("cell"), sheet=True)), shape.width)
+    values = [F.get("cells", F.lit(i)) for i in range(shape.width)]
+    return _table(body, values, names, types, sheets, shape, row_index)
 
 
 def grid_to_table(cells: DataFrame, row_index: bool = False) -> DataFrame:
-    """The sheets in `cells`, one per `path`, stacked into one table.
+    """A long table `path, row, col, kind, text` of the cells that hold something.
 
-    Row 1 of the first sheet names the columns, whatever it holds. Rows behind the last one
-    with a value are not there, blank rows between are; short rows are filled with nulls.
-    Missing-value markers and error values are nulls, and every column gets its type from all
-    its values.
+    `row` and `col` count from 1. The cells of a row, at most the columns of a worksheet, are
+    brought together by one shuffle.
     """
-    spark = cells.sparkSession
     cells = cells.filter(F.col("kind").isNotNull())
+    below_header = F.when(F.col("row") > 1, F.col("row"))
     sheets = cells.groupBy("path").agg(
-        F.max("row").alias("last"), F.max("col").alias("width"), F.count_distinct(F.when(F.col("row") > 1, F.col("row"))).alias("filled")
+        F.max("row").alias("last"), F.max("col").alias("width"), F.count_distinct(below_header).alias("filled")
     )
-    # a sheet that ends in its header has no rows, one that is blank in between has more than are filled
-    shape = sheets.agg(
+    shape = _shape(sheets, F.max((F.col("last") - 1 > F.col("filled")).cast("int")).alias("gaps"))
+    if not shape.width:
+        return cells.sparkSession.createDataFrame([], T.StructType([]))
+    header = cells.filter((F.col("path") == shape["first"]) & (F.col("row") == 1)).select("col", "text").collect()
+    texts = {h.col: h.text for h in header}
+    names = header_names([texts.get(c) for c in range(1, shape.width + 1)])
+    body = cells.filter("row > 1").select("path", "row", "col", F.struct("kind", "text").alias("cell"))
+    marked = body.select((F.col("col") - 1).alias("i"), without_markers(F.col("cell"), sheet=True).alias("cell"))
+    types = kind_types(marked, shape.width)
+    columns = list(range(1, shape.width + 1))
+    rows = body.groupBy("path", "row").pivot("col", columns).agg(F.first("cell"))
+    if shape.gaps:
+        every = sheets.filter("last > 1").select(
+            "path", F.explode(F.sequence(F.lit(2).cast("bigint"), "last")).alias("row")
+        )
+        rows = every.join(rows, ["path", "row"], "left")
+    return _table(rows, [F.col(f"`{c}`") for c in columns], names, types, sheets, shape, row_index)
+
+
+def _shape(sheets: DataFrame, *more: Column):
+    """What all sheets have in common, as one row."""
+    return sheets.agg(
         F.max("width").alias("width"),
         F.min("path").alias("first"),
         F.count("path").alias("sheets"),
         F.max(F.length("path")).alias("path_length"),
-        F.max((F.col("last") - 1 > F.col("filled")).cast("int")).alias("gaps"),
+        *more,
     ).first()
-    if shape.width is None:
-        return spark.createDataFrame([], T.StructType([]))
-    header = cells.filter((F.col("path") == shape["first"]) & (F.col("row") == 1)).select("col", "text").collect()
-    found = {h.col: h.text for h in header}
-    names = header_names([found.get(c) for c in range(1, shape.width + 1)])
-
-    positions = list(range(1, shape.width + 1))
-    rows = (
-        cells.filter("row > 1")
-        .groupBy("path", "row")
-        .pivot("col", positions)
-        .agg(F.first(F.struct("kind", "text")))
-    )
-    if shape.gaps:
-        every = sheets.filter("last > 1").select("path", F.explode(F.sequence(F.lit(2).cast("bigint"), "last")).alias("row"))
-        rows = every.join(rows, ["path", "row"], "left")
+
+
+def _table(rows, values: list[Column], names: list[str], types: list[str], sheets, shape, row_index: bool) -> DataFrame:
+    position = []
     if row_index:
         counts = sheets.select(F.col("path").alias("__file"), (F.col("last") - 1).alias("rows"))
         starts = running_offsets(counts, []).select(F.col("__file").alias("path"), "__offset")
         rows = join_offsets(rows, starts, ["path"], shape.sheets, shape.path_length + 32)
-        rows = rows.withColumn("row", F.col("row") - 1 + F.col("__offset"))
-    typed = rows.select(
-        *[without_markers(F.col(f"`{c}`"), sheet=True).alias(f"v{c}") for c in positions], F.col("row").alias("__row")
-    )
-    resolved = resolve_kinds(typed, [f"v{c}" for c in positions])
-    out = [F.col(f"v{c}").alias(n) for c, n in zip(positions, names)]
-    return resolved.select(*out, *([F.col("__row").alias(ROW_INDEX)] if row_index else []))
+        position = [(F.col("row") - 1 + F.col("__offset")).alias(ROW_INDEX)]
+    typed = [typed_cell(without_markers(v, sheet=True), t).alias(n) for v, n, t in zip(values, names, types)]
+    return rows.select(*typed, *position)
 
 
 def table_to_grid(df: DataFrame, row: str, kinds: dict[str, str], path: str = "") -> DataFrame:
@@ -79,9 +96,7 @@ def table_to_grid(df: DataFrame, row: str, kinds: dict[str, str], path: str = ""
     names = list(kinds)
     cells = F.array(
         *[
-            F.struct(
-                F.lit(c).alias("col"), F.lit(kinds[n]).alias("kind"), column(n).cast("string").alias("text")
-            )
+            F.struct(F.lit(c).alias("col"), F.lit(kinds[n]).alias("kind"), column(n).cast("string").alias("text"))
             for c, n in enumerate(names, 1)
         ]
     )

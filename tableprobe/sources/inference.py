@@ -32,15 +32,27 @@ MISSING = (
 # The errors a spreadsheet cell can hold. They mean "missing" only there.
 SHEET_ERRORS = ("#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A")
 
+# What a text can be read as. Eighteen digits always fit 64 bits, more are looked at closely.
+_SHORT_INTEGER = r"^-?[0-9]{1,18}$"
 _INTEGER = r"^-?[0-9]+$"
-_REAL = r"^(-?[0-9]+|[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?[0-9]+[eE][+-]?[0-9]+)$"
+_REAL = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))([eE][+-]?[0-9]+)?$"
 _BOOLEAN = r"^(?i:true|false)$"
 
+#: The classes of texts, and the type of a column that holds only some of them.
+_LONG, _UNSIGNED_LONG, _UNSIGNED, _WIDE, _FRACTION, _FLAG, _OTHER = range(7)
+_TYPES = (
+    ({_LONG, _UNSIGNED_LONG}, "bigint"),
+    ({_UNSIGNED_LONG, _UNSIGNED}, "decimal(20,0)"),
+    ({_FLAG}, "boolean"),
+    ({_LONG, _UNSIGNED_LONG, _UNSIGNED, _WIDE}, "string"),
+    ({_LONG, _UNSIGNED_LONG, _UNSIGNED, _WIDE, _FRACTION}, "double"),
+)
+
 #: The largest unsigned 64-bit integer.
 _UINT64_MAX = str(2**64 - 1)
 
 #: Columns whose types are decided in one job.
-_COLUMNS_PER_JOB = 32
+_COLUMNS_PER_JOB = 64
 
 
 def null_markers(col: Column, sheet: bool = False) -> Column:
@@ -68,28 +80,35 @@ def infer_types(df: DataFrame, names: list[str] | None = None) -> dict[str, str]
     return out
 
 
+def _text_class(x: Column) -> Column:
+    """The narrowest class of one text. The first character settles most of the others."""
+    first = F.ascii(x)
+    number = first.between(ord("+"), ord("9"))
+    negative = first == ord("-")
+    fits_unsigned = ~negative & (x.try_cast("decimal(38,0)") <= F.lit(_UINT64_MAX).cast("decimal(20,0)"))
+    wide = (
+        F.when(x.try_cast("bigint").isNotNull(), F.when(negative, _LONG).otherwise(_UNSIGNED_LONG))
+        .when(fits_unsigned, _UNSIGNED)
+        .otherwise(_WIDE)
+    )
+    return (
+        F.when(number & x.rlike(_SHORT_INTEGER), F.when(negative, _LONG).otherwise(_UNSIGNED_LONG))
+        .when(number & x.rlike(_REAL), _FRACTION)
+        .when(number & x.rlike(_INTEGER), wide)
+        .when(first.isin([ord(c) for c in "tTfF"]) & x.rlike(_BOOLEAN), _FLAG)
+        .otherwise(_OTHER)
+    )
+
+
 def _infer_chunk(frame: DataFrame, names: list[str]) -> dict[str, str]:
     rows = frame.select(F.posexplode(F.array(*frame.columns)).alias("i", "x")).filter("x is not null")
-    x = F.col("x")
-    integer = x.rlike(_INTEGER)
-    unsigned = F.when(integer, x.try_cast("decimal(38,0)")).between(F.lit(0), F.lit(_UINT64_MAX).cast("decimal(20,0)"))
-    tests = {
-        "boolean": x.rlike(_BOOLEAN),
-        "bigint": integer & x.try_cast("bigint").isNotNull(),
-        "decimal(20,0)": integer & F.coalesce(unsigned, F.lit(False)),
-        "integer": integer,
-        "double": x.rlike(_REAL),
-    }
-    found = rows.groupBy("i").agg(
-        F.count(F.lit(1)).alias("values"), *[F.count_if(test).alias(t) for t, test in tests.items()]
-    )
-    out = dict.fromkeys(names, "string")
-    for row in found.collect():
-        whole = [t for t in ("boolean", "bigint", "decimal(20,0)") if row[t] == row["values"]]
-        if whole:
-            out[names[row.i]] = whole[0]
-        elif row["double"] == row["values"] and row["integer"] < row["values"]:
-            out[names[row.i]] = "double"
+    classes: dict[int, set[int]] = {}
+    for row in rows.select("i", _text_class(F.col("x")).alias("class")).distinct().collect():
+        classes.setdefault(row.i, set()).add(row["class"])  # at most one row per column and class
+    out = {}
+    for i, name in enumerate(names):
+        found = classes.get(i, {_OTHER})
+        out[name] = next((t for holds, t in _TYPES if found <= holds), "string")
     return out
 
 

@@ -26,7 +26,8 @@ _FAMILIES = {
 }
 
 _UINT64_MAX = str(2**64 - 1)
-_COLUMNS_PER_JOB = 32
+#: Columns whose types are decided in one job.
+_COLUMNS_PER_JOB = 64
 
 
 def cell_text(cell: Column) -> Column:
@@ -46,29 +47,36 @@ def resolve_kinds(df: DataFrame, names: list[str]) -> DataFrame:
     Integers and floats make a double, dates and datetimes a timestamp; everything else that
     mixes kinds, or would lose a value in its type, is the text of every value.
     """
-    types: dict[str, str] = {}
+    types: list[str] = []
     for start in range(0, len(names), _COLUMNS_PER_JOB):
         chunk = names[start : start + _COLUMNS_PER_JOB]
-        types |= _kind_types(df.select(*[column(n).alias(f"c{i}") for i, n in enumerate(chunk)]), chunk)
-    casts = {
-        n: cell_text(column(n)) if t == "string" else column(n)["text"].cast(t) for n, t in types.items()
-    }
-    return df.withColumns(casts) if casts else df
-
-
-def _kind_types(frame: DataFrame, names: list[str]) -> dict[str, str]:
-    rows = frame.select(F.posexplode(F.array(*frame.columns)).alias("i", "x")).filter("x.kind is not null")
-    text = F.col("x.text")
-    whole = F.when(F.col("x.kind") == "int", text.try_cast("decimal(38,0)"))
-    per_kind = rows.groupBy("i", F.col("x.kind").alias("kind")).agg(
-        F.count(F.lit(1)).alias("values"),
-        F.count(F.when(F.col("x.kind") == "int", text.try_cast("bigint"))).alias("longs"),
-        F.count_if(whole.between(F.lit(0), F.lit(_UINT64_MAX).cast("decimal(20,0)"))).alias("unsigned"),
+        cells = df.select(F.posexplode(F.array(*[column(n) for n in chunk])).alias("i", "cell"))
+        types += kind_types(cells, len(chunk))
+    return df.withColumns({n: typed_cell(column(n), t) for n, t in zip(names, types)}) if names else df
+
+
+def typed_cell(cell: Column, dtype: str) -> Column:
+    """A (kind, text) cell in the type of its column."""
+    return cell_text(cell) if dtype == "string" else cell["text"].cast(dtype)
+
+
+def kind_types(cells: DataFrame, width: int) -> list[str]:
+    """The types of columns 0..`width` - 1, from rows (i, cell). One aggregation."""
+    text, kind = F.col("cell.text"), F.col("cell.kind")
+    whole = F.when(kind == "int", text.try_cast("decimal(38,0)"))
+    per_kind = (
+        cells.filter(kind.isNotNull())
+        .groupBy("i", kind.alias("kind"))
+        .agg(
+            F.count(F.lit(1)).alias("values"),
+            F.count(F.when(kind == "int", text.try_cast("bigint"))).alias("longs"),
+            F.count_if(whole.between(F.lit(0), F.lit(_UINT64_MAX).cast("decimal(20,0)"))).alias("unsigned"),
+        )
     )
     found: dict[int, dict] = {}
     for row in per_kind.collect():  # at most one row per column and kind
         found.setdefault(row.i, {})[row.kind] = row
-    return {name: _type_of(found.get(i, {})) for i, name in enumerate(names)}
+    return [_type_of(found.get(i, {})) for i in range(width)]
 
 
 def _type_of(kinds: dict) -> str:

@@ -1,6 +1,6 @@
 """Cells of .xlsx workbooks, one workbook per task.
 
-A folder of workbooks becomes a long table of cells; `grid_to_table` makes tables of it. Only
+A folder of workbooks becomes a table of spreadsheet rows, which `rows_to_table` types. Only
 the package parts that hold cells are decoded: values as last calculated, shared strings, and
 the number formats that tell a date from a number. Declared dimensions, defined tables,
 charts and links are not looked at.
@@ -21,17 +21,19 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import TableReadError
-from .grid import grid_to_table
+from ..session import scratch_dir
+from .grid import rows_to_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BATCH_CELLS = 50_000
+_CELL = "struct<kind:string,text:string>"
 # Built-in number formats that show a date or a time, and the one that shows
 # an elapsed time.
 _DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), 45, 46, 47, *range(50, 59)])
 _ELAPSED_FORMATS = frozenset([46])
 
-CELL_COLUMNS = "path string, sheet_no int, sheet string, row bigint, col int, kind string, text string"
+ROW_COLUMNS = f"path string, sheet_no int, sheet string, row bigint, cells array<{_CELL}>"
 
 
 def _local(tag: str) -> str:
@@ -71,23 +73,32 @@ class _Workbook:
             formats = next((n for n in styles if _local(n.tag) == "cellXfs"), [])
             self.dates = [_date_style(int(x.get("numFmtId", 0)), codes) for x in formats]
 
-    def cells(self, part: str):
-        """(row, column, kind, text) of every cell that holds something."""
-        row = 0
+    def rows(self, part: str):
+        """(row, cells) from row 1 to the last one with a value, blank rows included."""
+        row = blank_from = 0
         with self.zip.open(part) as stream:
             for _, node in ElementTree.iterparse(stream):
                 if _local(node.tag) != "row":
                     continue
                 row = int(node.get("r", row + 1))
-                col = 0
+                cells: list = []
                 for cell in node:
-                    col = _column_number(cell.get("r")) if cell.get("r") else col + 1
+                    col = _column_number(cell.get("r")) if cell.get("r") else len(cells) + 1
                     value = self._value(cell)
-                    if value is not None:
-                        yield (row, col, *value)
+                    cells += [None] * (col - len(cells))
+                    cells[col - 1] = value
+                if any(value is not None for value in cells):
+                    for blank in range(blank_from + 1, row):
+                        yield blank, []
+                    blank_from = row
+                    yield row, cells
                 node.clear()
 
-    def _value(self, cell) -> tuple[str, str] | None:
+    def _value(self, cell) -> dict | None:
+        found = self._read(cell)
+        return None if found is None else dict(zip(("kind", "text"), found))
+
+    def _read(self, cell) -> tuple[str, str] | None:
         kind = cell.get("t", "n")
         if kind == "inlineStr":
             return ("text", _plain_text(cell[0])) if len(cell) else None
@@ -149,23 +160,26 @@ def _date_style(format_id: int, codes: dict[int, str]) -> str | None:
     return "date" if re.search("[dmhys]", re.sub(r"\[[^\]]*\]", "", shown), re.I) else None
 
 
-def _cell_batches(sheet: str | None):
+def _row_batches(sheet: str | None, first: bool):
     def decode(batches):
         import pandas as pd
 
-        names = ["path", "sheet_no", "sheet", "row", "col", "kind", "text"]
+        names = ["path", "sheet_no", "sheet", "row", "cells"]
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 book = _Workbook(content)
-                book.load_values()
-                chosen = [(n, s) for n, s in enumerate(book.sheets) if sheet in (None, s[0])]
-                for number, (title, part) in chosen:
-                    rows = []
-                    for cell in book.cells(part):
-                        rows.append((path, number, title, *cell))
-                        if len(rows) == _BATCH_CELLS:
+                # two sheets can share a title only in a hand-made file: the first one is meant
+                chosen = [(n, s) for n, s in enumerate(book.sheets) if sheet is None or s[0] == sheet]
+                if chosen:
+                    book.load_values()
+                for number, (title, part) in chosen[:1] if first or sheet is not None else chosen:
+                    rows, size = [], 0
+                    for row, cells in book.rows(part):
+                        rows.append((path, number, title, row, cells))
+                        size += len(cells) + 1
+                        if size >= _BATCH_CELLS:
                             yield pd.DataFrame(rows, columns=names)
-                            rows = []
+                            rows, size = [], 0
                     if rows:
                         yield pd.DataFrame(rows, columns=names)
 
@@ -188,9 +202,18 @@ def _workbooks(spark: SparkSession, path) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def read_rows(spark: SparkSession, path, sheet: str | None = None, first: bool = False) -> DataFrame:
+    """`path, sheet_no, sheet, row, cells` of all worksheets, the one named `sheet`, or the first."""
+    return _workbooks(spark, path).mapInPandas(_row_batches(sheet, first), ROW_COLUMNS)
+
+
 def read_cells(spark: SparkSession, path, sheet: str | None = None) -> DataFrame:
-    """`path, sheet_no, sheet, row, col, kind, text` of all cells of all workbooks."""
-    return _workbooks(spark, path).mapInPandas(_cell_batches(sheet), CELL_COLUMNS)
+    """`path, sheet_no, sheet, row, col, kind, text` of the cells that hold something."""
+    cells = read_rows(spark, path, sheet).select(
+        "path", "sheet_no", "sheet", "row", F.posexplode("cells").alias("col", "cell")
+    )
+    found = cells.filter("cell is not null")
+    return found.select("path", "sheet_no", "sheet", "row", (F.col("col") + 1).alias("col"), "cell.kind", "cell.text")
 
 
 def list_sheets(spark: SparkSession, path) -> DataFrame:
@@ -198,24 +221,27 @@ def list_sheets(spark: SparkSession, path) -> DataFrame:
     return _workbooks(spark, path).mapInPandas(_sheet_batches, "path string, position bigint, name string")
 
 
+def _staged(rows: DataFrame) -> DataFrame:
+    """The rows as a written table, so that several passes decode each workbook once."""
+    spark = rows.sparkSession
+    try:
+        folder = scratch_dir(spark, "workbook-rows")
+    except RuntimeError:  # no shared folder: every pass decodes
+        return rows
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def read_workbook(spark: SparkSession, path, sheet: str | None = None, row_index: bool = False) -> DataFrame:
     """One worksheet of each workbook (the first by default) as one typed table."""
     try:
         sheets = list_sheets(spark, path)
         wanted = sheets.filter(F.col("position") == 0 if sheet is None else F.col("name") == sheet)
-        missing = (
-            _workbooks(spark, path).select("path").join(wanted, "path", "left_anti").limit(1).collect()
-        )
+        missing = _workbooks(spark, path).select("path").join(wanted, "path", "left_anti").limit(1).collect()
         if missing:
             reason = "Workbook contains no worksheets" if sheet is None else f"Sheet not found: {sheet}"
             raise TableReadError(f"{reason}: {missing[0].path}")
-        cells = read_cells(spark, path, sheet)
-        if sheet is None:
-            cells = cells.filter("sheet_no = 0")
-        else:
-            # two sheets can share a title only in a hand-made file: the first one is meant
-            first = wanted.groupBy("path").agg(F.min("position").cast("int").alias("sheet_no"))
-            cells = cells.join(first, ["path", "sheet_no"], "left_semi")
-        return grid_to_table(cells, row_index)
+        rows = read_rows(spark, path, sheet, first=True)
+        return rows_to_table(_staged(rows.select("path", "row", "cells")), row_index)
     except PySparkException as error:
         raise TableReadError(f"cannot read workbook {path}: {error}") from error
