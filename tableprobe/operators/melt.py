@@ -15,6 +15,12 @@ from ..functions.text import text_view
 from ..functions.types import is_floating, is_integral, is_nested, is_string
 
 
+def constants(values: list, sql_type: str) -> Column:
+    """An array of constants as one expression: cheap to build however many there are."""
+    texts = ["NULL" if v is None else f"'{v}'" for v in values]
+    return F.expr(f"CAST(array({', '.join(texts)}) AS array<{sql_type}>)")
+
+
 @dataclass
 class Melted:
     """Columns of one value type; `members` maps a column number to its expression."""
@@ -26,9 +32,8 @@ class Melted:
 
     def rows(self, df: DataFrame) -> DataFrame:
         """One row (i, x) per member and input row, nulls included."""
-        numbers = F.lit(list(self.members))
         exploded = df.select(F.posexplode(F.array(*self.members.values())).alias("pos", "x"))
-        return exploded.select(numbers[F.col("pos")].alias("i"), "x")
+        return exploded.select(F.get(constants(list(self.members), "int"), F.col("pos")).alias("i"), "x")
 
     @property
     def is_number(self) -> bool:

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .melt import Melted
+from .melt import Melted, constants
 
 #: Buckets a range is cut into.
 BUCKETS = 2048
@@ -105,49 +105,48 @@ def _bucket_counts(group: Melted, df: DataFrame, slots: dict[int, list[_Range]],
     Every constant of a range sits in an array that is read at `k`, so the expressions are
     the same however many ranges there are.
     """
-    x, dtype = F.col("x"), group.dtype
+    x, i, dtype, sql_type = F.col("x"), F.col("i"), group.dtype, group.dtype.simpleString()
     width = max(len(ranges) for ranges in slots.values())
     size = max(slots) + 1
 
-    def at(values, index: Column, to: str | T.DataType) -> Column:
-        return F.get(F.array(*[F.lit(v).cast(to) for v in values]), index)
-
     def bound(slot: int, side: str) -> Column:
-        values = [
-            getattr(slots[i][slot], side) if i in slots and slot < len(slots[i]) else None for i in range(size)
-        ]
-        return at(values, F.col("i"), dtype)
+        ranges = [slots[n][slot] if n in slots and slot < len(slots[n]) else None for n in range(size)]
+        return F.get(constants([r and getattr(r, side) for r in ranges], sql_type), i)
 
     slot = F.lit(None).cast("int")
     for s in reversed(range(width)):
-        slot = F.when(x.between(bound(s, "low"), bound(s, "high")), F.lit(s)).otherwise(slot)
+        slot = F.when(x.between(bound(s, "low"), bound(s, "high")), s).otherwise(slot)
     starts, flat = {}, []
-    for i, ranges in slots.items():
-        starts[i] = len(flat)
+    for n, ranges in slots.items():
+        starts[n] = len(flat)
         flat += ranges
-    start = at([starts.get(i) for i in range(size)], F.col("i"), "int")
+    start = F.get(constants([starts.get(n) for n in range(size)], "int"), i)
     rows = group.rows(df)
     if group.is_double:
         rows = rows.filter(~F.isnan(x))
     rows = rows.withColumn("slot", slot).filter("slot is not null").withColumn("k", start + F.col("slot"))
 
     k = F.col("k")
-    listed = at([r.rows <= LISTED_ROWS for r in flat], k, "boolean")
+
+    def at(values: list, to: str) -> Column:
+        return F.get(constants(values, to), k)
+
+    listed = at([r.rows <= LISTED_ROWS for r in flat], "boolean")
     evenly = [not r.by_magnitude for r in flat]
     spans = [float(r.high - r.low) if even else 1.0 for r, even in zip(flat, evenly)]
-    distance = x - at([r.low for r in flat], k, dtype)
+    distance = x - at([r.low for r in flat], sql_type)
     if isinstance(dtype, T.LongType) and any(max(abs(r.low), abs(r.high)) >= 2**62 for r in flat):
         wide = "decimal(38,0)"  # the difference itself may not fit 64 bits
-        distance = x.cast(wide) - at([r.low for r in flat], k, wide)
-    number = F.floor(distance.cast("double") / at(spans, k, "double") * BUCKETS)
+        distance = x.cast(wide) - at([r.low for r in flat], wide)
+    number = F.floor(distance.cast("double") / at(spans, "double") * BUCKETS)
     if not all(evenly):
         lows = [_magnitude(max(float(r.low), -_LARGEST)) for r in flat]
         highs = [_magnitude(min(float(r.high), _LARGEST)) for r in flat]
         widths = [max(high - low, 1e-300) for low, high in zip(lows, highs)]
-        share = (_magnitude_of(x.cast("double")) - at(lows, k, "double")) / at(widths, k, "double")
+        share = (_magnitude_of(x.cast("double")) - at(lows, "double")) / at(widths, "double")
         # the infinities have buckets of their own
         bounded = F.least(F.greatest(share, F.lit(-1.0)), F.lit(2.0))
-        number = F.when(at(evenly, k, "boolean"), number).otherwise(F.floor(bounded * BUCKETS))
+        number = F.when(at(evenly, "boolean"), number).otherwise(F.floor(bounded * BUCKETS))
     keyed = rows.select(
         (k + first).alias("k"),
         F.when(~listed, number).alias("bucket"),
@@ -157,7 +156,7 @@ def _bucket_counts(group: Melted, df: DataFrame, slots: dict[int, list[_Range]],
     return (
         keyed.groupBy("k", "bucket", "value")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .select("k", "rows", F.col("low").cast("string"), F.col("high").cast("string"))
+        .selectExpr("k", "rows", "CAST(low AS string)", "CAST(high AS string)")
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..errors import ColumnNotFoundError
 from ..functions.numbers import is_number_text, numeric_view, text_to_long
 from ..functions.types import column, is_string, null_columns_to_string, simplify_type
-from .melt import Melted, melt
+from .melt import Melted, constants, melt
 from .quantiles import interpolate, order_statistics, quantile_ranks
 
 #: Columns handled by one job: bounds how many rows one input row becomes.
@@ -156,8 +156,8 @@ def _collect_metrics(frame: DataFrame, groups: list[Melted], stats: list[dict],
     for group in groups:
         metrics = _metrics(group, exact)
         found = group.rows(frame).groupBy("i").agg(*[expr.alias(m) for m, expr in metrics.items()])
-        typed = [(F.col(m) if m in metrics else F.lit(None)).cast(t).alias(m) for m, t in _METRICS.items()]
-        branches.append(found.select("i", *typed))
+        typed = [f"CAST({m if m in metrics else 'NULL'} AS {t}) AS {m}" for m, t in _METRICS.items()]
+        branches.append(found.selectExpr("i", *typed))
         parsers |= dict.fromkeys(group.members, _parser(group.dtype))
         for i in group.members:  # all there is where the table has no rows
             stats[i] |= {"total_rows": 0, "non_null_count": 0, "numbers": 0, "unique_count": 0}
@@ -291,7 +291,7 @@ def _quartiles(frame: DataFrame, groups: list[Melted], stats: list[dict], exact:
             continue
         values = Melted(T.DoubleType(), members={i: group.members[i].cast("double") for i in limits}).rows(frame)
         low, high = (
-            F.get(F.array(*[F.lit(limits.get(i, (None, None))[side]).cast("double") for i in range(len(stats))]), F.col("i"))
+            F.get(constants([limits.get(i, (None, None))[side] for i in range(len(stats))], "double"), F.col("i"))
             for side in (0, 1)
         )
         outside = ((F.col("x") < low) | (F.col("x") > high)) & ~F.isnan("x")
