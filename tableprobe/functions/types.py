@@ -22,6 +22,7 @@ _DISPLAY = {
     T.DateType: "date",
     T.TimestampType: "datetime",
     T.TimestampNTZType: "datetime",
+    T.TimeType: "time",
     T.ArrayType: "list",
     T.StructType: "struct",
 }

@@ -46,6 +46,8 @@ def _wire_value(col: Column, dtype: T.DataType, wide_as_text: bool) -> Column:
         return F.make_valid_utf8(col.cast("string"))
     if is_nested(dtype):
         return F.to_json(col, _JSON)
+    if isinstance(dtype, T.TimeType):
+        return col.cast("string")
     return col
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import TableProbeError
 from ..functions.types import column
 from .filters import compile_filters
-from .row_index import ROW_INDEX, file_range_filter, with_row_index
+from .row_index import ROW_INDEX, rows_between, with_row_index
 from .sorting import AUTO, sort_expression, sort_keys
 
 DEFAULT_PAGE_ROWS = 500
@@ -39,7 +39,7 @@ def page(
     compiled = compile_filters(df, filters, case_insensitive, use_regex)
     sorted_page = sort_by is not None and sort_by in df.columns
     if not sorted_page and compiled.predicate is None and after is None:
-        rows = _row_range(df, offset, limit)
+        rows = rows_between(df, offset + 1, offset + limit).orderBy(column(ROW_INDEX).asc()).limit(limit)
     else:
         rows = with_row_index(df)
         if compiled.predicate is not None:
@@ -59,18 +59,6 @@ def page(
     return rows
 
 
-def _row_range(df: DataFrame, offset: int, limit: int) -> DataFrame:
-    if ROW_INDEX in df.columns:
-        rows = df
-    else:
-        files = file_range_filter(df, offset + 1, offset + limit) if limit else None
-        rows = with_row_index(df)
-        if files is not None:
-            rows = rows.filter(files)
-    wanted = rows.filter(column(ROW_INDEX).between(offset + 1, offset + limit))
-    return wanted.orderBy(column(ROW_INDEX).asc()).limit(limit)
-
-
 def _behind(key: Column, can_be_nan: bool, ascending: bool, value: object, row_index: int) -> Column:
     """Rows after (value, row_index) in the order of `sort_keys`."""
     later = column(ROW_INDEX) > row_index

@@ -10,9 +10,10 @@ from __future__ import annotations
 from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import TableProbeError
+from ..functions.types import column
 
 ROW_INDEX = "row_index"
 
@@ -112,15 +113,39 @@ def _reread(df: DataFrame) -> DataFrame:
 
 def _parquet_index(df: DataFrame, name: str, unfiltered: DataFrame | None) -> DataFrame:
     files = source_files(df)
-    position = F.col("_metadata.row_index") + 1
     if len(files) <= 1:
-        return df.withColumn(name, position)
+        return df.withColumn(name, F.col("_metadata.row_index") + 1)
     offsets = file_offsets(unfiltered or _reread(df), files).drop("rows")
-    keyed = df.withColumns({_FILE: F.col("_metadata.file_path"), name: position})
-    joined = join_offsets(keyed, offsets, [_FILE], len(files), max(map(len, files)) + 48)
+    return _add_offsets(df, name, offsets, len(files), max(map(len, files)))
+
+
+def _add_offsets(df: DataFrame, name: str, offsets: DataFrame, max_rows: int, path_length: int) -> DataFrame:
+    """Position in the file plus the rows before the file."""
+    keyed = df.withColumns({_FILE: F.col("_metadata.file_path"), name: F.col("_metadata.row_index") + 1})
+    joined = join_offsets(keyed, offsets, [_FILE], max_rows, path_length + 48)
     return joined.withColumn(name, F.col(name) + F.col(_OFFSET)).drop(_FILE, _OFFSET)
 
 
+def rows_between(df: DataFrame, first: int, last: int, name: str = ROW_INDEX) -> DataFrame:
+    """The rows numbered `first`..`last` of an unfiltered table, with their numbers.
+
+    Of a folder of Parquet files only those that hold the rows are read: their footers tell
+    which, and the scan drops the others before any task starts.
+    """
+    numbered = None
+    files = source_files(df) if name not in df.columns and _knows(df, "row_index") else []
+    if len(files) > 1:
+        overlap = (F.col(_OFFSET) < last) & (F.col(_OFFSET) + F.col("rows") >= first)
+        offsets = file_offsets(_reread(df), files).filter(overlap).select(_FILE, _OFFSET)
+        hits = offsets.limit(_MAX_NAMED_FILES + 1).collect()
+        if len(hits) <= _MAX_NAMED_FILES:
+            known = df.sparkSession.createDataFrame(hits, f"{_FILE} string, {_OFFSET} bigint")
+            chosen = df.filter(F.col("_metadata.file_path").isin([h[0] for h in hits]))
+            numbered = _add_offsets(chosen, name, known, len(hits), max(map(len, files)))
+    rows = with_row_index(df, name) if numbered is None else numbered
+    return rows.filter(column(name).between(first, last))
+
+
 def _text_index(df: DataFrame, name: str) -> DataFrame:
     """Number text rows by (file, split, order in the split).
 
@@ -146,19 +171,3 @@ def _text_index(df: DataFrame, name: str) -> DataFrame:
     splits = len(files) + located.rdd.getNumPartitions()
     joined = join_offsets(located, starts, [_FILE, _BLOCK], splits, max(map(len, files), default=0) + 56)
     return joined.withColumn(name, F.col(_SEQ) + F.col(_OFFSET) + 1).drop(_FILE, _BLOCK, _SEQ, _OFFSET)
-
-
-def file_range_filter(df: DataFrame, first: int, last: int) -> Column | None:
-    """A predicate on the file path that keeps the files holding rows `first`..`last`.
-
-    The scan drops the other files before any task starts. None for a single file, or where
-    the range covers so many files that naming them costs more than it saves.
-    """
-    files = source_files(df) if _knows(df, "row_index") else []
-    if len(files) <= 1:
-        return None
-    overlap = (F.col(_OFFSET) < last) & (F.col(_OFFSET) + F.col("rows") >= first)
-    hits = file_offsets(_reread(df), files).filter(overlap).select(_FILE).limit(_MAX_NAMED_FILES + 1).collect()
-    if len(hits) > _MAX_NAMED_FILES:
-        return None
-    return F.col("_metadata.file_path").isin([h[0] for h in hits])

@@ -28,6 +28,9 @@ COLUMNS_PER_JOB = 64
 #: A text longer than this is told apart by its digest, so that long texts are not shuffled.
 DIGEST_OVER = 128
 
+#: Keys that are broadcast when long texts are looked up.
+_FEW_KEYS = 10_000
+
 _QUARTERS = (0.25, 0.5, 0.75)
 
 STATS_SCHEMA = T.StructType(
@@ -238,10 +241,17 @@ def _distinct_values(frame: DataFrame, groups: list[Melted], stats: list[dict])
 
 
 def _smallest_of_top(frame: DataFrame, col: Column, count: int) -> str:
-    """The smallest of the most frequent texts, where long texts are among them."""
+    """The smallest of the most frequent texts, where long texts are among them.
+
+    Their keys are looked up again. Few keys are broadcast; many can only be many where none
+    is frequent, so that join has no hot key.
+    """
     texts = frame.filter(col.isNotNull()).select(col.alias("text"), _value_key(col).alias("key"))
     if count > 1:
         top = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == count).select("key")
+        few = top.limit(_FEW_KEYS + 1).collect()
+        if len(few) <= _FEW_KEYS:
+            top = F.broadcast(frame.sparkSession.createDataFrame(few, top.schema))
         texts = texts.join(top, "key", "left_semi")
     return texts.agg(F.min("text")).first()[0]
 

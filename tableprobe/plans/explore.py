@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import truncate_text
@@ -9,9 +11,10 @@ from ..functions.types import column, is_string
 from ..functions.wire import row_json, wire_view
 from ..operators.filters import Filter, filters_from_request, parse_filter_entry
 from ..operators.paging import DEFAULT_PAGE_ROWS, page, page_totals
-from ..operators.row_index import ROW_INDEX
+from ..operators.row_index import ROW_INDEX, with_row_index
 from ..operators.stats import column_stats, profile
 from ..operators.value_counts import DEFAULT_VALUES, value_counts
+from ..session import scratch_dir
 from ..sources.classify import source_type
 from ..sources.tables import TABBED, list_tables, read_table, table_metadata
 from .export import export, output_name
@@ -27,17 +30,33 @@ class Explorer:
     def __init__(self, spark: SparkSession, path: str, table: str | None = None, kind: str | None = None):
         self.spark, self.path, self.table = spark, path, table
         self.kind = kind or source_type(path)
-        self.rows = read_table(spark, path, table, self.kind, row_index=True)
-
-    @property
-    def df(self) -> DataFrame:
-        """The table without its row numbers."""
-        return self.rows.drop(ROW_INDEX)
+        if self.kind in TABBED:
+            #: the table with its row numbers
+            self.rows = read_table(spark, path, table, self.kind, row_index=True)
+            #: the table without them
+            self.df = self.rows.drop(ROW_INDEX)
+            self._pages = self.rows
+        else:
+            # statistics need no row numbers, and a plain page finds its files itself
+            self.df = self._pages = read_table(spark, path, table, self.kind)
+            self.rows = with_row_index(self.df, unfiltered=self.df)
 
     def refresh(self) -> "Explorer":
         """The same table, read again after its source has changed."""
         return Explorer(self.spark, self.path, self.table, self.kind)
 
+    def stage(self, folder: str | None = None) -> "Explorer":
+        """The same table from a Parquet copy with its row numbers, in the shared scratch folder by default.
+
+        Worth its one pass where a source that is costly to decode is looked at repeatedly.
+        """
+        folder = folder or scratch_dir(self.spark, "table")
+        self.rows.write.mode("errorifexists").parquet(folder)
+        staged = copy(self)
+        staged.rows = staged._pages = self.spark.read.parquet(folder)
+        staged.df = staged.rows.drop(ROW_INDEX)
+        return staged
+
     def tables(self) -> DataFrame:
         """The worksheets or database tables next to this one; none for other sources."""
         if self.kind in TABBED:
@@ -62,7 +81,7 @@ class Explorer:
         **options,
     ) -> DataFrame:
         """One page in wire form with `row_index`; long texts cut at `max_cell_chars`."""
-        rows = page(self.rows, _filters(filters), sort_by, ascending, offset, limit, **options)
+        rows = page(self._pages, _filters(filters), sort_by, ascending, offset, limit, **options)
         shown = wire_view(rows)
         if max_cell_chars:
             texts = [f.name for f in shown.schema.fields if is_string(f.dataType)]
@@ -72,7 +91,7 @@ class Explorer:
     def page_json(self, *args, **options) -> DataFrame:
         """One page as `row_index, json`, each row a JSON object."""
         filters = options.pop("filters", args[0] if args else ())
-        rows = page(self.rows, _filters(filters), *args[1:], **options)
+        rows = page(self._pages, _filters(filters), *args[1:], **options)
         return rows.select(F.col(ROW_INDEX), row_json(rows).alias("json"))
 
     def totals(self, filters=(), offset: int = 0, limit: int = DEFAULT_PAGE_ROWS, **options) -> DataFrame:

@@ -60,7 +60,7 @@ def text_export_view(df: DataFrame) -> DataFrame:
 def _as_text(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BinaryType):
         return hex_text(col)
-    if is_nested(dtype):
+    if is_nested(dtype) or isinstance(dtype, T.TimeType):
         return text_view(col, dtype)
     if is_floating(dtype):
         # infinities in the spelling other readers know
@@ -74,6 +74,8 @@ def json_export_view(df: DataFrame) -> DataFrame:
     def shown(col: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.BinaryType):
             return hex_text(col)
+        if isinstance(dtype, T.TimeType):
+            return col.cast("string")
         return finite(col) if is_floating(dtype) else col
 
     return df.select(*[shown(column(f.name), f.dataType).alias(f.name) for f in df.schema.fields])

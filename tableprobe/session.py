@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # TIME columns would otherwise fail the analysis of the whole file
     "spark.sql.timeType.enabled": "true",
+    # nanosecond timestamps are read as integers and then converted
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

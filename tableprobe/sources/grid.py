@@ -79,7 +79,9 @@ def _shape(sheets: DataFrame, *more: Column):
 
 def _table(rows, values: list[Column], names: list[str], types: list[str], sheets, shape, row_index: bool) -> DataFrame:
     position = []
-    if row_index:
+    if row_index and shape.sheets == 1:
+        position = [(F.col("row") - 1).alias(ROW_INDEX)]
+    elif row_index:
         counts = sheets.select(F.col("path").alias("__file"), (F.col("last") - 1).alias("rows"))
         starts = running_offsets(counts, []).select(F.col("__file").alias("path"), "__offset")
         rows = join_offsets(rows, starts, ["path"], shape.sheets, shape.path_length + 32)

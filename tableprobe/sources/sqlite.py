@@ -218,6 +218,8 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, row_in
 
 def _numbered(cells: DataFrame, files: list[str], slices: int) -> DataFrame:
     """Row numbers from per-slice counts; only those counts are shuffled."""
+    if slices == 1:
+        return cells.withColumn(ROW_INDEX, F.col(_POSITION) + 1)
     counts = cells.groupBy(_FILE, _SLICE).agg(F.count(F.lit(1)).alias("rows"))
     per_file = counts.groupBy(_FILE).agg(F.sum("rows").alias("rows"))
     earlier = Window.partitionBy(_FILE).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)

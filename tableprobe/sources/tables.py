@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import TableReadError
-from ..functions.types import null_columns_to_string, simplify_type
-from ..operators.row_index import with_row_index
-from .classify import classify_files, source_type
+from ..functions.types import column, is_integral, null_columns_to_string, simplify_type
+from ..operators.row_index import source_files, with_row_index
+from .classify import classify_files, open_input, source_type
 from .delimited import read_csv, read_tsv
 from .sqlite import list_sqlite_tables, read_sqlite
 from .workbook import list_sheets, read_workbook
@@ -18,13 +20,39 @@ TABBED = ("excel", "sqlite")
 
 
 def read_parquet(spark: SparkSession, path, row_index: bool = False) -> DataFrame:
-    """Parquet files as one table; a column of the null type is text."""
+    """Parquet files as one table.
+
+    A column of the null type is text. A nanosecond timestamp is cut to microseconds, which
+    needs the session settings of `configure`.
+    """
     try:
         raw = spark.read.parquet(*([path] if isinstance(path, str) else path))
     except PySparkException as error:
         raise TableReadError(f"Cannot read parquet file: {error}") from error
     df = with_row_index(raw, unfiltered=raw) if row_index else raw
-    return null_columns_to_string(df)
+    return null_columns_to_string(df.withColumns(_footer_casts(raw)))
+
+
+def _footer_casts(raw: DataFrame) -> dict[str, Column]:
+    """Casts for the columns whose type in the file is not the one Spark reads."""
+    files = sorted(source_files(raw))
+    try:
+        with open_input(files[0]) as stream:
+            fields = pq.read_schema(stream)
+    except (IndexError, OSError, ValueError):  # no file, or not one of this file system's
+        return {}
+    casts = {}
+    for field in fields:
+        if field.name not in raw.columns:
+            continue
+        col = column(field.name)
+        if pa.types.is_null(field.type):
+            casts[field.name] = col.cast("string")
+        elif pa.types.is_timestamp(field.type) and field.type.unit == "ns" and is_integral(raw.schema[field.name].dataType):
+            quoted = field.name.replace("`", "``")
+            moment = F.timestamp_micros(F.expr(f"(`{quoted}` - pmod(`{quoted}`, 1000)) div 1000"))
+            casts[field.name] = moment if field.type.tz else moment.cast("timestamp_ntz")
+    return casts
 
 
 def read_table(

@@ -288,3 +288,36 @@ def test_explorer(spark, database, tmp_path):
 def test_compressed_text(spark, tmp_path):
     put(tmp_path / "a.csv.gz", gzip.compress(b"a,b\n1,2\n"))
     assert read_csv(spark, str(tmp_path / "a.csv.gz")).first() == (1, 2)
+
+
+def test_staged_table_pages_and_describes_the_same(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "concat('k', id % 7) AS k").repartition(5).write.csv(f"{tmp_path}/t.csv", header=True)
+    table = Explorer(spark, f"{tmp_path}/t.csv")
+    staged = table.stage(f"{tmp_path}/staged")
+    for options in ({"offset": 1200, "limit": 40}, {"sort_by": "k", "offset": 500, "limit": 30}, {"filters": [Filter("k", "3")]}):
+        assert staged.page(**options).collect() == table.page(**options).collect()
+    assert staged.profile().collect() == table.profile().collect()
+    assert "Join" not in table.df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parquet_types_that_need_care(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    old = dt.datetime(1969, 12, 31, 23, 59, 59, 999999)
+    columns = {
+        "nothing": pa.nulls(2),
+        "ns": pa.array([old, None], pa.timestamp("ns")),
+        "u64": pa.array([2**64 - 1, 1], pa.uint64()),
+        "time": pa.array([dt.time(1, 2, 3), None], pa.time64("us")),
+        "dictionary": pa.array(["a", None]).dictionary_encode(),
+        "view": pa.array(["a", None], pa.string_view()),
+    }
+    pq.write_table(pa.table(columns), tmp_path / "t.parquet")
+    table = Explorer(spark, str(tmp_path / "t.parquet"))
+    assert shape(table.df) == [("nothing", "string"), ("ns", "timestamp_ntz"), ("u64", "decimal(20,0)"), ("time", "time(6)"), ("dictionary", "string"), ("view", "string")]
+    assert tuple(table.page().first()) == (None, "1969-12-31T23:59:59.999999", Decimal(2**64 - 1), "01:02:03", "a", "a", 1)
+    assert [r.data_type for r in table.profile().collect()] == ["string", "datetime", "int", "time", "string", "string"]
+    pq.write_table(pa.table({"wide": pa.array([Decimal("1.20")], pa.decimal256(40, 2))}), tmp_path / "w.parquet")
+    with pytest.raises(TableReadError, match="precision"):
+        Explorer(spark, str(tmp_path / "w.parquet"))
