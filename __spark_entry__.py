@@ -578,7 +578,8 @@ def _counts_sql(source: str, value: str, limit: int = 0, tie: str = "first") ->
     cut = f"LIMIT {limit}" if limit else ""
     return f"""SELECT value, "count", pct, total_unique FROM (
       SELECT {value} AS value, count(*) AS "count", min(ri) AS first,
-        round(count(*) / sum(count(*)) OVER () * 100, 2) AS pct, count(*) OVER () AS total_unique
+        CAST(round(CAST(CAST(count(*) / sum(count(*)) OVER () * 100 AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS pct,
+        count(*) OVER () AS total_unique
       FROM (SELECT *, row_number() OVER () AS ri FROM {source}) GROUP BY 1) g
     ORDER BY "count" DESC, {tie} {cut}"""
 
@@ -745,15 +746,29 @@ def rows_as_json(spark, d):
     return rows.select(row_json(rows).alias("json"))
 
 
-@_query("SELECT event_id, '{\"wide\":' || CASE WHEN event_id * 1000000007 * 100003 > 9007199254740992"
-        " THEN '\"' || CAST(event_id * 1000000007 * 100003 AS VARCHAR) || '\"' ELSE CAST(event_id * 1000000007 * 100003 AS VARCHAR) END"
-        " || '}' AS json FROM events")
+@_query(
+    """SELECT event_id, '{"wide":' || CASE WHEN wide > 9007199254740992 THEN '"' || CAST(wide AS VARCHAR) || '"'
+      ELSE CAST(wide AS VARCHAR) END || '}' AS json
+    FROM (SELECT event_id, event_id + 9007199254740000 AS wide FROM events)"""
+)
 def wide_integers_as_json(spark, d):
     """Integers a double cannot hold leave as text, value by value."""
-    events = _table(spark, d, "events").select("event_id", (F.col("event_id") * 1000000007 * 100003).alias("wide"))
+    events = _table(spark, d, "events").select("event_id", (F.col("event_id") + 9007199254740000).alias("wide"))
     return events.select("event_id", row_json(events, exclude=("event_id",)).alias("json"))
 
 
+@_query(
+    """SELECT o_orderkey, CAST(to_json([o_orderkey, o_custkey]) AS VARCHAR) AS keys,
+      CAST(to_json({'status': nullif(o_orderstatus, 'P'), 'day': strftime(o_orderdate, '%Y-%m-%d')}) AS VARCHAR) AS state
+    FROM orders"""
+)
+def wire_form_of_structs(spark, d):
+    """Lists and structs leave as JSON text, with their nulls."""
+    orders = _holes(_table(spark, d, "orders"), "o_orderstatus", "P")
+    state = F.struct(F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return wire_view(orders.select("o_orderkey", F.array("o_orderkey", "o_custkey").alias("keys"), state.alias("state")))
+
+
 @_query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
         " AS slug FROM part")
 def slugs(spark, d):

@@ -72,12 +72,14 @@ def read_delimited(
     for part_paths, part_encoding in groups:
         reader = spark.read.options(header=True, encoding=part_encoding, **options).schema(schema)
         parts.append(reader.csv(part_paths))
-    checked = _refuse_extra_fields(_united(parts, row_index), len(names))
-    marked = mark_missing(checked, names)
+    if row_index and len(parts) > 1:
+        raise TableReadError("row numbers over files of different encodings: read them apart or give the encoding")
+    marked = mark_missing(_refuse_extra_fields(reduce(DataFrame.unionAll, parts), len(names)), names)
     try:
-        return cast_text(marked, infer_types(marked, names) if types is None else types)
+        typed = cast_text(marked, infer_types(marked, names) if types is None else types)
     except PySparkException as error:
         raise TableReadError(f"cannot read {paths}: {error}") from error
+    return with_row_index(typed) if row_index else typed
 
 
 def _encoding_of(file: str, groups: list[tuple[list[str], str]]) -> str:
@@ -116,14 +118,6 @@ def _header(spark: SparkSession, file: str, options: dict, encoding: str) -> lis
     return names
 
 
-def _united(parts: list[DataFrame], row_index: bool) -> DataFrame:
-    if len(parts) == 1:
-        return with_row_index(parts[0]) if row_index else parts[0]
-    if row_index:
-        raise TableReadError("row numbers over files of different encodings: read them apart or give the encoding")
-    return reduce(DataFrame.unionAll, parts)
-
-
 def _refuse_extra_fields(raw: DataFrame, width: int) -> DataFrame:
     """The rows without the surplus column; a row that has one fails the scan, not a pass of its own."""
     message = F.concat(F.lit(f"a row has more than the header's {width} fields: "), column(_EXTRA))

@@ -47,12 +47,22 @@ def resolve_kinds(df: DataFrame, names: list[str]) -> DataFrame:
     Integers and floats make a double, dates and datetimes a timestamp; everything else that
     mixes kinds, or would lose a value in its type, is the text of every value.
     """
+    return cast_cells(df, cell_types(df, names))
+
+
+def cell_types(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """The type of each (kind, text) column."""
     types: list[str] = []
     for start in range(0, len(names), _COLUMNS_PER_JOB):
         chunk = names[start : start + _COLUMNS_PER_JOB]
         cells = df.select(F.posexplode(F.array(*[column(n) for n in chunk])).alias("i", "cell"))
         types += kind_types(cells, len(chunk))
-    return df.withColumns({n: typed_cell(column(n), t) for n, t in zip(names, types)}) if names else df
+    return dict(zip(names, types))
+
+
+def cast_cells(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(kind, text) columns in their types, in one projection."""
+    return df.withColumns({n: typed_cell(column(n), t) for n, t in types.items()}) if types else df
 
 
 def typed_cell(cell: Column, dtype: str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import TableReadError
 from ..operators.row_index import ROW_INDEX, join_offsets, running_offsets
 from .classify import is_sqlite, open_input
-from .kinds import CELL, resolve_kinds
+from .kinds import CELL, cast_cells, cell_types
 
 #: Bytes of a database file that one task reads.
 SLICE_BYTES = 128 * 1024 * 1024
@@ -100,7 +100,10 @@ class _Slice(InputPartition):
 
 
 class SqliteTableSource(DataSource):
-    """Options: `path` of a file or folder, `table` (default: the first one by name)."""
+    """Options: `path` of a file or folder, `table` (default: the first one by name).
+
+    With ``counts=true`` there is one row per row-id range, with its number of rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -113,21 +116,21 @@ class SqliteTableSource(DataSource):
         return files
 
     def schema(self) -> T.StructType:
+        place = [T.StructField(_FILE, T.StringType()), T.StructField(_SLICE, T.LongType())]
+        if self.options.get("counts") == "true":
+            return T.StructType([*place, T.StructField("rows", T.LongType())])
         _, columns = _columns(self._listing()[0][0], self.options.get("table"))
-        place = [
-            T.StructField(_FILE, T.StringType()),
-            T.StructField(_SLICE, T.LongType()),
-            T.StructField(_POSITION, T.LongType()),
-        ]
-        return T.StructType([T.StructField(c, CELL) for c in columns] + place)
+        cells = [T.StructField(c, CELL) for c in columns]
+        return T.StructType([*cells, *place, T.StructField(_POSITION, T.LongType())])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SqliteTableReader(self._listing(), self.options.get("table"), schema)
+        counts = self.options.get("counts") == "true"
+        return SqliteTableReader(self._listing(), self.options.get("table"), schema, counts)
 
 
 class SqliteTableReader(DataSourceReader):
-    def __init__(self, files: list[tuple[str, int]], table: str | None, schema: T.StructType):
-        self.files, self.table, self.schema = files, table, schema
+    def __init__(self, files: list[tuple[str, int]], table: str | None, schema: T.StructType, counts: bool):
+        self.files, self.table, self.schema, self.counts = files, table, schema, counts
 
     def partitions(self) -> list[_Slice]:
         out = []
@@ -141,6 +144,11 @@ class SqliteTableReader(DataSourceReader):
         import pyarrow as pa
 
         table, columns = _columns(partition.path, self.table)
+        if self.counts:
+            with closing(_connect(partition.path)) as connection:
+                (rows,) = connection.execute(*self._query(connection, table, "count(*)", partition, "")).fetchone()
+            yield pa.RecordBatch.from_pylist([{_FILE: partition.path, _SLICE: partition.number, "rows": rows}])
+            return
         wanted = [f.name for f in self.schema.fields[:-3]]
         missing = set(wanted) - set(columns)
         selected = ", ".join("NULL, NULL" if c in missing else _cell_sql(c) for c in wanted)
@@ -162,7 +170,7 @@ class SqliteTableReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in self.schema.fields])
 
     @staticmethod
-    def _query(connection, table: str, selected: str, part: _Slice) -> tuple:
+    def _query(connection, table: str, selected: str, part: _Slice, order: str = " ORDER BY rowid") -> tuple:
         source = _name(table)
         try:
             low, high = connection.execute(f"SELECT min(rowid), max(rowid) FROM {source}").fetchone()
@@ -174,7 +182,7 @@ class SqliteTableReader(DataSourceReader):
         start = low + width * part.number
         # the last row id of a range may be the largest there is, so it is included
         bounds = (start, min(start + width - 1, high))
-        return (f"SELECT {selected} FROM {source} WHERE rowid BETWEEN ? AND ? ORDER BY rowid", bounds)
+        return (f"SELECT {selected} FROM {source} WHERE rowid BETWEEN ? AND ?{order}", bounds)
 
 
 def _cell_sql(name: str) -> str:
@@ -210,17 +218,18 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, row_in
         cells = spark.read.format("sqlite_table").options(**options).load(path)
     except (ValueError, sqlite3.Error) as error:
         raise TableReadError(f"Cannot read SQLite database: {error}") from error
+    types = cell_types(cells, columns)
     if row_index:
         slices = sum(max(1, -(-size // SLICE_BYTES)) for _, size in files)
-        cells = _numbered(cells, [p for p, _ in files], slices)
-    return resolve_kinds(cells.drop(_FILE, _SLICE, _POSITION), columns)
+        counts = spark.read.format("sqlite_table").options(counts="true", **options).load(path)
+        cells = _numbered(cells, counts, [p for p, _ in files], slices)
+    return cast_cells(cells.drop(_FILE, _SLICE, _POSITION), types)
 
 
-def _numbered(cells: DataFrame, files: list[str], slices: int) -> DataFrame:
-    """Row numbers from per-slice counts; only those counts are shuffled."""
+def _numbered(cells: DataFrame, counts: DataFrame, files: list[str], slices: int) -> DataFrame:
+    """Row numbers from the counts per slice, which the databases make themselves."""
     if slices == 1:
         return cells.withColumn(ROW_INDEX, F.col(_POSITION) + 1)
-    counts = cells.groupBy(_FILE, _SLICE).agg(F.count(F.lit(1)).alias("rows"))
     per_file = counts.groupBy(_FILE).agg(F.sum("rows").alias("rows"))
     earlier = Window.partitionBy(_FILE).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     in_file = counts.withColumn("__before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
