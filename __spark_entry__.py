@@ -609,6 +609,12 @@ def value_counts_null(spark, d):
     return value_counts(_holes(_table(spark, d, "orders"), "o_orderstatus", "P"), "o_orderstatus")
 
 
+@_query(_counts_sql("documents", "text", 50))
+def value_counts_long_texts(spark, d):
+    """The most frequent whole documents; only digests of them are shuffled."""
+    return value_counts(_table(spark, d, "documents"), "text", 50, long_texts=True)
+
+
 @_query(_counts_sql("lineitem", _DOUBLE_TEXT.format("l_discount"), 0))
 def value_counts_double(spark, d):
     return value_counts(_table(spark, d, "lineitem"), "l_discount", 0)

@@ -17,20 +17,33 @@ _JSON = {"ignoreNullFields": "false"}
 def double_text(x: Column) -> Column:
     """Text of a double with the fewest digits: ``1``, ``0.1``, ``1e+20``, ``nan``, ``inf``."""
     size = F.abs(x)
-    scientific = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E(\d)", "e+$1")
+    java = x.cast("string")
+    scientific = F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), r"E(\d)", "e+$1")
     # scale 22 holds every digit of the smallest plain value, 16 digits are left before the point
-    plain = F.regexp_replace(x.try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
+    exact = F.rtrim(x.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(x), F.lit("nan"))
         .when(x == float("inf"), F.lit("inf"))
         .when(x == float("-inf"), F.lit("-inf"))
         .when((size < 1e15) & (x == F.floor(x)), F.floor(x).cast("string"))
-        .when((size >= 1e-5) & (size < 1e15), plain)
+        .when((size >= 1e-3) & (size < 1e7), java)  # where Java writes no exponent
+        .when((size >= 1e-5) & (size < 1e15), exact)
         .otherwise(F.replace(scientific, F.lit("E-"), F.lit("e-")))
     )
 
 
+#: A text longer than this is told apart by its digest where texts are grouped.
+DIGEST_OVER = 128
+
+
+def digest_key(col: Column) -> Column:
+    """The text, or the marked SHA-256 digest of a long one. Equal texts have equal keys."""
+    # the mark makes a digest longer than any text that stands for itself
+    digest = F.concat(F.lit("\x00" * DIGEST_OVER), F.sha2(col, 256))
+    return F.when(F.char_length(col) > DIGEST_OVER, digest).otherwise(col)
+
+
 def text_view(col: Column, dtype: T.DataType) -> Column:
     """The text a filter searches and a value count groups by."""
     if is_string(dtype):
@@ -111,11 +124,13 @@ def display_value(col: Column) -> Column:
 
 
 __all__ = [
+    "DIGEST_OVER",
     "NULL_TOKEN",
     "EMPTY_TOKEN",
     "blob_placeholder",
     "blob_size_text",
     "column",
+    "digest_key",
     "display_value",
     "double_text",
     "file_size_text",

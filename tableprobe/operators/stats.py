@@ -19,14 +19,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import ColumnNotFoundError
 from ..functions.numbers import is_number_text, numeric_view, text_to_long
+from ..functions.text import DIGEST_OVER, digest_key
 from ..functions.types import column, is_string, null_columns_to_string, simplify_type
 from .melt import Melted, constants, melt
 from .quantiles import interpolate, order_statistics, quantile_ranks
 
 #: Columns handled by one job: bounds how many rows one input row becomes.
 COLUMNS_PER_JOB = 64
-#: A text longer than this is told apart by its digest, so that long texts are not shuffled.
-DIGEST_OVER = 128
 
 #: Keys that are broadcast when long texts are looked up.
 _FEW_KEYS = 10_000
@@ -198,13 +197,6 @@ def _dates(frame: DataFrame, s: dict, dtype: T.DataType) -> dict:
 # distinct values -------------------------------------------------------------------------
 
 
-def _value_key(col: Column) -> Column:
-    """The text, or the marked SHA-256 digest of a long one. Equal texts have equal keys."""
-    # the mark makes a digest longer than any text that stands for itself
-    digest = F.concat(F.lit("\x00" * DIGEST_OVER), F.sha2(col, 256))
-    return F.when(F.char_length(col) > DIGEST_OVER, digest).otherwise(col)
-
-
 def _distinct_values(frame: DataFrame, groups: list[Melted], stats: list[dict]) -> None:
     """Distinct counts of all columns and the most common texts, as one job.
 
@@ -216,7 +208,7 @@ def _distinct_values(frame: DataFrame, groups: list[Melted], stats: list[dict])
         members = group.members
         if isinstance(group.dtype, T.StringType):
             long = {i for i in members if not group.text or stats[i].get("max_length", 0) > DIGEST_OVER}
-            members = {i: _value_key(col) if i in long else col for i, col in members.items()}
+            members = {i: digest_key(col) if i in long else col for i, col in members.items()}
         values = Melted(group.dtype, group.text, members).rows(frame).filter("x is not null")
         counted = values.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
         distinct = F.count(F.lit(1)).alias("unique_count")
@@ -246,7 +238,7 @@ def _smallest_of_top(frame: DataFrame, col: Column, count: int) -> str:
     Their keys are looked up again. Few keys are broadcast; many can only be many where none
     is frequent, so that join has no hot key.
     """
-    texts = frame.filter(col.isNotNull()).select(col.alias("text"), _value_key(col).alias("key"))
+    texts = frame.filter(col.isNotNull()).select(col.alias("text"), digest_key(col).alias("key"))
     if count > 1:
         top = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == count).select("key")
         few = top.limit(_FEW_KEYS + 1).collect()

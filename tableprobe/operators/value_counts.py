@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import ColumnNotFoundError, TableProbeError
-from ..functions.text import display_value, text_or_token
+from ..functions.text import digest_key, display_value, text_or_token
 from ..functions.types import column, is_nested, is_string
 from .row_index import ROW_INDEX, with_row_index
 
 DEFAULT_VALUES = 100
+#: Listed values that are broadcast to fetch their texts; more are joined by shuffle.
+_BROADCAST_VALUES = 100_000
 
 
 def value_counts(
@@ -18,6 +20,7 @@ def value_counts(
     limit: int = DEFAULT_VALUES,
     tie: str = "first_seen",
     display: bool = False,
+    long_texts: bool = False,
 ) -> DataFrame:
     """`value`, `count`, `pct` of all rows and `total_unique`, most frequent first.
 
@@ -25,6 +28,9 @@ def value_counts(
     value. Equal counts are ordered by first appearance in the file, or by ``tie="value"``,
     which needs no row numbers. `display` shows the empty string as ``(empty)``.
 
+    With `long_texts` long texts are grouped by their digest and never shuffled; the listed
+    ones are fetched by the row they first appear in, which takes a second scan.
+
     Rows are counted per task before they are shuffled, by the typed value where that is
     one-to-one with its text, so a value that makes up most of the table is one row per task.
     """
@@ -32,11 +38,15 @@ def value_counts(
         raise ColumnNotFoundError(f"Column '{name}' not found in table")
     if tie not in ("first_seen", "value"):
         raise TableProbeError(f"unknown tie order {tie}")
+    if long_texts and tie != "first_seen":
+        raise TableProbeError("long texts are listed in the order they are first seen")
     dtype = df.schema[name].dataType
     first_seen = tie == "first_seen"
     rows = with_row_index(df) if first_seen and name != ROW_INDEX else df
     by_text = is_string(dtype) or is_nested(dtype)
     key = text_or_token(column(name), dtype) if by_text else column(name)
+    if by_text and long_texts:
+        key = digest_key(key)
     measures = [F.count(F.lit(1)).alias("n")] + ([F.min(column(ROW_INDEX)).alias("first")] if first_seen else [])
     groups = rows.groupBy(key.alias("key")).agg(*measures)
 
@@ -54,7 +64,11 @@ def value_counts(
     listed = listed.orderBy(F.col("n").desc(), F.col("first" if first_seen else "value").asc())
     if limit > 0:
         listed = listed.limit(limit)
-    if first_seen:
+    if by_text and long_texts:
+        texts = rows.select(text_or_token(column(name), dtype).alias("value"), column(ROW_INDEX).alias("first"))
+        found = F.broadcast(listed) if 0 < limit <= _BROADCAST_VALUES else listed
+        listed = texts.join(found, "first").orderBy(F.col("n").desc(), F.col("first").asc())
+    elif first_seen:
         listed = listed.withColumn("value", value)  # only the listed values become text
     return listed.select(
         (display_value(F.col("value")) if display else F.col("value")).alias("value"),

@@ -103,8 +103,8 @@ class Explorer:
     def profile(self, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
         return profile(self.df, columns, exact)
 
-    def unique_values(self, name: str, limit: int = DEFAULT_VALUES, tie: str = "first_seen") -> DataFrame:
-        return value_counts(self.rows, name, limit, tie)
+    def unique_values(self, name: str, limit: int = DEFAULT_VALUES, **options) -> DataFrame:
+        return value_counts(self.rows, name, limit, **options)
 
     def export(self, folder: str, fmt: str = "original", filters=(), **options) -> str:
         """Write the filtered, sorted table below `folder` under its usual name."""

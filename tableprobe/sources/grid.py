@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.types import column
-from ..operators.row_index import ROW_INDEX, join_offsets, running_offsets
+from ..operators.row_index import ROW_INDEX, join_offsets, running_offsets, sampled_splits
 from .headers import header_names
 from .kinds import kind_types, typed_cell, without_markers
 
@@ -83,7 +83,7 @@ def _table(rows, values: list[Column], names: list[str], types: list[str], sheet
         position = [(F.col("row") - 1).alias(ROW_INDEX)]
     elif row_index:
         counts = sheets.select(F.col("path").alias("__file"), (F.col("last") - 1).alias("rows"))
-        starts = running_offsets(counts, []).select(F.col("__file").alias("path"), "__offset")
+        starts = running_offsets(counts, sampled_splits(counts, shape.sheets)).select(F.col("__file").alias("path"), "__offset")
         rows = join_offsets(rows, starts, ["path"], shape.sheets, shape.path_length + 32)
         position = [(F.col("row") - 1 + F.col("__offset")).alias(ROW_INDEX)]
     typed = [typed_cell(without_markers(v, sheet=True), t).alias(n) for v, n, t in zip(values, names, types)]

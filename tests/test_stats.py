@@ -193,3 +193,18 @@ def test_value_counts_of_numbers_are_texts(spark, saved):
     assert sum(r["count"] for r in value_counts(df, "x", 0).collect()) == 8
     with pytest.raises(ColumnNotFoundError):
         value_counts(df, "nope")
+
+
+def test_value_counts_of_long_texts(spark, saved):
+    texts = ["x" * 300, "b", "x" * 300, None, "y" * 200, "b", "x" * 300, "(null)"]
+    df = saved(spark.createDataFrame([(t,) for t in texts], "t string"), files=3)
+    for limit in (0, 2, 100):
+        assert value_counts(df, "t", limit, long_texts=True).collect() == value_counts(df, "t", limit).collect()
+
+
+def test_hot_values_are_counted_before_the_shuffle(spark, saved):
+    df = saved(spark.range(3000).selectExpr("IF(id % 3 = 0, 'hot', concat('v', id)) AS t"))
+    frame = value_counts(df, "t", 1)
+    assert frame.collect()[0] == ("hot", 1000, 33.33, 2001)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "ReusedExchange" in plan
