@@ -18,18 +18,21 @@ def double_text(x: Column) -> Column:
     """Text of a double with the fewest digits: ``1``, ``0.1``, ``1e+20``, ``nan``, ``inf``."""
     size = F.abs(x)
     java = x.cast("string")
-    scientific = F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), r"E(\d)", "e+$1")
-    # scale 22 holds every digit of the smallest plain value, 16 digits are left before the point
+    # seventeen digits always tell two doubles apart, most need fewer; zeros at the end say nothing
+    fifteen, sixteen, seventeen = (F.format_string(f"%.{d}e", x) for d in (14, 15, 16))
+    shortest = F.when(fifteen.cast("double") == x, fifteen).when(sixteen.cast("double") == x, sixteen)
+    digits = F.regexp_replace(shortest.otherwise(seventeen), r"\.?0*e([+-])0?", "e$1")
+    # scale 22 holds every digit of the smallest plain value
     exact = F.rtrim(x.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(x), F.lit("nan"))
         .when(x == float("inf"), F.lit("inf"))
         .when(x == float("-inf"), F.lit("-inf"))
-        .when((size < 1e15) & (x == F.floor(x)), F.floor(x).cast("string"))
+        .when((size < 1e10) & (x == F.floor(x)), F.floor(x).cast("string"))
         .when((size >= 1e-3) & (size < 1e7), java)  # where Java writes no exponent
-        .when((size >= 1e-5) & (size < 1e15), exact)
-        .otherwise(F.replace(scientific, F.lit("E-"), F.lit("e-")))
+        .when((size >= 1e-6) & (size < 1e10), exact)
+        .otherwise(digits)
     )
 
 
