@@ -95,7 +95,7 @@ _NUMBERED_ORDERS = "(SELECT *, row_number() OVER () AS row_index FROM orders) o"
 
 @_query(f"SELECT {_ORDERS}, row_index FROM {_NUMBERED_ORDERS} WHERE row_index BETWEEN 1001 AND 1500")
 def page_plain(spark, d):
-    return wire_view(page(_table(spark, d, "orders"), offset=1000, limit=500))
+    return wire_view(page(_table(spark, d, "orders"), offset=1000, limit=500, whole_table=True))
 
 
 def flagship(orders: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def page_many_files(spark, d):
     folder = scratch_dir(spark, "orders")
     ordered = _table(spark, d, "orders").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey")
     ordered.write.parquet(folder)
-    return page(spark.read.parquet(folder), offset=5000, limit=500).select("o_orderkey", "row_index")
+    return page(spark.read.parquet(folder), offset=5000, limit=500, whole_table=True).select("o_orderkey", "row_index")
 
 
 # filters ---------------------------------------------------------------------------------

@@ -25,12 +25,14 @@ def page(
     after: tuple[object, int] | None = None,
     text_numbers: str | None = AUTO,
     position: str | None = None,
+    whole_table: bool = False,
 ) -> DataFrame:
     """Rows `offset`..`offset + limit` of the filtered and sorted table, with `row_index`.
 
-    A sorted or filtered page is one top-k pass: every task keeps `offset + limit` rows and
-    nothing is shuffled but those. A plain page is a range of row numbers and reads only the
-    files that hold them. `after`, the (sort value, row_index) of the last row seen, continues
+    A page is one top-k pass: every task keeps `offset + limit` rows and nothing is shuffled but
+    those. With `whole_table`, the promise that `df` is the table as read and not a part of it, a
+    page without filter and sort is a range of row numbers and reads only the files that hold
+    them. `after`, the (sort value, row_index) of the last row seen, continues
     a sorted table at any depth without an offset. `position` names a column that numbers the
     rows of the result from `offset + 1`.
     """
@@ -38,7 +40,7 @@ def page(
         raise TableProbeError("offset and limit cannot be negative")
     compiled = compile_filters(df, filters, case_insensitive, use_regex)
     sorted_page = sort_by is not None and sort_by in df.columns
-    if not sorted_page and compiled.predicate is None and after is None:
+    if whole_table and not sorted_page and compiled.predicate is None and after is None:
         rows = rows_between(df, offset + 1, offset + limit).orderBy(column(ROW_INDEX).asc()).limit(limit)
     else:
         rows = with_row_index(df)

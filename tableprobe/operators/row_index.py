@@ -24,6 +24,7 @@ _FILES_PER_WINDOW = 4096
 #: Files a page predicate names at most.
 _MAX_NAMED_FILES = 1000
 
+_MARK = "row_number"
 _FILE, _BLOCK, _SEQ, _OFFSET = "__file", "__block", "__seq", "__offset"
 
 
@@ -35,6 +36,23 @@ def _knows(df: DataFrame, field: str) -> bool:
         return False
 
 
+def has_row_numbers(df: DataFrame, name: str = ROW_INDEX) -> bool:
+    """Whether the column of this name was made by `with_row_index`."""
+    return name in df.columns and bool(df.schema[name].metadata.get(_MARK))
+
+
+def is_numbered(df: DataFrame, name: str = ROW_INDEX) -> bool:
+    """Whether the frame has its row numbers. A column of the table that is only called so is refused."""
+    if name not in df.columns or has_row_numbers(df, name):
+        return name in df.columns
+    raise TableProbeError(f"the table has a column of its own called {name}: rename it")
+
+
+def mark_numbered(df: DataFrame, name: str = ROW_INDEX) -> DataFrame:
+    """Tell the row numbers from a column of the same name; the mark is stored with the table."""
+    return df.withMetadata(name, {_MARK: True})
+
+
 def plain_path(uri: str) -> str:
     """A file URI of a scan as the path Spark reads it by."""
     path = unquote(uri)
@@ -54,12 +72,12 @@ def with_row_index(df: DataFrame, name: str = ROW_INDEX, unfiltered: DataFrame |
     is numbered as it is, so pass it before any filter. A frame that does not come straight
     from files has no position and is refused.
     """
-    if name in df.columns:
+    if is_numbered(df, name):
         return df
     if _knows(df, "row_index"):
-        return _parquet_index(df, name, unfiltered)
+        return mark_numbered(_parquet_index(df, name, unfiltered), name)
     if _knows(df, "file_block_start"):
-        return _text_index(df, name)
+        return mark_numbered(_text_index(df, name), name)
     raise TableProbeError("row positions need a table read from files; write the frame out and read it back")
 
 
@@ -141,7 +159,7 @@ def rows_between(df: DataFrame, first: int, last: int, name: str = ROW_INDEX) ->
     which, and the scan drops the others before any task starts.
     """
     numbered = None
-    files = source_files(df) if name not in df.columns and _knows(df, "row_index") else []
+    files = source_files(df) if not is_numbered(df, name) and _knows(df, "row_index") else []
     if len(files) > 1:
         overlap = (F.col(_OFFSET) < last) & (F.col(_OFFSET) + F.col("rows") >= first)
         offsets = file_offsets(_reread(df), files).filter(overlap).select(_FILE, _OFFSET)
@@ -149,7 +167,7 @@ def rows_between(df: DataFrame, first: int, last: int, name: str = ROW_INDEX) ->
         if len(hits) <= _MAX_NAMED_FILES:
             known = df.sparkSession.createDataFrame(hits, f"{_FILE} string, {_OFFSET} bigint")
             chosen = df.filter(F.col("_metadata.file_path").isin([h[0] for h in hits]))
-            numbered = _add_offsets(chosen, name, known, len(hits), max(map(len, files)))
+            numbered = mark_numbered(_add_offsets(chosen, name, known, len(hits), max(map(len, files))), name)
     rows = with_row_index(df, name) if numbered is None else numbered
     return rows.filter(column(name).between(first, last))
 

@@ -135,7 +135,8 @@ def _metrics(group: Melted, exact: bool) -> dict[str, Column]:
     x = F.col("x")
     out = {"total_rows": F.count(F.lit(1)), "non_null_count": F.count(x)}
     if not exact:
-        out["unique_count"] = F.approx_count_distinct(x, 0.01)
+        seen = F.when(x.isNotNull(), F.xxhash64(x))
+        out["unique_count"] = F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(seen, F.lit(14))), F.lit(0))
     if group.is_number:
         # the range and the quartiles leave NaN out, mean and deviation do not
         valid = F.when(~F.isnan(x), x) if group.is_double else x

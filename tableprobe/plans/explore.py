@@ -81,7 +81,7 @@ class Explorer:
         **options,
     ) -> DataFrame:
         """One page in wire form with `row_index`; long texts cut at `max_cell_chars`."""
-        rows = page(self._pages, _filters(filters), sort_by, ascending, offset, limit, **options)
+        rows = page(self._pages, _filters(filters), sort_by, ascending, offset, limit, whole_table=True, **options)
         shown = wire_view(rows)
         if max_cell_chars:
             texts = [f.name for f in shown.schema.fields if is_string(f.dataType)]
@@ -91,7 +91,7 @@ class Explorer:
     def page_json(self, *args, **options) -> DataFrame:
         """One page as `row_index, json`, each row a JSON object."""
         filters = options.pop("filters", args[0] if args else ())
-        rows = page(self._pages, _filters(filters), *args[1:], **options)
+        rows = page(self._pages, _filters(filters), *args[1:], whole_table=True, **options)
         return rows.select(F.col(ROW_INDEX), row_json(rows).alias("json"))
 
     def totals(self, filters=(), offset: int = 0, limit: int = DEFAULT_PAGE_ROWS, **options) -> DataFrame:

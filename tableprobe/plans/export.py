@@ -16,7 +16,7 @@ from ..functions.text import hex_text, text_view
 from ..functions.types import column, is_floating, is_nested
 from ..functions.wire import finite
 from ..operators.filters import apply_filters
-from ..operators.row_index import ROW_INDEX, with_row_index
+from ..operators.row_index import ROW_INDEX, has_row_numbers, with_row_index
 from ..operators.sheet import MAX_ROWS, check_sheet_limits, to_sheet_safe
 from ..operators.sorting import AUTO, sort_table
 
@@ -141,7 +141,7 @@ def export(
         rows = with_row_index(df)
     rows = apply_filters(rows, filters, case_insensitive, use_regex)
     rows = sort_table(rows, sort_by, ascending, text_numbers)
-    if not keep_row_index:
+    if not keep_row_index and has_row_numbers(rows):
         rows = rows.drop(ROW_INDEX)
     if fmt == "xlsx" and one_sheet:
         check_sheet_limits(rows.count(), len(rows.columns))

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..errors import TableReadError
 from ..functions.types import column
-from ..operators.row_index import ROW_INDEX, join_offsets, running_offsets, sampled_splits
+from ..operators.row_index import ROW_INDEX, join_offsets, mark_numbered, running_offsets, sampled_splits
 from .headers import header_names
 from .kinds import kind_types, typed_cell, without_markers
 
@@ -79,6 +80,8 @@ def _shape(sheets: DataFrame, *more: Column):
 
 def _table(rows, values: list[Column], names: list[str], types: list[str], sheets, shape, row_index: bool) -> DataFrame:
     position = []
+    if row_index and ROW_INDEX in names:
+        raise TableReadError(f"the table has a column of its own called {ROW_INDEX}: read it without row numbers")
     if row_index and shape.sheets == 1:
         position = [(F.col("row") - 1).alias(ROW_INDEX)]
     elif row_index:
@@ -87,7 +90,8 @@ def _table(rows, values: list[Column], names: list[str], types: list[str], sheet
         rows = join_offsets(rows, starts, ["path"], shape.sheets, shape.path_length + 32)
         position = [(F.col("row") - 1 + F.col("__offset")).alias(ROW_INDEX)]
     typed = [typed_cell(without_markers(v, sheet=True), t).alias(n) for v, n, t in zip(values, names, types)]
-    return rows.select(*typed, *position)
+    table = rows.select(*typed, *position)
+    return mark_numbered(table) if row_index else table
 
 
 def table_to_grid(df: DataFrame, row: str, kinds: dict[str, str], path: str = "") -> DataFrame:

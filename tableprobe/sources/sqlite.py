@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import TableReadError
-from ..operators.row_index import ROW_INDEX, join_offsets, running_offsets
+from ..operators.row_index import ROW_INDEX, join_offsets, mark_numbered, running_offsets
 from .classify import is_sqlite, open_input
 from .kinds import CELL, cast_cells, cell_types
 
@@ -220,10 +220,13 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, row_in
         raise TableReadError(f"Cannot read SQLite database: {error}") from error
     types = cell_types(cells, columns)
     if row_index:
+        if ROW_INDEX in columns:
+            raise TableReadError(f"the table has a column of its own called {ROW_INDEX}: read it without row numbers")
         slices = sum(max(1, -(-size // SLICE_BYTES)) for _, size in files)
         counts = spark.read.format("sqlite_table").options(counts="true", **options).load(path)
         cells = _numbered(cells, counts, [p for p, _ in files], slices)
-    return cast_cells(cells.drop(_FILE, _SLICE, _POSITION), types)
+    typed = cast_cells(cells.drop(_FILE, _SLICE, _POSITION), types)
+    return mark_numbered(typed) if row_index else typed
 
 
 def _numbered(cells: DataFrame, counts: DataFrame, files: list[str], slices: int) -> DataFrame:

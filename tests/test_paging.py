@@ -81,6 +81,7 @@ def test_many_files_are_numbered_by_path(spark, saved):
     filtered = with_row_index(df.filter("v = 3"))
     assert {r.id: r.row_index for r in filtered.collect()} == {i: n for i, n in expected.items() if i % 7 == 3}
     assert [r.row_index for r in page(df, offset=395, limit=10).collect()] == list(range(396, 406))
+    assert [r.row_index for r in page(df, offset=395, limit=10, whole_table=True).collect()] == list(range(396, 406))
 
 
 def test_offsets_by_ranges_of_files(spark, saved, monkeypatch):
@@ -98,7 +99,7 @@ def test_offsets_beyond_the_broadcast_bound_are_joined_by_shuffle(spark, saved,
 
 def test_plain_page_reads_only_its_files(spark, saved):
     df = saved(spark.range(1000), files=5)
-    rows = page(df, offset=0, limit=10)
+    rows = page(df, offset=0, limit=10, whole_table=True)
     rows.collect()
     assert rows.filter(F.lit(True)).rdd.getNumPartitions() <= 1
     assert "file_path" in rows._jdf.queryExecution().optimizedPlan().toString()
@@ -126,3 +127,20 @@ def test_sorted_page_is_one_top_k(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     plan = page(orders, [Filter("o_totalprice", "100", "number", ">")], "o_totalprice")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "GreaterThan(o_totalprice,100.0)" in plan
+
+
+def test_a_column_called_like_the_row_numbers_is_not_taken_for_them(spark, saved, tmp_path):
+    from tableprobe import export
+
+    df = saved(spark.range(3).withColumnRenamed("id", "row_index"))
+    with pytest.raises(TableProbeError, match="of its own"):
+        page(df, sort_by="row_index")
+    assert spark.read.parquet(export(df, f"{tmp_path}/o", "parquet")).columns == ["row_index"]
+    numbered = saved(with_row_index(saved(spark.range(5)).filter("id > 2")))
+    assert [r.row_index for r in page(numbered).collect()] == [4, 5]
+
+
+def test_pages_of_a_part_of_a_table_count_its_rows(spark, saved):
+    part = saved(spark.range(100)).filter("id % 10 = 0")
+    assert [r.id for r in page(part, offset=2, limit=3).collect()] == [20, 30, 40]
+    assert [r.row_index for r in page(with_row_index(part), offset=2, limit=3).collect()] == [21, 31, 41]
