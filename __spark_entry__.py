@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from tableprobe.functions import (  # noqa: E402
     blob_placeholder,
-    display_value,
     file_size_text,
     hex_text,
     row_json,
