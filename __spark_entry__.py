@@ -979,7 +979,7 @@ def read_any_table(spark, d):
 
 
 def _arriving(spark, d, name: str) -> DataFrame:
-    return read_arriving(spark, d, _table(spark, d, name).schema, f"{name}.parquet")
+    return read_arriving(spark, f"{d}/{name}.parquet", _table(spark, d, name).schema)
 
 
 def _settled(spark, result: DataFrame) -> DataFrame:

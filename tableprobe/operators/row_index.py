@@ -77,7 +77,7 @@ def with_row_index(df: DataFrame, name: str = ROW_INDEX, unfiltered: DataFrame |
     if _knows(df, "row_index"):
         return mark_numbered(_parquet_index(df, name, unfiltered), name)
     if _knows(df, "file_block_start"):
-        return mark_numbered(_text_index(df, name), name)
+        return number_located(locate(df), name)
     raise TableProbeError("row positions need a table read from files; write the frame out and read it back")
 
 
@@ -172,20 +172,24 @@ def rows_between(df: DataFrame, first: int, last: int, name: str = ROW_INDEX) ->
     return rows.filter(column(name).between(first, last))
 
 
-def _text_index(df: DataFrame, name: str) -> DataFrame:
-    """Number text rows by (file, split, order in the split).
-
-    Both uses of the scan below plan the same splits, so a row gets the same sequence number
-    in both; the difference to its split's first number is the position in the split.
-    """
-    located = df.withColumns(
+def locate(df: DataFrame) -> DataFrame:
+    """Note where each row of a text scan comes from: file, split, and order in the task."""
+    return df.withColumns(
         {
             _FILE: F.col("_metadata.file_path"),
             _BLOCK: F.col("_metadata.file_block_start"),
             _SEQ: F.monotonically_increasing_id(),
         }
     )
-    files = source_files(df)
+
+
+def number_located(located: DataFrame, name: str = ROW_INDEX) -> DataFrame:
+    """Number text rows by (file, split, order in the split).
+
+    Both uses of the scan below plan the same splits, so a row gets the same sequence number
+    in both; the difference to its split's first number is the position in the split.
+    """
+    files = source_files(located)
     blocks = located.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("rows"), F.min(_SEQ).alias("__first"))
     per_file = blocks.groupBy(_FILE).agg(F.sum("rows").alias("rows"))
     earlier = Window.partitionBy(_FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -196,4 +200,5 @@ def _text_index(df: DataFrame, name: str) -> DataFrame:
     # a file is cut into at most one split more than the scan has tasks
     splits = len(files) + located.rdd.getNumPartitions()
     joined = join_offsets(located, starts, [_FILE, _BLOCK], splits, max(map(len, files), default=0) + 56)
-    return joined.withColumn(name, F.col(_SEQ) + F.col(_OFFSET) + 1).drop(_FILE, _BLOCK, _SEQ, _OFFSET)
+    numbered = joined.withColumn(name, F.col(_SEQ) + F.col(_OFFSET) + 1)
+    return mark_numbered(numbered.drop(_FILE, _BLOCK, _SEQ, _OFFSET), name)

@@ -6,6 +6,7 @@ from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..errors import TableProbeError
 from ..functions.text import truncate_text
 from ..functions.types import column, is_string
 from ..functions.wire import row_json, wire_view
@@ -39,7 +40,10 @@ class Explorer:
         else:
             # statistics need no row numbers, and a plain page finds its files itself
             self.df = self._pages = read_table(spark, path, table, self.kind)
-            self.rows = with_row_index(self.df, unfiltered=self.df)
+            try:
+                self.rows = with_row_index(self.df, unfiltered=self.df)
+            except TableProbeError:  # files of different encodings are scanned apart
+                self.rows = self._pages = read_table(spark, path, table, self.kind, row_index=True)
 
     def refresh(self) -> "Explorer":
         """The same table, read again after its source has changed."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import TableReadError
 from ..functions.types import column
-from ..operators.row_index import plain_path, source_files, with_row_index
+from ..operators.row_index import ROW_INDEX, locate, number_located, plain_path, source_files
 from .headers import header_names
 from .inference import cast_text, infer_types, mark_missing
 
@@ -72,14 +72,16 @@ def read_delimited(
     for part_paths, part_encoding in groups:
         reader = spark.read.options(header=True, encoding=part_encoding, **options).schema(schema)
         parts.append(reader.csv(part_paths))
-    if row_index and len(parts) > 1:
-        raise TableReadError("row numbers over files of different encodings: read them apart or give the encoding")
+    if row_index:
+        if ROW_INDEX in names:
+            raise TableReadError(f"the table has a column of its own called {ROW_INDEX}: read it without row numbers")
+        parts = [locate(p) for p in parts]
     marked = mark_missing(_refuse_extra_fields(reduce(DataFrame.unionAll, parts), len(names)), names)
     try:
         typed = cast_text(marked, infer_types(marked, names) if types is None else types)
     except PySparkException as error:
         raise TableReadError(f"cannot read {paths}: {error}") from error
-    return with_row_index(typed) if row_index else typed
+    return number_located(typed) if row_index else typed
 
 
 def _encoding_of(file: str, groups: list[tuple[list[str], str]]) -> str:

@@ -16,9 +16,12 @@ from ..functions.types import column, is_floating, is_numeric
 from ..operators.filters import apply_filters
 
 
-def read_arriving(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet") -> DataFrame:
-    """A stream of the Parquet files of a folder, present and future."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+def read_arriving(spark: SparkSession, path: str, schema: T.StructType, files: str = "*.parquet") -> DataFrame:
+    """A stream of the Parquet files of a folder, present and future; `path` may also be one file."""
+    path = path.rstrip("/")
+    # a stream takes a plain path for a folder, a pattern for whatever it matches
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(pattern)
 
 
 def live_value_counts(stream: DataFrame, name: str, filters=(), **options) -> DataFrame:

@@ -52,6 +52,10 @@ def test_latin1_beside_utf8(spark, tmp_path):
     put(tmp_path / "a.csv", "city,n\nZürich,1\n".encode("latin-1"))
     put(tmp_path / "b c.csv", "city,n\nŁódź,2\n")
     assert sorted(r.city for r in read_csv(spark, str(tmp_path)).collect()) == ["Zürich", "Łódź"]
+    rows = read_csv(spark, str(tmp_path), row_index=True).collect()
+    assert sorted((r.row_index, r.city) for r in rows) == [(1, "Zürich"), (2, "Łódź")]
+    table = Explorer(spark, str(tmp_path), kind="csv")
+    assert [r.city for r in table.page(sort_by="n", ascending=False, limit=1).collect()] == ["Łódź"]
 
 
 @pytest.mark.parametrize("content", [b"", "a,b\n1,2,3,4,5\n", "a,b\n1,2\n".encode("utf-16")])
