@@ -782,12 +782,12 @@ def slugs(spark, d):
 
 @_query(
     """SELECT doc_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B'
-      ELSE regexp_replace(CAST(CAST(round(n / 1024.0, 2) AS DECIMAL(12,2)) AS VARCHAR), '\\.?0+$', '') || ' KB' END AS size
-      FROM (SELECT doc_id, n_chars AS n FROM documents) WHERE n < 1048576 AND n > 0"""
+      WHEN n < 1048576 THEN regexp_replace(CAST(CAST(round(n / 1024.0, 2) AS DECIMAL(12,2)) AS VARCHAR), '\\.?0+$', '') || ' KB'
+      ELSE regexp_replace(CAST(CAST(round(n / 1048576.0, 2) AS DECIMAL(12,2)) AS VARCHAR), '\\.?0+$', '') || ' MB' END AS size
+      FROM (SELECT doc_id, n_chars * 37 AS n FROM documents)"""
 )
 def file_sizes(spark, d):
-    sizes = _table(spark, d, "documents").filter("n_chars < 1048576 and n_chars > 0")
-    return sizes.select("doc_id", file_size_text(F.col("n_chars")).alias("size"))
+    return _table(spark, d, "documents").select("doc_id", file_size_text(F.col("n_chars") * 37).alias("size"))
 
 
 @_query(f"SELECT l_orderkey, l_linenumber, {_DOUBLE_TEXT.format('l_quantity')} AS quantity,"
@@ -926,7 +926,7 @@ def sqlite_ingest(spark, d):
     return read_sqlite(spark, _databases(spark, d), "customers", row_index=True)
 
 
-@_query("SELECT CAST(0 AS BIGINT) AS position, 'customers' AS name FROM customer LIMIT 1")
+@_query("SELECT CAST(0 AS BIGINT) AS position, 'customers' AS name")
 def sqlite_tables(spark, d):
     return list_tables(spark, _databases(spark, d), "sqlite").select("position", "name").distinct()
 
