@@ -60,9 +60,10 @@ class _Block:
         out[self.start[:-1]] = at_start
         return out
 
-    def grams(self, order: int, answers: dict[int, Answer]):
-        """For k = 1 to `order`: (names of the k-grams sent, their own counts), and with an answer
-        also, per token, the total count of its k-gram and what its own row has of it."""
+    def grams(self, order: int, answers: dict[int, Answer], asking: bool = False):
+        """For k = 1 to `order`, per token: the total count of its k-gram, and what its own row has of it.
+
+        When `asking`, the names to ask for and their own counts in place of the last."""
         name, shared = self.tokens, np.ones(len(self.tokens), bool)
         for k in range(1, order + 1):
             if k > 1:
@@ -73,11 +74,12 @@ class _Block:
             own = np.bincount(inverse, self.trained, len(distinct)).astype(np.int64)
             asked = np.zeros(len(distinct), bool)
             asked[inverse[shared]] = True
-            if k not in answers:
+            if asking and k == order:
                 yield distinct[asked], own[asked]
                 return
             many, total = np.zeros(len(distinct), bool), own.copy()
-            many[asked], total[asked] = answers[k].totals()
+            if k in answers:
+                many[asked], total[asked] = answers[k].totals()
             shared = many[inverse]
             # occurrences within the row
             pair = mix(name + _FACTOR * (self.row.astype(np.uint64) + np.uint64(1)))
@@ -192,7 +194,7 @@ def score_texts(docs: DataFrame, train: Column, text_column: str = "text", order
     for k in range(1, order + 1):
 
         def send(table, answers, k=k):
-            *_, asked = _Block(table).grams(k, answers)
+            *_, asked = _Block(table).grams(k, answers, asking=True)
             return {k: asked}
 
         source = with_replies(blocks, *replies) if replies else blocks
