@@ -218,7 +218,7 @@ def _answer(table: pa.Table) -> pa.Table:
             replies.append(np.int64(b - a).tobytes() + np.packbits(many[a:b]).tobytes() + pack_counts(total[a:b]))
         # and to everyone: the names counted at least once, and the sum of the counts
         to.append(EVERYONE)
-        replies.append(np.array([np.count_nonzero(sums), sums.sum()], np.int64).tobytes())
+        replies.append(np.array([np.count_nonzero(sums), sums.sum()], ">i8").tobytes())
     channel, bucket = table.column("channel")[0].as_py(), table.column("bucket")[0].as_py()
     return pa.table(
         {
@@ -257,7 +257,7 @@ def with_replies(blocks: DataFrame, *replies: DataFrame) -> DataFrame:
 def name_totals(replies: DataFrame, channel: int) -> tuple[int, int]:
     """Of a counted channel: how many names were counted at least once, and the sum of all counts."""
     told = replies.where((F.col("block") == EVERYONE) & (F.col("channel") == channel)).select(
-        *(F.conv(F.hex(F.reverse(F.expr(f"substring(reply, {at}, 8)"))), 16, 10).cast("long").alias(n) for n, at in (("d", 1), ("s", 9)))
+        *(F.conv(F.hex(F.expr(f"substring(reply, {at}, 8)")), 16, 10).cast("long").alias(n) for n, at in (("d", 1), ("s", 9)))
     )
     row = told.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first()
     return row.d, row.s
