@@ -126,10 +126,16 @@ class Words:
         space[1:] = _IS_SPACE[data]
         turn = np.flatnonzero(space[1:] != space[:-1])
         self.starts, self.ends = turn[0::2], turn[1::2]
-        self.hashes = Spans(data).hash(self.starts, self.ends) if len(turn) else np.zeros(0, np.uint64)
+        self._spans = Spans(data)
+        self.hashes = self._spans.hash(self.starts, self.ends)
         #: words of row i are first[i] to first[i + 1]
         self.first = np.append(np.searchsorted(self.starts, place), len(self.starts))
 
+    def affixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first and of the last `size` bytes of every word."""
+        ends, starts = np.minimum(self.starts + size, self.ends), np.maximum(self.ends - size, self.starts)
+        return self._spans.hash(self.starts, ends), self._spans.hash(starts, self.ends)
+
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of every run of `size` words; with fewer words, of the whole sequence; without words, none."""
