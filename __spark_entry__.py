@@ -1016,6 +1016,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return flagship(_table(configure(spark), "/root/testdata/sf0.001", "orders"))
 
 
+try:
+    import corpus_pipeline
+    from tableprobe.llm import queries as _llm
+except ModuleNotFoundError as missing:
+    # the subpackage and the pipeline may be left out together
+    if missing.name not in ("corpus_pipeline", "tableprobe.llm", "tableprobe.llm.queries"):
+        raise
+else:
+    _QUERIES.update(_llm.QUERIES, pipeline=corpus_pipeline.run)
+    _ORACLES.update(_llm.ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
