@@ -37,18 +37,12 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the byte strings of 100 and more that occurred before; a character cut in two goes as a whole."""
     prepare(spark)
-    cut = suffix_dedup.remove_repeats(docs.withColumn("text_was_null", docs["text"].isNull()) if "text_was_null" not in docs.columns else docs)
-    # remaining bytes that are no character any more become U+FFFD on decoding
-    whole = F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(whole)
-    return _with_text(docs, cut, text)
-
-
-def _with_text(docs: DataFrame, cut: DataFrame, text) -> DataFrame:
-    if "text_was_null" not in docs.columns:
-        text = F.when(~F.col("row.text_was_null"), text)
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"}
-    columns["text"] = text
+    was_null = "text_was_null"
+    while was_null in docs.columns:
+        was_null += "_"
+    cut = suffix_dedup.remove_repeats(docs.withColumn(was_null, docs["text"].isNull()), whole_characters=True)
+    text = F.when(~F.col(f"row.{was_null}"), F.col("kept").cast("string"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
     return cut.select(*[columns[c].alias(c) for c in docs.columns])

@@ -32,9 +32,9 @@ def fold(of: int):
 
 
 @_query(
-    """WITH e AS (SELECT vec_id, list_transform(embedding, x -> x >= 0) AS bits FROM embeddings),
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x >= 0) AS bits FROM embeddings),
     pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id,
-        CAST(list_sum(list_transform(range(1, len(e.bits) + 1), i -> CAST(e.bits[i] <> q.bits[i] AS INT))) AS BIGINT) AS distance
+        CAST(list_sum(list_transform(range(1, len(e.bits) + 1), lambda i: CAST(e.bits[i] <> q.bits[i] AS INT))) AS BIGINT) AS distance
       FROM e, e AS q WHERE q.vec_id % 20 = 0),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
     SELECT * FROM ranked WHERE rank <= 10"""

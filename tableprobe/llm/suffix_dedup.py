@@ -129,7 +129,7 @@ RESULT = T.StructType(
 )
 
 
-def _finish(size: int, bits: int, schema: pa.Schema):
+def _finish(size: int, bits: int, whole_characters: bool, schema: pa.Schema):
     def run(batches):
         for _, table, answers in blocks_in(batches):
             block = _Block(table, size, bits)
@@ -149,6 +149,8 @@ def _finish(size: int, bits: int, schema: pa.Schema):
             kept = pa.Array.from_buffers(
                 pa.binary(), len(lengths), [None, pa.py_buffer(kept_at.astype(np.int32)), pa.py_buffer(block.data[~gone])]
             )
+            if whole_characters:
+                kept = pa.array([x.decode("utf-8", "ignore").encode() for x in kept.to_pylist()], pa.binary())
             runs = pa.ListArray.from_arrays(
                 pa.array(runs_at.astype(np.int32)),
                 pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], names=["start", "end"]),
@@ -160,11 +162,14 @@ def _finish(size: int, bits: int, schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 100) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 100, whole_characters: bool = False
+) -> DataFrame:
     """Every row of `docs` with what is left of its text.
 
     Returns the struct column `row` (the input columns without the text) and `kept` (the remaining bytes),
     `n_bytes`, `n_removed` and `removed` (the removed runs, as byte offsets in the input).
+    With `whole_characters`, `kept` also loses what is left of a UTF-8 character that was cut.
     """
     spark = prepare(docs.sparkSession)
     carried = [c for c in docs.columns if c != text_column]
@@ -194,4 +199,4 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     forget_shuffles(spark)
     schema = T.StructType([rows.schema["row"], *RESULT.fields])
     joined = with_replies(blocks, tuples, windows)
-    return joined.mapInArrow(_finish(size, bits, empty_like(schema)), schema)
+    return joined.mapInArrow(_finish(size, bits, whole_characters, empty_like(schema)), schema)
