@@ -27,8 +27,9 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """The session with the settings of the library and small Arrow batches."""
+    """The session with the settings of the library, small Arrow batches, and no shuffle files of queries that ended."""
     configure(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
@@ -42,18 +43,6 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are saved and no longer referred to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, end to end, and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tableprobe.llm.common import forget_shuffles, saved
+from tableprobe.llm.common import saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (after.n, after.x) == (before.n, before.x):
             break
         before = after
-        forget_shuffles(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

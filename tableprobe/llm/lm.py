@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import Words, forget_shuffles, mix, prepare
+from tableprobe.llm.common import Words, mix, prepare
 from tableprobe.llm.exchange import Answer, blocks_in, empty_like, exchange, make_blocks, name_totals, with_replies
 
 _END, _START = np.uint64(0x3C2F733E00000001), np.uint64(0x3C733E0000000001)
@@ -199,14 +199,12 @@ def score_texts(docs: DataFrame, train: Column, text_column: str = "text", order
 
         source = with_replies(blocks, *replies) if replies else blocks
         replies.append(exchange(source, send, totals.bytes // (40 if k == 1 else 10), f"lm-{k}-grams"))
-        forget_shuffles(spark)
         if k == 1:
             vocabulary, tokens = name_totals(replies[0], 1)
     documents = docs.where(train).count()
     answered = with_replies(blocks, *replies)
     cells = answered.mapInArrow(_cells(order, tokens, documents), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = cells.toPandas()
-    forget_shuffles(spark)
     weights = fit_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), order, 1.0 / (vocabulary + 1))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(_RESULT).fields])
     return answered.mapInArrow(_scorer(order, tokens, vocabulary, documents, weights, empty_like(schema)), schema)

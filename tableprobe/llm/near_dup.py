@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import Words, forget_shuffles, mix, prepare, saved, shingles
+from tableprobe.llm.common import Words, mix, prepare, saved, shingles
 from tableprobe.llm.components import connected_components
 
 HASHES = 128
@@ -280,7 +280,6 @@ def _leaves(classes: DataFrame, trees: int) -> DataFrame:
         if depth == _DEEPEST - 1 or going.limit(1).count() == 0:
             break
         entries = saved(going.select("node", "key", "n").join(classes.select("key", "sketch"), "key").select("node", "key", "n", "sketch").mapInArrow(_deepen, _DEEPER), "nodes")
-        forget_shuffles(spark)
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
@@ -302,13 +301,11 @@ def near_duplicates(
     members = _leaves(classes, trees).join(classes.select("key", "sketch"), "key").select("node", "key", "sketch")
     pairs = members.repartition("node").sortWithinPartitions("node").mapInArrow(_pairs, _PAIR)
     pairs = saved(pairs.groupBy("a", "b").agg(F.max("forest").alias("forest")), "pairs")
-    forget_shuffles(spark)
 
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = wanted.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
     sets = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_setter(size), "key binary, names binary")
     sets = saved(sets.dropDuplicates(["key"]), "sets")
-    forget_shuffles(spark)
 
     def confirmed(some: DataFrame) -> DataFrame:
         sided = some.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("names").alias("of_a")), "a")
@@ -328,7 +325,6 @@ def near_duplicates(
     if rest.limit(1).count():
         more = confirmed(rest)
         roots = connected_components(links.unionByName(more).select("u", "v"))
-    forget_shuffles(spark)
     found = sketches.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
     found = found.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")

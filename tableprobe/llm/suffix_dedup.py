@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import Spans, buffers, forget_shuffles, prepare
+from tableprobe.llm.common import Spans, buffers, prepare
 from tableprobe.llm.exchange import Answer, blocks_in, empty_like, exchange, make_blocks, with_replies
 
 #: Perfect difference sets, by modulus.
@@ -180,7 +180,6 @@ def remove_repeats(
     )
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text").select("row", "text")
     blocks = make_blocks(ordered, "suffix-blocks")
-    forget_shuffles(spark)
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first().n
     v = cover_of(size)
     samples = total * len(COVERS[v]) // v
@@ -194,9 +193,7 @@ def remove_repeats(
         return _Block(table, size, bits).second_round(answers)
 
     tuples = exchange(blocks, first, samples, "suffix-names")
-    forget_shuffles(spark)
     windows = exchange(with_replies(blocks, tuples), second, total // 3, "suffix-windows")
-    forget_shuffles(spark)
     schema = T.StructType([rows.schema["row"], *RESULT.fields])
     joined = with_replies(blocks, tuples, windows)
     return joined.mapInArrow(_finish(size, bits, whole_characters, empty_like(schema)), schema)
