@@ -13,9 +13,9 @@ sets is at least `percent` / 100; linked documents form a component.
    with about 16 classes common to all parts of the node, and these are compared exhaustively.
 4. Within a small node the agreement of the minwise values is computed for all pairs. Pairs under 0.58 are dropped (a pair at
    0.75 falls there with probability 5e-6). Of the others a spanning forest by descending agreement is
-   confirmed first on the full sets; then all pairs that the confirmed links do not connect yet, unless
-   both ends agree so well (0.9 and more) with others that they are in one forest of sure pairs.
-5. Components of the confirmed links.
+   confirmed on the full sets, and its components are found.
+5. Small nodes whose classes are not all in one component by then are compared once more: every pair of at least 0.58 between
+   different components is confirmed. What is connected already needs no further links.
 
 Recall: a pair at 0.75 survives two levels of a tree with probability 0.69 and four with 0.53; eight trees miss it with
 probability 1e-4 and 2e-3; pairs above are found more often. Links found are exact (64-bit shingle names).
@@ -41,8 +41,8 @@ from tableprobe.llm.components import connected_components
 
 HASHES = 128
 SMALL = 64
-#: Agreements under the first are not looked at again; from the second on a pair is sure to be linked (but confirmed).
-CUT, SURE = 0.58, 0.9
+#: Pairs that agree less are not confirmed.
+CUT = 0.58
 #: A child with more than this share of its node does not count as smaller.
 SHRINK = 0.7
 COMMON = 16
@@ -148,75 +148,74 @@ def _deepen(batches):
         )
 
 
-_PAIR = "a binary, b binary, agree float, forest boolean"
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("agree", pa.float32()), ("forest", pa.bool_())])
+_PAIR = "a binary, b binary"
+_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _compare(keys: list[bytes], values: np.ndarray) -> list[tuple]:
-    """The pairs of one small node that are worth confirming."""
-    order = sorted(set(range(len(keys))), key=lambda i: keys[i])
-    order = [i for k, i in enumerate(order) if k == 0 or keys[i] != keys[order[k - 1]]]
-    keys, values = [keys[i] for i in order], values[order]
-    m = len(keys)
-    if m < 2:
-        return []
-    agree = np.empty((m, m), np.float32)
-    for i in range(m):
-        agree[i] = (values == values[i]).mean(axis=1)
+def _forest(keys: list[bytes], agree: np.ndarray) -> list[tuple]:
+    """A spanning forest of the pairs that agree, strongest first."""
     left, right = np.nonzero(np.triu(agree >= CUT, 1))
-    strength = agree[left, right]
-    out, tree = [], list(range(m))
-    sure = list(range(m))
-
-    def root(of, x):
-        while of[x] != x:
-            of[x] = of[of[x]]
-            x = of[x]
+    above, out = list(range(len(keys))), []
+
+    def top(x):
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
         return x
 
-    for k in np.lexsort((right, left, -strength)):
-        i, j = int(left[k]), int(right[k])
-        a, b = root(tree, i), root(tree, j)
-        joins = a != b
-        if joins:
-            tree[max(a, b)] = min(a, b)
-        if strength[k] >= SURE:
-            x, y = root(sure, i), root(sure, j)
-            sure[max(x, y)] = min(x, y)
-        elif not joins and root(sure, i) == root(sure, j):
-            continue
-        if joins or strength[k] < SURE:
-            out.append((keys[i], keys[j], float(strength[k]), joins))
+    for k in np.lexsort((right, left, -agree[left, right])):
+        a, b = top(int(left[k])), top(int(right[k]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((keys[left[k]], keys[right[k]]))
     return out
 
 
-def _pairs(batches):
+def _across(keys: list[bytes], agree: np.ndarray, roots: list) -> list[tuple]:
+    """All pairs that agree and are in different components."""
+    left, right = np.nonzero(np.triu(agree >= CUT, 1))
+    return [(keys[i], keys[j]) for i, j in zip(left, right) if roots[i] != roots[j]]
+
+
+def _compare(keys: list[bytes], values: np.ndarray, roots: list | None) -> list[tuple]:
+    """The pairs of one small node that are to be confirmed."""
+    order = sorted(range(len(keys)), key=lambda i: keys[i])
+    order = [i for k, i in enumerate(order) if k == 0 or keys[i] != keys[order[k - 1]]]
+    if len(order) < 2:
+        return []
+    keys, values = [keys[i] for i in order], values[order]
+    agree = np.stack([(values == one).mean(axis=1) for one in values])
+    return _forest(keys, agree) if roots is None else _across(keys, agree, [roots[i] for i in order])
+
+
+def _pairs(with_roots: bool):
     """Pairs of small nodes; entries come sorted by node."""
-    held: tuple[int, list, list] | None = None
 
-    def finish(group, out):
-        if len(group[1]) > 1:
-            out += _compare(group[1], np.concatenate(group[2]))
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], schema=_PAIRS)
 
-    for batch in batches:
-        node = np.asarray(batch.column("node"))
-        keys, values = batch.column("key").to_pylist(), _values(batch.column("sketch"))
-        cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
-        out: list[tuple] = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and held[0] == node[a]:
+    def run(batches):
+        held: tuple | None = None
+        for batch in batches:
+            node = np.asarray(batch.column("node"))
+            keys, values = batch.column("key").to_pylist(), _values(batch.column("sketch"))
+            roots = batch.column("root").to_pylist() if with_roots else None
+            cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+            out: list[tuple] = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if not held or held[0] != node[a]:
+                    if held:
+                        out += _compare(held[1], np.concatenate(held[2]), held[3])
+                    held = (node[a], [], [], [] if with_roots else None)
                 held[1].extend(keys[a:b])
                 held[2].append(values[a:b])
-                continue
-            if held:
-                finish(held, out)
-            held = (node[a], keys[a:b], [values[a:b]])
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PAIRS)] if out else [pa.array([], f.type) for f in _PAIRS], schema=_PAIRS)
-    if held:
-        out = []
-        finish(held, out)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PAIRS)], schema=_PAIRS)
+                if with_roots:
+                    held[3].extend(roots[a:b])
+            yield batch_of(out)
+        if held:
+            yield batch_of(_compare(held[1], np.concatenate(held[2]), held[3]))
+
+    return run
 
 
 def _setter(size: int):
@@ -298,9 +297,13 @@ def near_duplicates(
     sketches = saved(rows.mapInArrow(_sketcher(size, empty_like(schema)), schema), "sketches")
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = saved(classes, "classes")
-    members = _leaves(classes, trees).join(classes.select("key", "sketch"), "key").select("node", "key", "sketch")
-    pairs = members.repartition("node").sortWithinPartitions("node").mapInArrow(_pairs, _PAIR)
-    pairs = saved(pairs.groupBy("a", "b").agg(F.max("forest").alias("forest")), "pairs")
+    leaves = saved(_leaves(classes, trees), "leaves")
+
+    def compared(entries: DataFrame, with_roots: bool) -> DataFrame:
+        members = entries.join(classes.select("key", "sketch"), "key")
+        return members.repartition("node").sortWithinPartitions("node").mapInArrow(_pairs(with_roots), _PAIR).distinct()
+
+    pairs = saved(compared(leaves, False), "pairs")
 
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = wanted.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
@@ -316,12 +319,12 @@ def near_duplicates(
         links = links.join(ids.select(F.col("key").alias("b"), F.col("rep").alias("v")), "b")
         return saved(links.select("a", "b", "u", "v"), "links")
 
-    links = confirmed(pairs.where("forest"))
+    links = confirmed(pairs)
     roots = connected_components(links.select("u", "v"))
     ids = classes.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("root"))
-    rest = pairs.where("NOT forest").join(ids.select(F.col("key").alias("a"), F.col("root").alias("x")), "a")
-    rest = rest.join(ids.select(F.col("key").alias("b"), F.col("root").alias("y")), "b").where("x <> y").select("a", "b")
-    rest = saved(rest, "pairs")
+    rooted = leaves.join(ids, "key")
+    open_nodes = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
+    rest = saved(compared(rooted.join(open_nodes, "node"), True).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         more = confirmed(rest)
         roots = connected_components(links.unionByName(more).select("u", "v"))
