@@ -66,12 +66,13 @@ class _Block:
         self.lengths = np.diff(self.offsets)
         self.spans = Spans(self.data)
         n = len(self.data)
-        self.local = np.arange(n) - np.repeat(self.offsets[:-1], self.lengths)
-        self.left = np.repeat(self.lengths, self.lengths) - self.local
+        # positions in a text fit 32 bits, as its bytes fit one Arrow value
+        local = (np.arange(n) - np.repeat(self.offsets[:-1], self.lengths)).astype(np.int32)
+        self.left = np.repeat(self.lengths.astype(np.int32), self.lengths) - local
         tuple_size = size - self.v + 1
         in_cover = np.zeros(self.v, bool)
         in_cover[list(COVERS[self.v])] = True
-        self.at = np.flatnonzero(in_cover[self.local % self.v] & (self.left >= tuple_size))
+        self.at = np.flatnonzero(in_cover[local % np.int32(self.v)] & (self.left >= tuple_size))
         names = self.spans.hash(self.at, self.at + tuple_size)
         self.samples = (names >> np.uint64(64 - bits)) << np.uint64(64 - bits)
         self.long = np.flatnonzero(self.lengths >= size)

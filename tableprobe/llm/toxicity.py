@@ -16,6 +16,7 @@ without a language are trained on, but tell nothing of languages.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,8 @@ from tableprobe.llm.common import Words, prepare
 POSITIVES, NEGATIVES, LONGEST = 2500, 5500, 200_000
 BUCKETS, SIZE, AFFIX = 1 << 15, 8, 5
 WIDTHS, FILTERS = (1, 2, 3), 8
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Steps of training, whatever the size of the sample.
+STEPS, BATCH, RATE = 600, 64, 0.01
 #: Every fifth row of the sample calibrates.
 HELD = 5
 MAX_LANGUAGES, MIN_CALIBRATION = 32, 20
@@ -159,7 +161,7 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list, weight_of_negatives: f
     dense = _Adam([*model.filters, *model.biases, model.out])
     bias_state = _Adam([np.zeros(1, np.float32)])
     second = np.zeros((3, BUCKETS, SIZE), np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(math.ceil(STEPS * BATCH / len(train))):
         order = random.permutation(train)
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
