@@ -312,7 +312,8 @@ def test_repeats_are_removed(docs, texts, size, small_blocks):
 
 
 def test_repeated_and_null_ids(spark, small_blocks):
-    text = "".join(random.Random(9).choice("abcdef ") for _ in range(300))
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("abcdef ") for _ in range(300))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (0, None)], "doc_id long, text string")
     got = sorted((r.row.doc_id is not None, r.row.doc_id or 0, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
     assert got == [(False, 0, 0), (True, 0, 0), (True, 1, 300), (True, 1, 300)]
