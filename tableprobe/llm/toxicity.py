@@ -9,7 +9,7 @@ a part of the sample not trained on, and scores are shifted so that it lies at 0
 *Sample.* Training uses at most `POSITIVES` toxic and `NEGATIVES` other labelled rows, those with the smallest hashes of their id, of
 texts up to `LONGEST` bytes; that bounds what reaches the driver. Scoring covers every text as a whole.
 
-Cases: null and empty texts have no words; they get the score of the bias alone. Labels that are null are not used; of several labels of one
+Cases: null and empty texts have no words; their score is 0. Labels that are null are not used; of several labels of one
 row the largest counts. Without labelled rows of both kinds every score is the share of toxic ones among them (0 without any). Rows
 without a language are trained on, but tell nothing of languages.
 """
@@ -108,7 +108,7 @@ def predict(model: Model, texts: pa.Array) -> np.ndarray:
         return np.full(len(texts), model.constant)
     words, first = features(texts)
     margin = logits(model, words, first).astype(np.float64) - model.thresholds[guess_languages(model, words, first)]
-    return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+    return np.where(np.diff(first) > 0, 1 / (1 + np.exp(-np.clip(margin, -40, 40))), 0.0)
 
 
 class _Adam:
