@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tableprobe.llm.common import buffers, saved
 
 #: Bytes of text in a block, and names in a bucket. A document is never cut.
-BLOCK_BYTES, BUCKET_NAMES = 4 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_NAMES = 2 << 20, 1 << 20
 
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, payload binary"
 

@@ -22,7 +22,7 @@ separate documents, ordered by text. Null and empty texts, and texts shorter tha
 nothing. Matches never cross documents. Names are 64-bit hashes: n candidate windows agree by chance
 with probability n * n / 2**65. The names of step 2 may be shorter, a chance agreement there only adds a candidate.
 
-Scale: documents travel once (sorted by id, in blocks of 4 MB); each sampled name costs 3 to
+Scale: documents travel once (sorted by id, in blocks of 2 MB); each sampled name costs 3 to
 5 bytes and each candidate 6; buckets grow in number, not in size, and a string that is in every document is one name
 per block. Every step is saved in the shared folder.
 """
