@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprobe.llm.common import Words, prepare
+from tableprobe.llm.common import Words, buffers, prepare
 
 POSITIVES, NEGATIVES, LONGEST = 2500, 5500, 200_000
 BUCKETS, SIZE, AFFIX = 1 << 15, 8, 5
@@ -129,12 +129,20 @@ def _slice(words, first, rows):
     return words[:, place], np.concatenate([[0], np.cumsum(first[rows + 1] - first[rows])])
 
 
-def fit(texts: pa.Array, labels: np.ndarray, langs: list, weight_of_negatives: float = 1.0) -> Model:
-    """A model of the rows given; `weight_of_negatives`: how many rows a negative stands for, compared with a positive."""
+def _featured(batches):
+    """Rows of the sample with the buckets of their words in place of the text, as 16-bit numbers."""
+    for batch in batches:
+        words, first = features(batch.column("text"))
+        short = words.T.astype(np.uint16)
+        own = pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "lang")), own], names=["id", "label", "lang", "words"])
+
+
+def fit(words: np.ndarray, first: np.ndarray, labels: np.ndarray, langs: list, weight_of_negatives: float = 1.0) -> Model:
+    """A model of rows with these features; `weight_of_negatives`: how many rows a negative stands for, compared with a positive."""
     if len(labels) == 0 or labels.all() or not labels.any():
         return Model(constant=float(labels.mean()) if len(labels) else 0.0)
     random = np.random.default_rng(5)
-    words, first = features(texts)
     rows = np.arange(len(labels))
     held = rows[rows % HELD == 0]
     train = rows[rows % HELD != 0]
@@ -252,12 +260,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_column=
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen, "id long, label int")
     # at most POSITIVES + NEGATIVES ids
-    sample = rows.join(F.broadcast(ids), "id").toArrow().sort_by([("id", "ascending")])
-    sample = sample.combine_chunks()
+    sample = rows.join(F.broadcast(ids), "id").select("id", "label", "lang", "text").mapInArrow(_featured, "id long, label int, lang string, words binary")
+    sample = sample.toArrow().sort_by([("id", "ascending"), ("words", "ascending")]).combine_chunks()
+    words, first = buffers(sample.column("words"))
+    words, first = np.ascontiguousarray(words.view(np.uint16).reshape(-1, 3).T).astype(np.int32), first // 6
     y = sample.column("label").to_numpy().astype(np.int64)
     taken = np.bincount(y, minlength=2)
     weight = (totals.get(0, 0) / max(1, taken[0])) / (totals.get(1, 0) / max(1, taken[1]) or 1)
-    return fit(sample.column("text"), y, sample.column("lang").to_pylist(), weight)
+    return fit(words, first, y, sample.column("lang").to_pylist(), weight)
 
 
 def toxicity(text: Column | str, model: Model, spark) -> Column:

@@ -194,7 +194,7 @@ def test_toxicity_without_both_kinds(spark, docs, empty):
 
 def test_toxicity_of_odd_texts(spark):
     texts = pa.array(["you idiot " + "word " * 30 if i % 2 else "some word " * 20 for i in range(200)])
-    model = toxicity.fit(texts, np.arange(200) % 2, ["en", None] * 100)
+    model = toxicity.fit(*toxicity.features(texts), np.arange(200) % 2, ["en", None] * 100)
     scores = toxicity.predict(model, pa.array([None, "", "some word", "an idiot", "word " * 50000 + "idiot"]))
     assert (scores[:2] == 0).all() and (scores[:3] < 0.5).all() and (scores[3:] >= 0.5).all()
 
