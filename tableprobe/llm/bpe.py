@@ -11,7 +11,7 @@ the seam anew, wider and wider, until the tokens outside it provably stay. Two p
   whole; all merges before it lie inside tokens, so the two neighbours alone would come to the same merge.) Inside the
   halves and the window neighbours agree already; the window grows until its two seams do.
 
-Leaves, of at most a thousand characters, are encoded by the tokenizer library.
+Leaves, of at most four thousand characters, are encoded by the tokenizer library.
 
 Cases: a null text counts as empty and has no ids; so has an empty one. Text that is not UTF-8 is read with replacement characters.
 Long texts and long runs without a space cost n log n. Decoding gives bytes; an id outside the vocabulary, or a null
@@ -22,14 +22,16 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import Column, SparkSession, functions as F
 
 #: Characters of a text, and bytes of one match, that are encoded at once; more are encoded in halves.
-LEAF_TEXT, LEAF_BYTES = 1024, 1024
+LEAF_TEXT, LEAF_BYTES = 4096, 1024
 #: Characters on each side of a seam that are tried first, and checked pairs that a worker remembers.
 SEAM, MEMORY = 32, 200_000
 _LONG_MERGE = 96
@@ -143,7 +145,7 @@ class Encoder:
 
     def _run(self, text: str) -> list[int]:
         """The ids of a text that no seam divides."""
-        if len(text) <= LEAF_TEXT:
+        if len(text) <= min(LEAF_TEXT, LEAF_BYTES):
             return self._leaf(text)
         ids: list[int] = []
         for match in self._matches(text):
@@ -226,7 +228,9 @@ class Tokenizer:
         def encoded(texts: pa.Array) -> pa.Array:
             encoder = current()
             ids = [encoder.encode(t.decode("utf-8", "replace")) if t else [] for t in texts.cast(pa.binary()).to_pylist()]
-            return pa.array(ids, pa.list_(pa.int32()))
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(ends[-1]))
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
         return encoded(text)
 
@@ -237,6 +241,11 @@ class Tokenizer:
         @F.arrow_udf("binary")
         def decoded(lists: pa.Array) -> pa.Array:
             encoder = current()
-            return pa.array([None if x is None else encoder.decode(x) for x in lists.to_pylist()], pa.binary())
+            if lists.null_count or lists.flatten().null_count:
+                rows = lists.to_pylist()
+            else:
+                flat, ends = lists.flatten().to_numpy().tolist(), np.asarray(lists.offsets)
+                rows = [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+            return pa.array([None if x is None else encoder.decode(x) for x in rows], pa.binary())
 
         return decoded(ids)
