@@ -160,6 +160,8 @@ def _parse_number(entry: object) -> Decimal | float | None:
         number = Decimal(text)
     except InvalidOperation:
         return None
+    if number.is_snan():
+        return None
     return number if number.is_finite() else float(number)
 
 
@@ -226,6 +228,11 @@ def _at_scale(value: Decimal, scale: int, mode: str) -> Decimal:
     sign, digits, exponent = value.as_tuple()
     if exponent >= -scale:
         return value
+    if value.adjusted() < -scale:  # less than one unit of the scale: only the sign matters
+        unit = Decimal(1).scaleb(-scale)
+        if not value:
+            return Decimal(0)
+        return (Decimal(0) if sign else unit) if mode == ROUND_CEILING else (-unit if sign else Decimal(0))
     step = 10 ** (-exponent - scale)
     whole, rest = divmod(int(value.scaleb(-exponent, _EXACT)), step)  # floor division
     return Decimal(whole + (1 if rest and mode == ROUND_CEILING else 0)).scaleb(-scale, _EXACT)

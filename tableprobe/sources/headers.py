@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 
 def header_names(cells: list[str | None], width: int | None = None) -> list[str]:
     """One usable, unique name per column.
@@ -21,21 +23,13 @@ def case_unique_names(names: list[str]) -> list[str]:
 
 
 def _unique(names: list[str], fold) -> list[str]:
-    """Suffix every later occurrence with the first number that is free."""
-    reserved = {fold(n) for n in names}
-    used: set[str] = set()
-    next_suffix: dict[str, int] = {}
-    out = []
-    for name in names:
-        chosen = name
-        if fold(name) in used:
-            number = next_suffix.get(name, 0)
-            while True:
-                number += 1
-                chosen = f"{name}.{number}"
-                if fold(chosen) not in reserved and fold(chosen) not in used:
-                    break
-            next_suffix[name] = number
-        used.add(fold(chosen))
-        out.append(chosen)
+    """Names as they are where they first occur; at later places with the lowest number that no other name has."""
+    taken = {fold(name) for name in names}
+    first = {fold(name): place for place, name in reversed(list(enumerate(names)))}
+    numbered = {name: map(name.__add__, map(".{}".format, itertools.count(1))) for name in names}
+    out = list(names)
+    for place, name in enumerate(names):
+        if place != first[fold(name)]:
+            out[place] = next(new for new in numbered[name] if fold(new) not in taken)
+            taken.add(fold(out[place]))
     return out

@@ -28,6 +28,10 @@ _FILE, _SLICE, _POSITION = "__file", "__slice", "__position"
 
 _TABLES = r"SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite\_%' ESCAPE '\' ORDER BY name"
 
+# Tables with their columns; of the latter, hidden = 1 marks those of virtual tables that cannot be read.
+_LAYOUT = r"""SELECT m.name, x.name FROM sqlite_master m LEFT JOIN pragma_table_xinfo(m.name) x ON x.hidden <> 1
+  WHERE m.type = 'table' AND m.name NOT LIKE 'sqlite\_%' ESCAPE '\' AND (:wanted IS NULL OR m.name = :wanted) ORDER BY m.name, x.cid"""
+
 # the source below is pickled into tasks, where this package need not be installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,18 +61,14 @@ def _tables(path: str) -> list[str]:
 
 def _columns(path: str, table: str | None) -> tuple[str, list[str]]:
     """The table (the first one by default) and its columns, generated ones included."""
-    tables = _tables(path)
-    if not tables:
-        raise ValueError(f"No user tables in database {path}")
-    chosen = table or tables[0]
-    if chosen not in tables:
-        raise ValueError(f"Table not found: {chosen}")
     with closing(_connect(path)) as connection:
-        info = connection.execute(f"PRAGMA table_xinfo({_name(chosen)})").fetchall()
-    # the last field is 1 for a hidden column, 2 and 3 for generated ones
-    columns = [row[1] for row in info if row[-1] != 1]
+        found = connection.execute(_LAYOUT, {"wanted": table}).fetchall()
+    if not found:
+        raise ValueError(f"{path} has no table{'' if table is None else ' ' + table}")
+    chosen = found[0][0]
+    columns = [column for name, column in found if name == chosen and column is not None]
     if not columns:
-        raise ValueError(f"Table has no readable columns: {chosen}")
+        raise ValueError(f"{path}: nothing to read in table {chosen}")
     return chosen, columns
 
 
@@ -144,6 +144,9 @@ class SqliteTableReader(DataSourceReader):
         import pyarrow as pa
 
         table, columns = _columns(partition.path, self.table)
+        surplus = [] if self.counts else [c for c in columns if c not in self.schema.names]
+        if surplus:
+            raise ValueError(f"{partition.path}: table {table} has columns that the first database does not have: {', '.join(surplus)}")
         if self.counts:
             with closing(_connect(partition.path)) as connection:
                 (rows,) = connection.execute(*self._query(connection, table, "count(*)", partition, "")).fetchone()
@@ -213,8 +216,9 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, row_in
         files = _files(path)
         if not files:
             raise TableReadError(f"{path} is not a SQLite database")
-        _, columns = _columns(files[0][0], table)
-        options = {"table": table} if table else {}
+        # one table for all files: the one asked for, or the first one of the first file
+        table, columns = _columns(files[0][0], table)
+        options = {"table": table}
         cells = spark.read.format("sqlite_table").options(**options).load(path)
     except (ValueError, sqlite3.Error) as error:
         raise TableReadError(f"Cannot read SQLite database: {error}") from error

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..errors import ColumnNotFoundError
+from ..errors import ColumnNotFoundError, TableReadError
 from ..functions.text import text_or_token, text_view
 from ..functions.types import column, is_floating, is_numeric
 from ..operators.filters import apply_filters
@@ -41,10 +41,14 @@ def live_profile(stream: DataFrame, columns: list[str] | None = None, filters=()
     for name in names:
         dtype, col = stream.schema[name].dataType, column(name)
         number = col.cast("double") if is_numeric(dtype) else F.lit(None).cast("double")
-        if is_floating(dtype):
-            number = F.when(~F.isnan(number), number)
+        nan = F.coalesce(F.isnan(number), F.lit(False)) if is_floating(dtype) else F.lit(False)
         entries.append(
-            F.struct(F.lit(name).alias("column_name"), text_view(col, dtype).alias("text"), number.alias("number"))
+            F.struct(
+                F.lit(name).alias("column_name"),
+                text_view(col, dtype).alias("text"),
+                F.when(~nan, number).alias("number"),
+                nan.alias("nan"),
+            )
         )
     values = rows.select(F.inline(F.array(*entries)))
     return values.groupBy("column_name").agg(
@@ -53,7 +57,8 @@ def live_profile(stream: DataFrame, columns: list[str] | None = None, filters=()
         F.count_if(F.col("text").isNull()).alias("null_count"),
         F.min("number").alias("min_value"),
         F.max("number").alias("max_value"),
-        F.round(F.avg("number"), 2).alias("mean"),
+        # the mean of a column with NaN is null, as in the statistics of a table
+        F.when(~F.bool_or("nan"), F.round(F.avg("number"), 2)).alias("mean"),
         F.approx_count_distinct("text").alias("unique_estimate"),
     )
 
@@ -73,6 +78,10 @@ def keep_current(result: DataFrame, folder: str, checkpoint: str, available_now:
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The result after the last complete batch."""
-    batches = spark.read.parquet(folder)
-    return batches.filter(F.col("batch") == batches.agg(F.max("batch").alias("b")).scalar()).drop("batch")
+    """The result after the last complete batch: the last one whose folder has its success marker."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    finished = [status.getPath().getParent().getName().removeprefix("batch=") for status in found or []]
+    if not finished:
+        raise TableReadError(f"no complete batch in {folder}")
+    return spark.read.parquet(f"{folder}/batch={max(map(int, finished))}")

@@ -144,3 +144,14 @@ def test_text_forms_are_searched(spark):
     assert ids(df, Filter("x", "^1$"), use_regex=True) == [1]
     assert ids(df, Filter("b", "true")) == [1]
     assert ids(df, Filter("t", "00:00:02.000000")) == [2]
+
+
+@pytest.mark.parametrize("entry, operator, want", [
+    ("1e-3000000", ">", [1, 5]), ("1e-30000000", ">=", [1, 5]), ("-1e-3000000", "<", [-2]), ("-1e-3000000", ">", [0, 1, 5]),
+    ("1e3000000", "<", [-2, 0, 1, 5]), ("0e-3000000", "=", [0]), ("1e-3000000", "=", []), ("sNaN", ">", [-2, 0, 1, 5]),
+])
+@pytest.mark.parametrize("kind", ["int", "bigint", "decimal(9,2)"])
+def test_extreme_entries_neither_raise_nor_stall(spark, entry, operator, want, kind):
+    df = spark.createDataFrame([(-2,), (0,), (1,), (5,)], "v int").select(F.col("v").cast(kind).alias("v"))
+    got = apply_filters(df, [Filter("v", entry, "number", operator)])
+    assert sorted(int(r.v) for r in got.collect()) == want

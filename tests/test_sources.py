@@ -145,7 +145,7 @@ def test_sqlite_slices_and_odd_tables(spark, database, monkeypatch):
 
 
 def test_sqlite_errors(spark, database, tmp_path):
-    with pytest.raises(TableReadError, match="Table not found"):
+    with pytest.raises(TableReadError, match="has no table"):
         read_sqlite(spark, database, "nope")
     corrupt = put(tmp_path / "bad.db", b"SQLite format 3\x00" + b"\x07" * 500)
     with pytest.raises(TableReadError):
@@ -325,3 +325,20 @@ def test_parquet_types_that_need_care(spark, tmp_path):
     pq.write_table(pa.table({"wide": pa.array([Decimal("1.20")], pa.decimal256(40, 2))}), tmp_path / "w.parquet")
     with pytest.raises(TableReadError, match="precision"):
         Explorer(spark, str(tmp_path / "w.parquet"))
+
+
+def test_databases_are_one_table(spark, tmp_path):
+    """A later database is read for the same table, and may not have columns that the first one lacks."""
+    for name, script in (
+        ("a", "CREATE TABLE people (id INT, name TEXT); INSERT INTO people VALUES (1, 'x');"),
+        ("b", "CREATE TABLE files (id INT); INSERT INTO files VALUES (9); CREATE TABLE people (name TEXT, id INT); INSERT INTO people VALUES ('y', 2);"),
+    ):
+        with sqlite3.connect(tmp_path / f"{name}.db") as connection:
+            connection.executescript(script)
+        connection.close()
+    assert sorted((r.id, r.name) for r in read_sqlite(spark, str(tmp_path)).collect()) == [(1, "x"), (2, "y")]
+    with sqlite3.connect(tmp_path / "c.db") as connection:
+        connection.executescript("CREATE TABLE people (id INT, name TEXT, city TEXT); INSERT INTO people VALUES (3, 'z', 'q');")
+    connection.close()
+    with pytest.raises(Exception, match="city"):
+        read_sqlite(spark, str(tmp_path)).collect()
