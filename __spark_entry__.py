@@ -236,6 +236,13 @@ def filter_value_list(spark, d):
     return apply_filters(orders, wanted).select("o_orderkey", "o_orderstatus")
 
 
+@_query("SELECT * FROM part WHERE p_size IN (5, 7)")
+def filter_value_list_numbers(spark, d):
+    """Texts that are no size, or not as the size is written, match nothing."""
+    wanted = [Filter("p_size", ("5", "7", "09", "x", "(null)"), "values")]
+    return apply_filters(_table(spark, d, "part"), wanted)
+
+
 @_query("SELECT o_orderkey FROM orders WHERE contains(coalesce(nullif(o_orderstatus, 'P'), '(null)'), 'null')")
 def filter_null_token(spark, d):
     orders = _holes(_table(spark, d, "orders"), "o_orderstatus", "P")
@@ -902,9 +909,33 @@ def csv_ingest_latin1(spark, d):
     return read_csv(spark, folder)
 
 
-@_query("SELECT e.event_id, e.user_id, e.event_type, e.value, e.props FROM events e")
+@_query("SELECT * FROM customer")
+def csv_ingest_mixed_headers(spark, d):
+    """Files with the same columns in another order are one table, by name."""
+    customer, folder = _table(spark, d, "customer"), scratch_dir(spark, "customer")
+    odd = F.col("c_custkey") % 2 == 1
+    customer.filter(odd).write.csv(folder, header=True)
+    customer.filter(~odd).select(*reversed(customer.columns)).write.mode("append").csv(folder, header=True)
+    return read_csv(spark, folder, types=dict(customer.dtypes))
+
+
+@_query("SELECT c_custkey, c_name, c_custkey || '\" pipe' AS size, CASE WHEN c_custkey % 7 = 0 THEN 'two' || chr(10) || 'lines'"
+        " WHEN c_custkey % 7 = 1 THEN '6\" x' END AS note FROM customer")
+def csv_ingest_stray_quotes(spark, d):
+    """Inch marks inside unquoted fields, beside quoted fields over two lines."""
+    kind = F.col("c_custkey") % 7
+    note = F.when(kind == 0, "two\nlines").when(kind == 1, '6" x')
+    customer = _table(spark, d, "customer").select(
+        "c_custkey", "c_name", F.concat("c_custkey", F.lit('" pipe')).alias("size"), note.alias("note")
+    )
+    folder = scratch_dir(spark, "customer")
+    customer.write.csv(folder, header=True, escapeQuotes=False)
+    return read_csv(spark, folder, types={"c_custkey": "bigint"})
+
+
+@_query("SELECT event_id, user_id, event_type, value, props, CAST(epoch_us(ts) AS BIGINT) AS ts FROM events")
 def tsv_ingest(spark, d):
-    events = _table(spark, d, "events").drop("ts")
+    events = _table(spark, d, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     return read_tsv(spark, export(events, scratch_dir(spark, "events"), "tsv"))
 
 
@@ -970,9 +1001,9 @@ def explorer_page(spark, d):
     return table.page(filters, sort_by="o_totalprice", case_insensitive=True)
 
 
-@_query("SELECT r_regionkey, r_name FROM region")
+@_query("SELECT * FROM part")
 def read_any_table(spark, d):
-    return read_table(spark, f"{d}/region.parquet")
+    return read_table(spark, f"{d}/part.parquet")
 
 
 # streams ---------------------------------------------------------------------------------

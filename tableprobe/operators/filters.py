@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from datetime import date
 from decimal import ROUND_CEILING, ROUND_FLOOR, Context, Decimal, InvalidOperation
 from functools import reduce
 
@@ -23,6 +24,8 @@ from ..functions.types import column, is_floating, is_integral, is_numeric
 
 _EXACT = Context(prec=400)
 _OPERATORS = (">", "<", ">=", "<=", "=")
+_PLAIN_INTEGER = re.compile("0|-?[1-9][0-9]{0,18}")
+_ISO_DATE = re.compile("[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _INTEGRAL_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
@@ -143,6 +146,13 @@ def _regex_matches(spark: SparkSession, pattern: str, text: str) -> bool | None:
 
 def _values(col: Column, dtype: T.DataType, item: Filter, case_insensitive: bool) -> Column:
     wanted = [str(v) for v in item.value]
+    far_date = isinstance(dtype, T.DateType) and any(v.startswith(("+", "-")) for v in wanted)
+    if is_integral(dtype) or isinstance(dtype, T.DateType) and not far_date:
+        # compared in the column's own type, so that the list reaches the scan
+        listed = NULL_TOKEN.lower() in [v.lower() for v in wanted] if case_insensitive else NULL_TOKEN in wanted
+        typed = [literal for v in wanted if (literal := _exact_literal(v, dtype)) is not None]
+        found = col.isin(typed) if typed else F.lit(False)
+        return found | col.isNull() if listed else found
     if case_insensitive:
         return F.lower(text_or_token(col, dtype)).isin([v.lower() for v in wanted])
     if NULL_TOKEN in wanted:
@@ -150,6 +160,20 @@ def _values(col: Column, dtype: T.DataType, item: Filter, case_insensitive: bool
     return text_view(col, dtype).isin(wanted)
 
 
+def _exact_literal(text: str, dtype: T.DataType) -> Column | None:
+    """The value of an integer or date type (of a four-digit year) whose text is exactly this; None if there is none."""
+    if isinstance(dtype, T.DateType):
+        try:
+            date.fromisoformat(text)
+        except ValueError:
+            return None
+        return F.lit(text).cast(dtype) if _ISO_DATE.fullmatch(text) else None
+    if not _PLAIN_INTEGER.fullmatch(text):
+        return None
+    high = 2 ** (_INTEGRAL_BITS[type(dtype)] - 1)
+    return F.lit(int(text)).cast(dtype) if -high <= int(text) < high else None
+
+
 # numbers ------------------------------------------------------------------------------
 
 

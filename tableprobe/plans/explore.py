@@ -82,11 +82,15 @@ class Explorer:
         offset: int = 0,
         limit: int = DEFAULT_PAGE_ROWS,
         max_cell_chars: int = 0,
+        wide_as_text: bool = False,
         **options,
     ) -> DataFrame:
-        """One page in wire form with `row_index`; long texts cut at `max_cell_chars`."""
+        """One page in wire form with `row_index`; long texts cut at `max_cell_chars`.
+
+        With `wide_as_text` integers past 2**53 are text, as in `page_json`; see `wire_view`.
+        """
         rows = page(self._pages, _filters(filters), sort_by, ascending, offset, limit, whole_table=True, **options)
-        shown = wire_view(rows)
+        shown = wire_view(rows, wide_as_text)
         if max_cell_chars:
             texts = [f.name for f in shown.schema.fields if is_string(f.dataType)]
             shown = shown.withColumns({n: truncate_text(column(n), max_cell_chars) for n in texts})

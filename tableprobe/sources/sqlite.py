@@ -149,7 +149,7 @@ class SqliteTableReader(DataSourceReader):
             raise ValueError(f"{partition.path}: table {table} has columns that the first database does not have: {', '.join(surplus)}")
         if self.counts:
             with closing(_connect(partition.path)) as connection:
-                (rows,) = connection.execute(*self._query(connection, table, "count(*)", partition, "")).fetchone()
+                (rows,) = connection.execute(*self._query(connection, table, "count(*)", partition, ordered=False)).fetchone()
             yield pa.RecordBatch.from_pylist([{_FILE: partition.path, _SLICE: partition.number, "rows": rows}])
             return
         wanted = [f.name for f in self.schema.fields[:-3]]
@@ -173,19 +173,31 @@ class SqliteTableReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in self.schema.fields])
 
     @staticmethod
-    def _query(connection, table: str, selected: str, part: _Slice, order: str = " ORDER BY rowid") -> tuple:
-        source = _name(table)
-        try:
-            low, high = connection.execute(f"SELECT min(rowid), max(rowid) FROM {source}").fetchone()
-        except sqlite3.OperationalError:  # a table without row ids is read by the first task
+    def _query(connection, table: str, selected: str, part: _Slice, ordered: bool = True) -> tuple:
+        source, key = _name(table), _row_id(connection, table)
+        if key is None:  # read by the first task
             return (f"SELECT {selected} FROM {source} WHERE ?", (part.number == 0,))
+        low, high = connection.execute(f"SELECT min({key}), max({key}) FROM {source}").fetchone()
         if low is None:
             return (f"SELECT {selected} FROM {source} WHERE 0", ())
         width = -(-(high - low + 1) // part.slices)
         start = low + width * part.number
         # the last row id of a range may be the largest there is, so it is included
         bounds = (start, min(start + width - 1, high))
-        return (f"SELECT {selected} FROM {source} WHERE rowid BETWEEN ? AND ?{order}", bounds)
+        return (f"SELECT {selected} FROM {source} WHERE {key} BETWEEN ? AND ?{f' ORDER BY {key}' if ordered else ''}", bounds)
+
+
+def _row_id(connection, table: str) -> str | None:
+    """A name of the row id that is not a column of the table; None if the table has no row ids or no name is left."""
+    taken = {name.lower() for (name,) in connection.execute("SELECT name FROM pragma_table_xinfo(?)", (table,))}
+    for name in ("rowid", "_rowid_", "oid"):
+        if name not in taken:
+            try:
+                connection.execute(f"SELECT {name} FROM {_name(table)} LIMIT 0")
+            except sqlite3.OperationalError:
+                return None
+            return name
+    return None
 
 
 def _cell_sql(name: str) -> str:

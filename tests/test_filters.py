@@ -1,3 +1,4 @@
+import datetime as dt
 from decimal import Decimal
 
 import pytest
@@ -155,3 +156,20 @@ def test_extreme_entries_neither_raise_nor_stall(spark, entry, operator, want, k
     df = spark.createDataFrame([(-2,), (0,), (1,), (5,)], "v int").select(F.col("v").cast(kind).alias("v"))
     got = apply_filters(df, [Filter("v", entry, "number", operator)])
     assert sorted(int(r.v) for r in got.collect()) == want
+
+
+def test_value_lists_compare_in_the_type_of_the_column(spark, tmp_path):
+    rows = [(5, dt.date(2024, 1, 2)), (-7, dt.date(2024, 2, 29)), (0, None), (None, dt.date(999, 1, 1))]
+    spark.createDataFrame(rows, "n int, d date").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def kept(name, *wanted, **options):
+        return sorted([r.n if r.n is not None else 99 for r in apply_filters(df, [Filter(name, wanted, "values")], **options).collect()])
+
+    assert kept("n", "5", "-7", "05", "+5", "5.0", "x", "", "9" * 400, str(2**31)) == [-7, 5]
+    assert kept("n", "-0", "٥") == [] and kept("n", "0", "(null)") == [0, 99] and kept("n", "(NULL)") == []
+    assert kept("n", "(NULL)", case_insensitive=True) == [99]
+    assert kept("d", "2024-01-02", "2024-02-30", "2024-1-2", "20240229", "0999-01-01") == [5, 99]
+    assert kept("d", "2024-02-29", "(null)") == [-7, 0] and kept("d", "+2024-02-29", "2024-01-02") == [5]
+    plan = apply_filters(df, [Filter("n", ("5", "-7"), "values")])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(n, [-7,5])]" in plan or "PushedFilters: [In(n, [5,-7])]" in plan

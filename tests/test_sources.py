@@ -70,6 +70,63 @@ def test_extra_fields_fail_also_with_given_types(spark, tmp_path):
         df.collect()
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+@pytest.mark.parametrize("row", ["1,2,", "1,2,,x", "1,2,,,", ",,x", '1,"2,3",x', '"1","2\n3",,y'])
+def test_rows_wider_than_the_header_are_refused(spark, tmp_path, row, multi_line):
+    path = put(tmp_path / "a.csv", f"a,b\n1,2\n{row}\n")
+    df = read_csv(spark, path, types={}, multi_line=multi_line or "\n" in row)
+    with pytest.raises(PySparkException, match="more than the header's 2 fields"):
+        df.count()
+    with pytest.raises(PySparkException, match="more than the header's 2 fields"):
+        df.select("b").collect()
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_short_rows_are_filled(spark, tmp_path, multi_line):
+    path = put(tmp_path / "a.csv", 'a,b,c\nx,y,z\nx\n"x,""1"\nx,y\n,y\n"x"')
+    df = read_csv(spark, path, multi_line=multi_line)
+    assert sorted(map(tuple, df.fillna("-").collect())) == sorted([("x", "y", "z"), ("x", "-", "-"), ('x,"1', "-", "-"), ("x", "y", "-"), ("-", "y", "-"), ("x", "-", "-")])
+    assert df.count() == 6
+
+
+def test_files_with_columns_in_another_order_are_read_by_name(spark, tmp_path):
+    put(tmp_path / "1.csv", "a,b\n1,x\n")
+    put(tmp_path / "2.csv", "\ufeffb,a\ny,2\n")
+    put(tmp_path / "3.csv", '\na,b\n3,"z\nz"\n')
+    put(tmp_path / "4.csv", "")
+    put(tmp_path / "5.csv", "b,a\n\xfc,5\n".encode("latin-1"))
+    df = read_csv(spark, str(tmp_path), row_index=True)
+    assert shape(df)[:2] == [("a", "bigint"), ("b", "string")]
+    assert sorted((r.row_index, r.a, r.b) for r in df.collect()) == [(1, 1, "x"), (2, 2, "y"), (3, 3, "z\nz"), (4, 5, "\xfc")]
+    put(tmp_path / "6.csv", "a,b,c\n6,x,y\n")
+    with pytest.raises(TableReadError, match="has the columns"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_header_over_two_lines(spark, tmp_path):
+    put(tmp_path / "1.csv", '"a\n1",b\n1,x\n')
+    put(tmp_path / "2.csv", '"a\n1",b\n2,y\n')
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path)).collect())) == [(1, "x"), (2, "y")]
+    put(tmp_path / "3.csv", '"a\n2",b\n3,z\n')
+    with pytest.raises(TableReadError, match="has the columns"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_a_quote_inside_a_field_or_in_another_file_leaves_files_split(spark, tmp_path):
+    put(tmp_path / "1.csv", "a,b\n" + "".join(f"{i},row {i}\n" for i in range(2000)))
+    put(tmp_path / "2.csv", 'a,b\n1,5" pipe\n2,"6"" pipe"\n')
+    put(tmp_path / "3.csv", 'a,b\n3,"two\nlines"\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_csv(spark, str(tmp_path))
+        parts = {r.b: r.p for r in df.select("b", F.spark_partition_id().alias("p")).collect()}
+        assert len({p for b, p in parts.items() if b.startswith("row")}) > 4
+        assert {'5" pipe', '6" pipe', "two\nlines"} < set(parts)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_header_only_and_tsv(spark, tmp_path):
     assert read_csv(spark, put(tmp_path / "a.csv", "a,b\n")).count() == 0
     df = read_tsv(spark, put(tmp_path / "a.tsv", "a\tb\n1\tx,y\n"))
@@ -132,6 +189,21 @@ def test_sqlite_types_are_settled_per_column(spark, database):
     assert [r.row_index for r in rows] == [1, 2, 3, 4, 5] and [r.double_id for r in rows] == [2, 4, 6, 8, 10]
 
 
+@pytest.mark.parametrize("columns", ["rowid INT, v", "rowid TEXT, _ROWID_ INT, v", "rowid, _rowid_, oid, v", "oid, rowid INTEGER PRIMARY KEY, v"])
+def test_sqlite_row_ids_beside_columns_of_that_name(spark, tmp_path, columns, monkeypatch):
+    from tableprobe.sources import sqlite
+
+    monkeypatch.setattr(sqlite, "SLICE_BYTES", 4096)
+    con = sqlite3.connect(tmp_path / "a.db")
+    con.execute(f"CREATE TABLE t ({columns})")
+    marks = [c.split()[0] for c in columns.split(", ")]
+    con.executemany(f"INSERT INTO t ({marks[0]}, v) VALUES (?, ?)", [(None if i % 2 else "1", f"row {i}" * 20) for i in range(300)])
+    con.commit()
+    con.close()
+    rows = read_sqlite(spark, str(tmp_path / "a.db"), "t", row_index=True).collect()
+    assert sorted((r.row_index, r.v) for r in rows) == [(i + 1, f"row {i}" * 20) for i in range(300)]
+
+
 def test_sqlite_slices_and_odd_tables(spark, database, monkeypatch):
     from tableprobe.sources import sqlite
 
