@@ -9,8 +9,8 @@ crosses it is taken if that comes nearer to the target.
 Cases: null and empty texts have size 0 and are never taken. A missing or non-positive weight counts as 1; weights are
 held to 0.1 to 10. Ties of the key fall back on id and size, and rows equal in these are interchangeable. A row without an id has the hash of ''.
 
-Scale: there is no window over a source. Keys are cut into bins, more for larger sources, with 10,000 rows on average (and at most
-100 times that by the bound on weights); sizes are summed per bin first, prefix sums run over the bins, then within each bin.
+Scale: there is no window over a source. Keys are cut into bins, more for larger sources, with 1,000 rows on average (and at most
+16 times that by the bound on weights); sizes are summed per bin first, prefix sums run over the bins, then within each bin.
 Only the rows' id, source, size and key are shuffled, never texts.
 """
 
@@ -23,7 +23,9 @@ from tableprobe.llm.common import prepare, saved
 WORD = r"[^\x20\x09-\x0D]+"
 #: The weights of the sources in turn.
 WEIGHTS = (5, 2, 1)
-_BIN, _LEAST, _MOST = 10_000, 0.1, 10.0
+_BIN, _LEAST, _MOST = 1_000, 0.1, 10.0
+#: Weights whose keys the bins suit; every weight is less than 3.2 times the next lower one of these.
+_RATES = (0.1, 0.316, 1.0, 3.16, 10.0)
 
 
 def size_of(text: Column) -> Column:
@@ -79,9 +81,10 @@ def mix_sources(
     full = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total") + 1e-9)).otherwise(0)
     plan = plan.withColumn("full", full).withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("total"), F.lit(0.0)))
     plan = saved(plan.withColumn("bins", F.ceil(F.col("n") / _BIN)).withColumnRenamed("source", "of"), "mix-plan")
-    # a monotone map of the key to bins
+    # a monotone map of the key to bins: the mean of the distributions that keys of the rates have
+    share = sum(1 - F.exp(-rate * F.col("key")) for rate in _RATES) / len(_RATES)
     binned = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    binned = binned.withColumn("bin", F.least(F.floor((1 - F.exp(-_LEAST * F.col("key"))) * F.col("bins")), F.col("bins") - 1))
+    binned = binned.withColumn("bin", F.least(F.floor(share * F.col("bins")), F.col("bins") - 1))
     sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("bin").alias("b"), F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("offset"))
