@@ -8,7 +8,7 @@ lower posterior bound of its rate, `z` standard deviations below the mean, is ab
 Cases: a url that is null or has no `://` has host and path '', no rule, and the reputation of the host ''. Repeated rows are
 judged alike. Without any labelled page nothing is blocked but by rules.
 
-Scale: pages are counted per host before they are shuffled; what is joined back is a row per host; three rows of moments go
+Scale: pages are read twice, and counted per host before they are shuffled; what is joined back is a row per host; three rows of moments go
 to the driver. Domain: the last two labels of the host; suffix: the last one.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprobe.llm.common import prepare
+from tableprobe.llm.common import prepare, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,9 +71,10 @@ def judge_urls(
     prepare(pages.sparkSession)
     url = pages[f"`{url_column}`"]
     rows = pages.select(F.struct(*[pages[f"`{c}`"] for c in pages.columns]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
-    labelled = pages.select(host_of(url).alias("host"), outcome.cast("int").alias("y")).where("y IS NOT NULL")
-    hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    # every host that occurs, labelled or not; written, as all levels and the last join start from it
+    counts = pages.select(host_of(url).alias("host"), outcome.cast("int").alias("y")).groupBy("host")
+    every = saved(counts.agg(F.count("y").alias("n"), F.sum("y").alias("k")), "url-hosts")
+    hosts = every.where("n > 0").withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
@@ -85,14 +86,10 @@ def judge_urls(
 
     suffixes = suffixes.select("suffix", mean(m_suffix, F.lit(float(rate)), F.col("n"), F.col("k")).alias("suffix_rate"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", mean(m_domain, F.col("suffix_rate"), F.col("n"), F.col("k")).alias("domain_rate"), "suffix_rate")
-    # every host that occurs, labelled or not
-    seen = rows.groupBy("host").count().select("host", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
-    seen = seen.join(hosts.select("host", "n", "k"), "host", "left")
+    seen = every.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     seen = seen.join(domains.select("domain", "domain_rate"), "domain", "left").join(suffixes, "suffix", "left")
     prior = F.coalesce("domain_rate", mean(m_domain, F.coalesce("suffix_rate", F.lit(float(rate))), F.lit(0), F.lit(0)))
-    n = F.coalesce("n", F.lit(0))
-    posterior = mean(m_host, prior, n, F.col("k"))
-    seen = seen.select("host", n.alias("n"), posterior.alias("rate"))
+    seen = seen.select("host", "n", mean(m_host, prior, F.col("n"), F.col("k")).alias("rate"))
     seen = seen.withColumn("bound", F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (m_host + F.col("n") + 1)))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     found = rows.join(seen, "host", "left")
