@@ -9,16 +9,22 @@ sets is at least `percent` / 100; linked documents form a component.
    children named by the values at one or two positions (4/3 on average, so that a pair at the threshold keeps one common
    child on average). Positions depend on the node alone: classes with the same values take the same path.
    Nodes of one class end; small nodes (up to 64 classes) are compared exhaustively; large ones branch on.
-3. A large node that hardly shrinks holds classes that are alike. It is cut at random into small nodes, each
-   with about 16 classes common to all parts of the node, and these are compared exhaustively.
+3. A large node that hardly shrinks mostly holds classes that are alike. It is first cut at random into small nodes, each
+   with about 16 classes common to all parts of the node, and these are compared exhaustively; see 6 for what that misses.
 4. Within a small node the agreement of the minwise values is computed for all pairs. Pairs under 0.58 are dropped (a pair at
    0.75 falls there with probability 5e-6). Of the others a spanning forest by descending agreement is
    confirmed on the full sets, and its components are found.
 5. Small nodes whose classes are not all in one component by then are compared once more: every pair of at least 0.58 between
    different components is confirmed. What is connected already needs no further links.
 
+6. Being alike is no link (texts with much in common can all stay below the threshold). So the classes of cut nodes that
+   are still in several components are taken up again. If all but 32 are in one component, these 32 meet every other class;
+   nodes of up to 512 classes are cut so that every part meets every other; larger ones branch on, down to small
+   nodes. The pairs between different components are then confirmed as in 5.
+
 Recall: a pair at 0.75 survives two levels of a tree with probability 0.69 and four with 0.53; eight trees miss it with
-probability 1e-4 and 2e-3; pairs above are found more often. Links found are exact (64-bit shingle names).
+probability 1e-4 and 2e-3. From there all paths are doubled at the depths `DOUBLED`, so that it is missed with at most 7e-3 at any
+depth (without, 0.12 at depth 16); pairs above are found more often. Links found are exact (64-bit shingle names).
 
 Cases: null texts and texts without words have the empty set and are linked with nothing. Rows with one
 doc_id count as one document: they share a component. A row without a doc_id has a null component and is
@@ -34,7 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableprobe.llm.common import Words, mix, prepare, saved, shingles
 from tableprobe.llm.components import connected_components
@@ -46,6 +52,10 @@ CUT = 0.58
 #: A child with more than this share of its node does not count as smaller.
 SHRINK = 0.7
 COMMON = 16
+#: A dense node of up to so many classes in several components is compared exhaustively.
+WHOLE = 512
+#: Depths at which the paths are doubled, so that recall does not fall with the depth.
+DOUBLED = (4, 6, 9, 13, 18, 24, 32, 40)
 _DEEPEST = 64
 
 _random = np.random.default_rng(7)
@@ -252,37 +262,82 @@ def _confirmer(percent: int):
     return run
 
 
-def _leaves(classes: DataFrame, trees: int) -> DataFrame:
-    """Entries (node, key) of all small nodes."""
-    spark = classes.sparkSession
+def _branched(entries: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """Entries (node, key, n, above) one level below entries (node, key, n) of that depth."""
+    if depth in DOUBLED:
+        entries = entries.select(F.explode(F.array("node", F.xxhash64("node", F.lit("again")))).alias("node"), "key", "n")
+    entries = entries.join(classes.select("key", "sketch"), "key").select("node", "key", "n", "sketch")
+    return saved(entries.mapInArrow(_deepen, _DEEPER), "nodes")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    every = frames[0]
+    for more in frames[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _leaves(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, int]:
+    """Entries (node, key) of all small nodes and of the parts of dense ones, entries (node, key) of the dense ones, and the depth reached."""
     entries = saved(classes.select("key", "sketch").mapInArrow(_planter(trees, 2), _ENTRY), "nodes")
     entries = entries.withColumn("above", F.lit(None).cast("long"))
-    leaves = []
+    leaves, cut = [], []
     for depth in range(2, _DEEPEST):
         counts = entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = saved(entries.join(counts, "node"), "nodes")
         large = sized.where(F.col("n") > SMALL)
         leaves.append(sized.where(F.col("n") <= SMALL).select("node", "key"))
         dense = large.where((F.col("n") > SHRINK * F.col("above")) | F.lit(depth == _DEEPEST - 1))
+        cut.append(dense.select("node", "key"))
         parts = F.ceil(F.col("n") * 2 / SMALL)
 
-        def part_of(part):
-            return F.xxhash64("node", part, F.lit("part")).alias("node")
-
         # random parts, and about COMMON entries of the node in each of them
-        leaves.append(dense.select(part_of(F.pmod(F.xxhash64("key", "node"), parts)), "key"))
+        leaves.append(dense.select(_part("part", F.pmod(F.xxhash64("key", "node"), parts)), "key"))
         common = dense.where(F.pmod(F.xxhash64("node", "key", F.lit("common")), F.col("n")) < COMMON)
-        leaves.append(
-            common.select("node", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(part_of(F.col("part")), "key")
-        )
+        leaves.append(common.select("node", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(_part("part", F.col("part")), "key"))
         going = large.where(~F.coalesce(F.col("n") > SHRINK * F.col("above"), F.lit(False)))
         if depth == _DEEPEST - 1 or going.limit(1).count() == 0:
             break
-        entries = saved(going.select("node", "key", "n").join(classes.select("key", "sketch"), "key").select("node", "key", "n", "sketch").mapInArrow(_deepen, _DEEPER), "nodes")
-    every = leaves[0]
-    for more in leaves[1:]:
-        every = every.unionByName(more)
-    return every
+        entries = _branched(going.select("node", "key", "n"), classes, depth)
+    return _union(leaves), _union(cut), depth
+
+
+def _part(label: str, *of) -> Column:
+    return F.xxhash64("node", *of, F.lit(label)).alias("node")
+
+
+def _open(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """Entries of nodes with several components; `others` of the `n` are not in the largest, `top`."""
+    rooted = entries.select("node", "key").join(ids, "key")
+    counts = rooted.groupBy("node", "root").agg(F.count("*").alias("c"))
+    nodes = counts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most")).where("n > most.c")
+    return rooted.join(nodes, "node").select("node", "key", "root", "n", F.col("most.root").alias("top"), (F.col("n") - F.col("most.c")).alias("others"))
+
+
+def _below_dense(cut: DataFrame, ids: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """Entries (node, key) of small nodes that hold the pairs of different components of dense nodes."""
+    leaves, entries = [], cut
+    while True:
+        sized = saved(_open(entries, ids), "nodes")
+        leaves.append(sized.where(F.col("n") <= SMALL).select("node", "key"))
+        large = sized.where(F.col("n") > SMALL)
+        parts = F.ceil(F.col("n") * 2 / SMALL)
+        own = F.pmod(F.xxhash64("key", "node", F.lit("own")), parts)
+        every_part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+        # all but few are one component: these few meet every other class
+        few = F.col("others") <= SMALL // 2
+        leaves.append(large.where(few & (F.col("root") == F.col("top"))).select(_part("few", own), "key"))
+        leaves.append(large.where(few & (F.col("root") != F.col("top"))).select("node", "key", every_part).select(_part("few", F.col("part")), "key"))
+        # up to WHOLE classes (or at the end): every part meets every other
+        last = depth >= _DEEPEST
+        whole = ~few & ((F.col("n") <= WHOLE) | F.lit(last))
+        met = large.where(whole).select("node", "key", own.alias("own"), every_part).where("own <> part")
+        leaves.append(met.select(_part("met", F.least("own", "part"), F.greatest("own", "part")), "key"))
+        going = large.where(~few & ~whole)
+        if last or going.limit(1).count() == 0:
+            return _union(leaves)
+        entries = _branched(going.select("node", "key", "n"), classes, depth)
+        depth += 1
 
 
 def near_duplicates(
@@ -297,7 +352,8 @@ def near_duplicates(
     sketches = saved(rows.mapInArrow(_sketcher(size, empty_like(schema)), schema), "sketches")
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = saved(classes, "classes")
-    leaves = saved(_leaves(classes, trees), "leaves")
+    leaves, cut, depth = _leaves(classes, trees)
+    leaves, cut = saved(leaves, "leaves"), saved(cut, "dense")
 
     def compared(entries: DataFrame, with_roots: bool) -> DataFrame:
         members = entries.join(classes.select("key", "sketch"), "key")
@@ -305,12 +361,15 @@ def near_duplicates(
 
     pairs = saved(compared(leaves, False), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = wanted.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
-    sets = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_setter(size), "key binary, names binary")
-    sets = saved(sets.dropDuplicates(["key"]), "sets")
+    def sets_for(some: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        wanted = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
+        if but is not None:
+            wanted = wanted.join(but.select("key"), "key", "left_anti")
+        wanted = wanted.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
+        found = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_setter(size), "key binary, names binary")
+        return saved(found.dropDuplicates(["key"]), "sets")
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def confirmed(some: DataFrame, sets: DataFrame) -> DataFrame:
         sided = some.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("names").alias("of_a")), "a")
         sided = sided.join(sets.select(F.col("key").alias("b"), F.col("names").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
         links = sided.mapInArrow(_confirmer(percent), "a binary, b binary")
@@ -319,14 +378,21 @@ def near_duplicates(
         links = links.join(ids.select(F.col("key").alias("b"), F.col("rep").alias("v")), "b")
         return saved(links.select("a", "b", "u", "v"), "links")
 
-    links = confirmed(pairs)
+    sets = sets_for(pairs)
+    links = confirmed(pairs, sets)
     roots = connected_components(links.select("u", "v"))
     ids = classes.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("root"))
+    ids = saved(ids, "roots")
     rooted = leaves.join(ids, "key")
     open_nodes = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
-    rest = saved(compared(rooted.join(open_nodes, "node"), True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    again = rooted.join(open_nodes, "node").select("node", "key", "root")
+    dense = cut.limit(1).count() > 0
+    if dense:
+        again = again.unionByName(_below_dense(cut, ids, classes, depth).join(ids, "key").select("node", "key", "root"))
+    rest = saved(compared(again, True).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        more = confirmed(rest)
+        # parts of dense nodes can pair classes that had no pair before
+        more = confirmed(rest, sets.unionByName(sets_for(rest, sets)) if dense else sets)
         roots = connected_components(links.unionByName(more).select("u", "v"))
     found = sketches.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
     found = found.join(roots, F.col("rep") == F.col("node"), "left")

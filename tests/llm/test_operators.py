@@ -408,6 +408,26 @@ def test_near_duplicates_of_odd_rows(spark, empty):
     ]
 
 
+@pytest.mark.parametrize("whole", [512, 80])
+def test_near_duplicates_among_shared_boilerplate(spark, monkeypatch, whole):
+    """Texts that share 0.70 of their shingles are not linked, and hide pairs of 0.78; exhaustively, and by branching on."""
+    monkeypatch.setattr(near_dup, "WHOLE", whole, raising=False)
+    prepare(spark)
+    shared = " ".join(f"s{j}" for j in range(204))
+
+    def text(i):
+        own, both = (f"p{i}", f"q{i // 2}") if i < 80 else (f"p{i}", f"r{i}")
+        return " ".join([shared, *(f"{both}x{j}" for j in range(15)), *(f"{own}x{j}" for j in range(27))])
+
+    rows = [(i, text(i)) for i in range(400)]
+    shingles = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert jaccard(shingles[0], shingles[2]) < 0.72 and 0.76 < jaccard(shingles[0], shingles[1]) < 0.8
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    wrong = [r.doc_id for r in got if r.component_id != (r.doc_id // 2 * 2 if r.doc_id < 80 else r.doc_id)]
+    assert wrong == []
+
+
 # language model -----------------------------------------------------------------------------
 
 
