@@ -4,10 +4,13 @@ Every word is the sum of three hashed embeddings (the word, its first and its la
 (zero-padded at the end of the text) are rectified and max-pooled over the whole text, and a linear layer makes the score. It is
 trained in numpy with Adam; gradients flow through the pooled positions only. The first dimension of the embeddings starts at the log odds
 of their bucket. The language of a text is guessed from its words; the threshold of each language is the one with the best F1 on
-a part of the sample not trained on, and scores are shifted so that it lies at 0.5.
+all labelled rows not trained on, and scores are shifted so that it lies at 0.5.
 
-*Sample.* Training uses at most `POSITIVES` toxic and `NEGATIVES` other labelled rows, those with the smallest hashes of their id, of
-texts up to `LONGEST` bytes; that bounds what reaches the driver. Scoring covers every text as a whole.
+*Sample.* Only the weights come from a sample: at most `POSITIVES` toxic and `NEGATIVES` other labelled rows, those with the smallest
+hashes of their id, of texts up to `LONGEST` bytes, without every fifth id; that bounds what reaches the driver. The words of
+the languages and the thresholds come from whole texts of all labelled rows (thresholds: those not sampled), counted by Spark
+into buckets and score bins by language and label. Every language has a threshold of its own; the bins of all languages are added
+to its bins with the weight of `PRIOR` toxic rows, so that a few rows alone don't decide. Scoring covers every text as a whole.
 
 Cases: null and empty texts have no words; their score is 0. Labels that are null are not used; of several labels of one
 row the largest counts. Without labelled rows of both kinds every score is the share of toxic ones among them (0 without any). Rows
@@ -23,16 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprobe.llm.common import Words, buffers, prepare
+from tableprobe.llm.common import Words, buffers, prepare, saved
 
 POSITIVES, NEGATIVES, LONGEST = 2500, 5500, 200_000
 BUCKETS, SIZE, AFFIX = 1 << 15, 8, 5
 WIDTHS, FILTERS = (1, 2, 3), 8
 #: Steps of training, whatever the size of the sample.
 STEPS, BATCH, RATE = 600, 64, 0.01
-#: Every fifth row of the sample calibrates.
+#: Every fifth row is never trained on.
 HELD = 5
-MAX_LANGUAGES, MIN_CALIBRATION = 32, 20
+#: So many toxic rows of all languages count for each language's threshold.
+PRIOR = 5
+#: Scores are counted in bins from -RANGE to RANGE, BINS to one.
+RANGE, BINS = 40, 64
 
 
 @dataclass
@@ -138,15 +144,20 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "lang")), own], names=["id", "label", "lang", "words"])
 
 
-def fit(words: np.ndarray, first: np.ndarray, labels: np.ndarray, langs: list, weight_of_negatives: float = 1.0) -> Model:
-    """A model of rows with these features; `weight_of_negatives`: how many rows a negative stands for, compared with a positive."""
+def fit(words: np.ndarray, first: np.ndarray, labels: np.ndarray, langs: list, weight_of_negatives: float = 1.0, calibrate: bool = True) -> Model:
+    """A model of rows with these features; `weight_of_negatives`: how many rows a negative stands for, compared with a positive.
+
+    With `calibrate`, every fifth row makes languages and thresholds and is not trained on; without, all rows are, and both are left out.
+    """
     if len(labels) == 0 or labels.all() or not labels.any():
         return Model(constant=float(labels.mean()) if len(labels) else 0.0)
     random = np.random.default_rng(5)
     rows = np.arange(len(labels))
     held = rows[rows % HELD == 0]
     train = rows[rows % HELD != 0]
-    if labels[train].all() or not labels[train].any() or labels[held].all() or not labels[held].any():
+    if not calibrate:
+        train = rows
+    elif labels[train].all() or not labels[train].any() or labels[held].all() or not labels[held].any():
         held = train = rows
     # log odds of a bucket over the rows it occurs in
     embeddings = random.normal(0, 0.05, (3, BUCKETS, SIZE)).astype(np.float32)
@@ -206,68 +217,134 @@ def fit(words: np.ndarray, first: np.ndarray, labels: np.ndarray, langs: list, w
             bias_state.step([np.array([error.sum()], np.float32)])
     model.out_bias = float(bias_state.values[0][0])
 
-    # languages by their words
-    known = sorted({lang for lang in langs if lang is not None})[:MAX_LANGUAGES]
-    counts = np.zeros((len(known), BUCKETS))
-    for r in rows:
-        if langs[r] in known:
-            counts[known.index(langs[r])] += np.bincount(words[0, first[r] : first[r + 1]], minlength=BUCKETS)
+    if calibrate:
+        known = sorted({lang for lang in langs if lang is not None})
+        counts = np.zeros((len(known), BUCKETS))
+        for r in rows:
+            if langs[r] is not None:
+                counts[known.index(langs[r])] += np.bincount(words[0, first[r] : first[r + 1]], minlength=BUCKETS)
+        _set_languages(model, known, counts)
+        w, f = _slice(words, first, held)
+        bins = np.zeros((len(known) + 1, 2, 2 * RANGE * BINS))
+        np.add.at(bins, (guess_languages(model, w, f), labels[held], _bin(logits(model, w, f))), 1)
+        _set_thresholds(model, bins, weight_of_negatives)
+    return model
+
+
+def _set_languages(model: Model, known: list[str], counts: np.ndarray):
+    """Languages by how often their texts have the words of each bucket."""
     smooth = counts + 0.1
     model.languages = known
     model.language_words = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
 
-    # thresholds
-    w, f = _slice(words, first, held)
-    score, guess, y = logits(model, w, f), guess_languages(model, w, f), labels[held]
-    model.thresholds = np.full(len(known) + 1, _threshold(score, y, weight_of_negatives))
-    for lang in range(len(known)):
-        own = guess == lang
-        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= MIN_CALIBRATION:
-            model.thresholds[lang] = _threshold(score[own], y[own], weight_of_negatives)
-    return model
 
+def _bin(score: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((score.astype(np.float64) + RANGE) * BINS), 0, 2 * RANGE * BINS - 1).astype(np.int64)
+
+
+def _set_thresholds(model: Model, bins: np.ndarray, weight_of_negatives: float):
+    """Thresholds from counts by (guessed language, label, bin)."""
+    bins = bins * np.array([weight_of_negatives, 1.0])[None, :, None]
+    every = bins.sum(axis=0)
+    prior = every * (PRIOR / max(1, every[1].sum()))
+    model.thresholds = np.array([_threshold(own + prior) for own in bins[:-1]] + [_threshold(every)])
 
-def _threshold(score: np.ndarray, labels: np.ndarray, weight_of_negatives: float) -> float:
-    """The score that separates best by F1: the middle between the last row above and the first below."""
-    order = np.argsort(-score, kind="stable")
-    s, y = score[order].astype(np.float64), labels[order]
-    hits = np.cumsum(y)
-    wrong = np.cumsum((1 - y) * weight_of_negatives)
-    f1 = 2 * hits / (hits + wrong + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # rows of one score stay together
-    best = int(np.argmax(f1))
-    return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best] - 1)
+
+def _threshold(bins: np.ndarray) -> float:
+    """The score that separates best by F1, in the middle between the last bin above and the first below."""
+    used = np.flatnonzero(bins.sum(axis=0))[::-1]
+    if not len(used):
+        return 0.0
+    hits, wrong = np.cumsum(bins[1][used]), np.cumsum(bins[0][used])
+    best = int(np.argmax(2 * hits / np.maximum(hits + wrong + hits[-1], 1e-12)))
+    low = used[best] if best + 1 == len(used) else (used[best] + used[best + 1] + 1) / 2
+    return float(low / BINS - RANGE)
+
+
+def _word_counts(batches):
+    """How often each bucket occurs in the texts of a language, per task."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        words, first = features(batch.column("text"))
+        for row, lang in enumerate(batch.column("lang").to_pylist()):
+            if lang not in counts:
+                counts[lang] = np.zeros(BUCKETS, np.int64)
+            counts[lang] += np.bincount(words[0, first[row] : first[row + 1]], minlength=BUCKETS)
+    for lang, own in counts.items():
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], names=["lang", "bucket", "n"])
+
+
+def _binner(shared):
+    def run(batches):
+        for batch in batches:
+            model = shared.value
+            words, first = features(batch.column("text"))
+            some = np.diff(first) > 0  # without words the score is 0 whatever the threshold
+            label = np.asarray(batch.column("label"))
+            where = np.stack([guess_languages(model, words, first), label, _bin(logits(model, words, first))])[:, some]
+            where, n = np.unique(where, axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in where), pa.array(n.astype(np.int64))], names=["guess", "label", "bin", "n"])
+
+    return run
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_column="doc_id", text_column="text", lang_column="lang", label_column="toxic") -> Model:
-    """A model from a bounded sample of the labelled rows of `docs`; `train`: over `labels`, which may be learned from."""
-    prepare(docs.sparkSession)
+    """A model of the labelled rows of `docs`; `train`: over `labels`, which may be learned from."""
+    spark = prepare(docs.sparkSession)
     own = labels.where(train).where(labels[f"`{label_column}`"].isNotNull() & labels[f"`{id_column}`"].isNotNull())
     own = own.groupBy(own[f"`{id_column}`"].alias("id")).agg(F.max(own[f"`{label_column}`"]).cast("int").alias("label"))
     rows = docs.select(
         docs[f"`{id_column}`"].alias("id"),
         docs[f"`{text_column}`"].cast("binary").alias("text"),
         (docs[f"`{lang_column}`"] if lang_column in docs.columns else F.lit(None)).cast("string").alias("lang"),
-    ).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    )
     # ids of rows that exist, so that the sample is full whatever `docs` holds
-    own = own.join(rows.select("id").distinct(), "id", "left_semi")
-    totals = {r.label: r.n for r in own.where("label IN (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST
+    own = own.where("label IN (0, 1)").join(rows.groupBy("id").agg(F.max(short).alias("short")), "id")
+    own = saved(own.withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(HELD)) == 0), "labelled")
+    totals = {(r.label, r.short, r.held): r.n for r in own.groupBy("label", "short", "held").agg(F.count("*").alias("n")).collect()}
+
+    def both(of) -> bool:
+        return all(any(label == k[0] and of(k) for k in totals) for label in (0, 1))
+
+    total = [sum(n for k, n in totals.items() if k[0] == label) for label in (0, 1)]
+    if not both(lambda k: k[1]):
+        return Model(constant=total[1] / max(1, sum(total)))
+    usable = own.where("short AND NOT held") if both(lambda k: k[1] and not k[2]) else own.where("short")
     chosen = []
     for label, most in ((1, POSITIVES), (0, NEGATIVES)):
-        chosen += [(r.id, label) for r in own.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
-    if not chosen:
-        return Model(constant=0.0)
-    spark = docs.sparkSession
+        chosen += [(r.id, label) for r in usable.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
     ids = spark.createDataFrame(chosen, "id long, label int")
     # at most POSITIVES + NEGATIVES ids
-    sample = rows.join(F.broadcast(ids), "id").select("id", "label", "lang", "text").mapInArrow(_featured, "id long, label int, lang string, words binary")
+    sample = rows.where(short).join(F.broadcast(ids), "id").select("id", "label", "lang", "text").mapInArrow(_featured, "id long, label int, lang string, words binary")
     sample = sample.toArrow().sort_by([("id", "ascending"), ("words", "ascending")]).combine_chunks()
     words, first = buffers(sample.column("words"))
     words, first = np.ascontiguousarray(words.view(np.uint16).reshape(-1, 3).T).astype(np.int32), first // 6
-    y = sample.column("label").to_numpy().astype(np.int64)
-    taken = np.bincount(y, minlength=2)
-    weight = (totals.get(0, 0) / max(1, taken[0])) / (totals.get(1, 0) / max(1, taken[1]) or 1)
-    return fit(words, first, y, sample.column("lang").to_pylist(), weight)
+    model = fit(words, first, sample.column("label").to_numpy().astype(np.int64), [], calibrate=False)
+
+    # languages from all labelled rows, thresholds from all that were not fitted on
+    labelled = rows.join(own.select("id", "label"), "id")
+    counted = labelled.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_word_counts, "lang string, bucket int, n long")
+    counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    langs = counted.column("lang").to_pylist()
+    known = sorted(set(langs))
+    place = {lang: i for i, lang in enumerate(known)}
+    counts = np.zeros((len(known), BUCKETS))
+    counts[[place[lang] for lang in langs], counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    _set_languages(model, known, counts)
+    model.thresholds = np.zeros(len(known) + 1)
+    left = [total[label] - sum(c[1] == label for c in chosen) for label in (0, 1)]
+    if min(left):
+        labelled = labelled.join(F.broadcast(ids.select("id")), "id", "left_anti")
+    else:
+        left = total
+    bins = np.zeros((len(known) + 1, 2, 2 * RANGE * BINS))
+    binned = labelled.select("label", "text").mapInArrow(_binner(spark.sparkContext.broadcast(model)), "guess int, label int, bin int, n long")
+    for r in binned.groupBy("guess", "label", "bin").agg(F.sum("n").alias("n")).collect():
+        bins[r.guess, r.label, r.bin] = r.n
+    _set_thresholds(model, bins, (total[0] / left[0]) / (total[1] / left[1]))
+    return model
 
 
 def toxicity(text: Column | str, model: Model, spark) -> Column:

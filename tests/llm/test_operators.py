@@ -199,6 +199,25 @@ def test_toxicity_of_odd_texts(spark):
     assert (scores[:2] == 0).all() and (scores[:3] < 0.5).all() and (scores[3:] >= 0.5).all()
 
 
+def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    """A few rows are fitted on; all others, long ones too, make a threshold for every language."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 60)
+    monkeypatch.setattr(toxicity, "NEGATIVES", 60)
+    monkeypatch.setattr(toxicity, "LONGEST", 500)
+    seen = []
+    known = toxicity._threshold
+    monkeypatch.setattr(toxicity, "_threshold", lambda *a: seen.append(np.asarray(a[0])) or known(*a))
+    words = {"en": "the cat", "xx": "ba bo", "yy": "zu zi"}
+    rows = [(i, f"{words[lang]} {'idiot ' if i % 4 == 0 else 'nice '}" * (3 if i % 8 < 4 else 40), lang) for i in range(600) for lang in ["en" if i < 540 else "xx" if i < 580 else "yy"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(docs, labels, F.lit(True))
+    assert model.languages == ["en", "xx", "yy"]
+    assert len(seen) == 4 and seen[-1][1].sum() == 90  # 150 toxic rows, 60 fitted on
+    scores = toxicity.predict(model, pa.array([t for _, t, _ in rows]))
+    assert ((scores >= 0.5) == (np.arange(600) % 4 == 0)).mean() > 0.97
+
+
 def test_filters_stay_within_texts():
     random_ = np.random.default_rng(2)
     model = toxicity.Model(
