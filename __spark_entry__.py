@@ -974,6 +974,19 @@ def workbook_ingest(spark, d):
     return rows.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
+@_query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority,"
+        " row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) AS row_index FROM orders")
+def workbook_ingest_unlike_files(spark, d):
+    """Workbooks whose columns stand in different orders, matched by name."""
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    folder = scratch_dir(spark, "workbooks")
+    for rest, columns in enumerate([orders.columns, orders.columns[::-1]]):
+        some = orders.where(F.col("o_orderkey") % 2 == rest).repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey")
+        write_workbooks(some.select(*columns), f"{folder}/{rest}", "Orders 2024")
+    rows = read_workbook(spark, folder, "Orders 2024", row_index=True)
+    return rows.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 @_query(
     """SELECT * FROM (VALUES ('benchmark', 'parquet'), ('conversations', 'parquet'), ('customer', 'parquet'),
       ('documents', 'parquet'), ('embeddings', 'parquet'), ('events', 'parquet'), ('labels', 'parquet'),

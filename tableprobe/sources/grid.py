@@ -4,7 +4,8 @@ Cells come as whole rows, the way a workbook is decoded, or as a long table of s
 Row 1 of the first sheet names the columns, whatever it holds. Rows behind the last one with
 a value are not there, blank rows between are; short rows are filled with nulls.
 Missing-value markers and error values are nulls, and every column gets its type from all its
-values. Sheets of several paths are stacked in the order of the paths.
+values. Sheets of several paths are stacked in the order of the paths; their cells are matched by column name, in
+any order, and a sheet that does not have the columns of the first is refused.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ def rows_to_table(rows: DataFrame, row_index: bool = False) -> DataFrame:
     shape = _shape(sheets)
     if not shape.width:
         return rows.sparkSession.createDataFrame([], T.StructType([]))
-    first = rows.filter((F.col("path") == shape["first"]) & (F.col("row") == 1)).select("cells.text").first()
-    names = header_names(list(first[0]) if first else [], shape.width)
+    headers = sheets.join(rows.filter("row = 1").select("path", F.col("cells.text").alias("header")), "path", "left")
+    names, places = _columns(headers, shape)
     body = rows.filter("row > 1")
+    if places is not None:
+        ordered = F.transform("places", lambda place: F.get("cells", place))
+        body = body.join(places, "path").withColumn("cells", ordered).drop("places")
     cells = body.select(F.posexplode("cells").alias("i", "cell"))
     types = kind_types(cells.withColumn("cell", without_markers(F.col("cell"), sheet=True)), shape.width)
     values = [F.get("cells", F.lit(i)) for i in range(shape.width)]
@@ -51,9 +55,13 @@ def grid_to_table(cells: DataFrame, row_index: bool = False) -> DataFrame:
     shape = _shape(sheets, F.max((F.col("last") - 1 > F.col("filled")).cast("int")).alias("gaps"))
     if not shape.width:
         return cells.sparkSession.createDataFrame([], T.StructType([]))
-    header = cells.filter((F.col("path") == shape["first"]) & (F.col("row") == 1)).select("col", "text").collect()
-    texts = {h.col: h.text for h in header}
-    names = header_names([texts.get(c) for c in range(1, shape.width + 1)])
+    head = cells.filter("row = 1").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("texts"))
+    texts = F.transform(F.sequence(F.lit(1), F.col("width").cast("int")), lambda c: F.element_at("texts", c.cast(cells.schema["col"].dataType)))
+    names, places = _columns(sheets.join(head, "path", "left").withColumn("header", texts), shape)
+    if places is not None:
+        moved = places.select("path", F.posexplode("places").alias("to", "place"))
+        moved = moved.select("path", (F.col("to") + 1).alias("to"), (F.col("place") + 1).alias("col"))
+        cells = cells.join(moved, ["path", "col"]).withColumn("col", F.col("to")).drop("to")
     body = cells.filter("row > 1").select("path", "row", "col", F.struct("kind", "text").alias("cell"))
     marked = body.select((F.col("col") - 1).alias("i"), without_markers(F.col("cell"), sheet=True).alias("cell"))
     types = kind_types(marked, shape.width)
@@ -67,6 +75,30 @@ def grid_to_table(cells: DataFrame, row_index: bool = False) -> DataFrame:
     return _table(rows, [F.col(f"`{c}`") for c in columns], names, types, sheets, shape, row_index)
 
 
+def _columns(headers: DataFrame, shape) -> tuple[list[str], DataFrame | None]:
+    """The names of the columns, and by path where each is, if not all sheets have the order of the first.
+
+    `headers`: `path` and `header`, the texts of row 1. They are compared in Spark; those of two sheets at most reach the driver.
+    """
+    width = shape.width
+    named = headers.select("path", F.coalesce("header", F.array().cast("array<string>")).alias("header"))
+    first = named.filter(F.col("path") == shape["first"]).first()
+    names = header_names(first.header, width)
+
+    @F.udf("array<int>")
+    def places_of(texts):
+        own = {name: i for i, name in enumerate(header_names(list(texts), width))}
+        return [own[name] for name in names] if own.keys() == set(names) else None
+
+    placed = named.withColumn("places", places_of("header"))
+    other = placed.filter("places IS NULL").orderBy("path").first()
+    if other:
+        raise TableReadError(f"{other.path} has the columns {header_names(other.header, width)}, {first.path} has {names}")
+    if placed.filter(F.col("places") != F.array(*map(F.lit, range(width)))).limit(1).count() == 0:
+        return names, None
+    return names, placed.select("path", "places")
+
+
 def _shape(sheets: DataFrame, *more: Column):
     """What all sheets have in common, as one row."""
     return sheets.agg(

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def header_names(cells: list[str | None], width: int | None = None) -> list[str]:

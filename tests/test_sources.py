@@ -302,6 +302,21 @@ def test_workbook(spark, tmp_path):
     assert read_cells(spark, f"{tmp_path}/books").filter("row = 1").count() == 5
 
 
+def test_workbooks_with_unlike_headers(spark, tmp_path):
+    """Columns are matched by name, in any order; a workbook with other columns is refused."""
+    folder = f"{tmp_path}/books"
+    write_workbooks(spark.createDataFrame([(1, "x")], "id bigint, name string").coalesce(1), f"{folder}/a", "S")
+    write_workbooks(spark.createDataFrame([("y", 2)], "name string, id bigint").coalesce(1), f"{folder}/b", "S")
+    got = read_workbook(spark, folder, row_index=True)
+    assert shape(got) == [("id", "bigint"), ("name", "string"), ("row_index", "bigint")]
+    assert sorted(map(tuple, got.collect())) == [(1, "x", 1), (2, "y", 2)]
+    grid = grid_to_table(read_cells(spark, folder).select("path", "row", "col", "kind", "text"))
+    assert sorted(map(tuple, grid.collect())) == [(1, "x"), (2, "y")]
+    write_workbooks(spark.createDataFrame([(3, "z")], "id bigint, town string").coalesce(1), f"{folder}/c", "S")
+    with pytest.raises(TableReadError, match="has the columns"):
+        read_workbook(spark, folder)
+
+
 def test_workbook_parts(spark, tmp_path):
     """Shared strings, styles, formulas, errors and a chart sheet, in a hand-made package."""
     import zipfile
