@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprobe.llm import bpe, langid, lm, mixing, near_dup, quality, suffix_dedup, topk, toxicity, url_filter
+from tableprobe.llm import bpe, langid, lm, merkle, mixing, near_dup, quality, suffix_dedup, topk, toxicity, url_filter
 from tableprobe.llm.common import prepare
 
 QUERIES: dict = {}
@@ -196,3 +196,66 @@ def op10_deleted_interpolation(spark, d):
     scored = lm.score_texts(docs, fold(10) != 0)
     held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out")
     return scored.select("row.doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: The unsigned crc32 of a list of bytes, by the table of its polynomial (256 entries, made from the rule).
+_CRC32 = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+      lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_table)"""
+
+
+def _crc32(byte_list: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {byte_list}),
+      lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)])))"""
+
+
+def _row_hash(*columns: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return f"sha256({' || '.join(parts)})"
+
+
+@_query(
+    f"""WITH RECURSIVE {_CRC32},
+    d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '-') AS g, {_row_hash("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+        CASE WHEN {_crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 2 = 0
+          THEN {_row_hash("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")} END AS altered FROM documents, crc),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+    up AS (SELECT 0 AS level, g, i, n, leaf AS hash FROM placed
+      UNION ALL SELECT level + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY level, g, i // 3, n),
+    tops AS (SELECT g, hash AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+    high AS (SELECT 0 AS level, '' AS g, i, n, subroot AS hash FROM tops
+      UNION ALL SELECT level + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, g, i // 3, n),
+    levels AS (SELECT g, max(level) AS depth FROM up GROUP BY g),
+    steps AS (
+      SELECT r, up.level, hash, i AS at FROM (SELECT r, g, i AS place, n AS leaves FROM placed) p JOIN up USING (g) WHERE up.i // 3 = p.place // CAST(3 ** (level + 1) AS BIGINT) AND n > 1
+      UNION ALL SELECT r, depth + high.level, hash, high.i FROM placed p JOIN tops t USING (g) JOIN levels USING (g) JOIN high ON high.i // 3 = t.i // CAST(3 ** (high.level + 1) AS BIGINT) AND high.n > 1),
+    own AS (
+      SELECT r, up.level, up.i AS at FROM placed p JOIN up USING (g) WHERE up.i = p.i // CAST(3 ** level AS BIGINT) AND up.n > 1
+      UNION ALL SELECT r, depth + high.level, high.i FROM placed p JOIN tops t USING (g) JOIN levels USING (g) JOIN high ON high.i = t.i // CAST(3 ** high.level AS BIGINT) AND high.n > 1),
+    sides AS (SELECT r, level, coalesce(string_agg(hash, '' ORDER BY steps.at) FILTER (steps.at < own.at), '') AS l,
+        coalesce(string_agg(hash, '' ORDER BY steps.at) FILTER (steps.at > own.at), '') AS x FROM steps JOIN own USING (r, level) GROUP BY r, level),
+    proofs AS (SELECT r, sha256(string_agg(l || x, '' ORDER BY level)) AS proof, max(level) AS last FROM sides GROUP BY r),
+    folded AS (SELECT r, 0 AS level, coalesce(altered, leaf) AS hash FROM d
+      UNION ALL SELECT r, level + 1, sha256(l || hash || x) FROM folded JOIN sides USING (r, level)),
+    ends AS (SELECT r, arg_max(hash, level) AS folded_root FROM folded GROUP BY r)
+    SELECT doc_id, leaf, subroot, (SELECT hash FROM high WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+      folded_root = (SELECT hash FROM high WHERE n = 1) AS verified FROM placed JOIN tops USING (g) JOIN ends USING (r) LEFT JOIN proofs USING (r)"""
+)
+def op11_merkle_manifest(spark, d):
+    docs = _read(spark, d, "documents")
+    odd_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+
+    def leaf(text):
+        return merkle.row_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    cut = F.when(odd_out, leaf(F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = docs.select("doc_id", "source", leaf(F.col("text")).alias("whole"), cut.alias("tampered"))
+    made = merkle.manifest(rows, F.col("source"), [F.col("doc_id")], F.col("whole"))
+    proven = made.select(
+        "row.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("row.tampered", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
