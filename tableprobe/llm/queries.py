@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprobe.llm import bpe, langid, lm, merkle, mixing, near_dup, quality, suffix_dedup, topk, toxicity, url_filter
+from tableprobe.llm import bpe, langid, lm, merkle, mixing, near_dup, quality, suffix_dedup, topk, toxicity, url_filter, variants
 from tableprobe.llm.common import prepare
 
 QUERIES: dict = {}
@@ -259,3 +259,42 @@ def op11_merkle_manifest(spark, d):
         merkle.fold(F.coalesce("row.tampered", "leaf"), F.col("path")).alias("folded_root"),
     )
     return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_BYTES = """flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+      ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))"""
+
+
+@_query(
+    rf"""WITH RECURSIVE {_CRC32},
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+      FROM documents),
+    hashed AS (SELECT run, {_crc32(_BYTES.format("(CAST(doc_id AS VARCHAR) || ':' || run)"))} AS h FROM runs, crc WHERE length(run) >= 7),
+    kept AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+    w AS (SELECT word, count(*) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+    spread AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+    masks AS (SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS k, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM spread),
+    pairs AS (SELECT a.word, b.word AS other, b.n FROM masks a JOIN masks b ON a.k = b.k AND a.word <> b.word
+      UNION SELECT m.word, w.word, w.n FROM masks m JOIN w ON m.less = w.word
+      UNION SELECT w.word, m.word, m.n FROM masks m JOIN w ON m.less = w.word),
+    best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY word),
+    tied AS (SELECT p.word, min(other) AS other FROM pairs p JOIN best b ON p.word = b.word AND p.n = b.most GROUP BY p.word),
+    formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN other END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+      FROM w LEFT JOIN best USING (word) LEFT JOIN tied USING (word)),
+    chain(word, root, step) AS (SELECT word, form, 1 FROM formed WHERE form IS NOT NULL
+      UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL),
+    ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+    SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends USING (word)"""
+)
+def op12_spelling_variants(spark, d):
+    docs = _read(spark, d, "documents")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate("text", capitals, capitals.lower())
+    # shorter runs give no words of seven letters
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(lowered, F.lit("([a-zÀ-ÿ]{7,})"))).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    place = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.col("run").substr(F.lit(1), place), F.col("run").substr(place + 2, F.length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    return variants.spelling_variants(counted, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
