@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprobe.llm import bpe, langid, lm, merkle, mixing, near_dup, quality, suffix_dedup, topk, toxicity, url_filter, variants
+from tableprobe.llm import bpe, langid, lm, merkle, mixing, near_dup, pii, quality, suffix_dedup, topk, toxicity, url_filter, variants
 from tableprobe.llm.common import prepare
 
 QUERIES: dict = {}
@@ -298,3 +298,10 @@ def op12_spelling_variants(spark, d):
     words = runs.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
     return variants.spelling_variants(counted, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@_query()
+def op13_personal_data(spark, d):
+    found = pii.find_personal_data(_read(spark, d, "documents").select("doc_id", "text"))
+    counts = [pii.number_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("row.doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
