@@ -6,11 +6,13 @@ trained in numpy with Adam; gradients flow through the pooled positions only. Th
 of their bucket. The language of a text is guessed from its words; the threshold of each language is the one with the best F1 on
 all labelled rows not trained on, and scores are shifted so that it lies at 0.5.
 
-*Sample.* Only the weights come from a sample: at most `POSITIVES` toxic and `NEGATIVES` other labelled rows, those with the smallest
-hashes of their id, of texts up to `LONGEST` bytes, without every fifth id; that bounds what reaches the driver. The words of
-the languages and the thresholds come from whole texts of all labelled rows (thresholds: those not sampled), counted by Spark
-into buckets and score bins by language and label. Every language has a threshold of its own; the bins of all languages are added
-to its bins with the weight of `PRIOR` toxic rows, so that a few rows alone don't decide. Scoring covers every text as a whole.
+*Sample.* Only the weights come from a sample: at most `POSITIVES` toxic and `NEGATIVES` other labelled ids, those with the smallest
+hashes, of texts up to `LONGEST` bytes, without every fifth id, until the texts of either kind fill half of `SAMPLE_BYTES`; of several rows with one id one is taken. That
+bounds what reaches the driver, whatever repeats. The words of the languages come from whole texts of all rows that may be learned from and have a
+language, the thresholds from those of all labelled rows that were not sampled, counted by Spark into buckets and score bins by language and label. Every
+row that may be learned from is scored once, and its id, language and score bin meet the labels: no text is shuffled.
+Every language has a threshold of its own; the bins of all languages are added to its bins with the weight of `PRIOR` toxic rows, so that a few
+rows alone don't decide. Scoring covers every text as a whole.
 
 Cases: null and empty texts have no words; their score is 0. Labels that are null are not used; of several labels of one
 row the largest counts. Without labelled rows of both kinds every score is the share of toxic ones among them (0 without any). Rows
@@ -24,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableprobe.llm.common import Words, buffers, prepare, saved
 
-POSITIVES, NEGATIVES, LONGEST = 2500, 5500, 200_000
+POSITIVES, NEGATIVES, LONGEST, SAMPLE_BYTES = 2500, 5500, 200_000, 64_000_000
 BUCKETS, SIZE, AFFIX = 1 << 15, 8, 5
 WIDTHS, FILTERS = (1, 2, 3), 8
 #: Steps of training, whatever the size of the sample.
@@ -141,24 +143,13 @@ def _featured(batches):
         words, first = features(batch.column("text"))
         short = words.T.astype(np.uint16)
         own = pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "lang")), own], names=["id", "label", "lang", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), own], names=["label", "words"])
 
 
-def fit(words: np.ndarray, first: np.ndarray, labels: np.ndarray, langs: list, weight_of_negatives: float = 1.0, calibrate: bool = True) -> Model:
-    """A model of rows with these features; `weight_of_negatives`: how many rows a negative stands for, compared with a positive.
-
-    With `calibrate`, every fifth row makes languages and thresholds and is not trained on; without, all rows are, and both are left out.
-    """
-    if len(labels) == 0 or labels.all() or not labels.any():
-        return Model(constant=float(labels.mean()) if len(labels) else 0.0)
+def fit(words: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Model:
+    """The weights of a model of rows with these features, without languages and thresholds. There are rows of both labels."""
     random = np.random.default_rng(5)
-    rows = np.arange(len(labels))
-    held = rows[rows % HELD == 0]
-    train = rows[rows % HELD != 0]
-    if not calibrate:
-        train = rows
-    elif labels[train].all() or not labels[train].any() or labels[held].all() or not labels[held].any():
-        held = train = rows
+    train = np.arange(len(labels))
     # log odds of a bucket over the rows it occurs in
     embeddings = random.normal(0, 0.05, (3, BUCKETS, SIZE)).astype(np.float32)
     seen = np.zeros((2, 3, BUCKETS))
@@ -216,18 +207,6 @@ def fit(words: np.ndarray, first: np.ndarray, labels: np.ndarray, langs: list, w
             dense.step([*grad_filters, *grad_biases, pooled.T @ error])
             bias_state.step([np.array([error.sum()], np.float32)])
     model.out_bias = float(bias_state.values[0][0])
-
-    if calibrate:
-        known = sorted({lang for lang in langs if lang is not None})
-        counts = np.zeros((len(known), BUCKETS))
-        for r in rows:
-            if langs[r] is not None:
-                counts[known.index(langs[r])] += np.bincount(words[0, first[r] : first[r + 1]], minlength=BUCKETS)
-        _set_languages(model, known, counts)
-        w, f = _slice(words, first, held)
-        bins = np.zeros((len(known) + 1, 2, 2 * RANGE * BINS))
-        np.add.at(bins, (guess_languages(model, w, f), labels[held], _bin(logits(model, w, f))), 1)
-        _set_thresholds(model, bins, weight_of_negatives)
     return model
 
 
@@ -265,11 +244,12 @@ def _word_counts(batches):
     """How often each bucket occurs in the texts of a language, per task."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        words, first = features(batch.column("text"))
+        words = Words(batch.column("text"))
+        buckets = (words.hashes >> np.uint64(64 - 15)).astype(np.int32)
         for row, lang in enumerate(batch.column("lang").to_pylist()):
             if lang not in counts:
                 counts[lang] = np.zeros(BUCKETS, np.int64)
-            counts[lang] += np.bincount(words[0, first[row] : first[row + 1]], minlength=BUCKETS)
+            np.add.at(counts[lang], buckets[words.first[row] : words.first[row + 1]], 1)
     for lang, own in counts.items():
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], names=["lang", "bucket", "n"])
@@ -280,29 +260,43 @@ def _binner(shared):
         for batch in batches:
             model = shared.value
             words, first = features(batch.column("text"))
-            some = np.diff(first) > 0  # without words the score is 0 whatever the threshold
-            label = np.asarray(batch.column("label"))
-            where = np.stack([guess_languages(model, words, first), label, _bin(logits(model, words, first))])[:, some]
-            where, n = np.unique(where, axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in where), pa.array(n.astype(np.int64))], names=["guess", "label", "bin", "n"])
+            some = pa.array(np.diff(first) > 0)  # without words the score is 0 whatever the threshold
+            where = (guess_languages(model, words, first), _bin(logits(model, words, first)))
+            columns = [batch.column("id"), *(pa.array(x.astype(np.int32)) for x in where)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "guess", "bin"]).filter(some)
 
     return run
 
 
+def _sampled(own: DataFrame, by_hash: Column) -> list:
+    """The ids the weights are learned from, with their labels."""
+    chosen = []
+    for label, most in ((1, POSITIVES), (0, NEGATIVES)):
+        size = 0
+        for r in own.where(F.col("label") == label).orderBy(by_hash, "id").limit(most).collect():
+            size += r.bytes
+            if size > SAMPLE_BYTES // 2:
+                break
+            chosen.append((r.id, label))
+    return chosen
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_column="doc_id", text_column="text", lang_column="lang", label_column="toxic") -> Model:
-    """A model of the labelled rows of `docs`; `train`: over `labels`, which may be learned from."""
+    """A model of the labelled rows of `docs`; `train`: over the id column of both tables, which may be learned from."""
     spark = prepare(docs.sparkSession)
     own = labels.where(train).where(labels[f"`{label_column}`"].isNotNull() & labels[f"`{id_column}`"].isNotNull())
     own = own.groupBy(own[f"`{id_column}`"].alias("id")).agg(F.max(own[f"`{label_column}`"]).cast("int").alias("label"))
-    rows = docs.select(
-        docs[f"`{id_column}`"].alias("id"),
-        docs[f"`{text_column}`"].cast("binary").alias("text"),
-        (docs[f"`{lang_column}`"] if lang_column in docs.columns else F.lit(None)).cast("string").alias("lang"),
+    learned = docs.where(train)
+    rows = learned.select(
+        learned[f"`{id_column}`"].alias("id"),
+        learned[f"`{text_column}`"].cast("binary").alias("text"),
+        (learned[f"`{lang_column}`"] if lang_column in docs.columns else F.lit(None)).cast("string").alias("lang"),
     )
-    # ids of rows that exist, so that the sample is full whatever `docs` holds
-    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST
-    own = own.where("label IN (0, 1)").join(rows.groupBy("id").agg(F.max(short).alias("short")), "id")
-    own = saved(own.withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(HELD)) == 0), "labelled")
+    length = F.coalesce(F.octet_length("text"), F.lit(0))
+    # ids of rows that exist, so that the sample is full whatever `docs` holds; the longest row of an id counts
+    own = own.where("label IN (0, 1)").join(rows.groupBy("id").agg(F.max(length).alias("bytes")), "id")
+    own = own.withColumns({"short": F.col("bytes") <= LONGEST, "held": F.pmod(F.xxhash64("id", F.lit("held")), F.lit(HELD)) == 0})
+    own = saved(own, "labelled")
     totals = {(r.label, r.short, r.held): r.n for r in own.groupBy("label", "short", "held").agg(F.count("*").alias("n")).collect()}
 
     def both(of) -> bool:
@@ -312,20 +306,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_column=
     if not both(lambda k: k[1]):
         return Model(constant=total[1] / max(1, sum(total)))
     usable = own.where("short AND NOT held") if both(lambda k: k[1] and not k[2]) else own.where("short")
-    chosen = []
-    for label, most in ((1, POSITIVES), (0, NEGATIVES)):
-        chosen += [(r.id, label) for r in usable.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
-    ids = spark.createDataFrame(chosen, "id long, label int")
-    # at most POSITIVES + NEGATIVES ids
-    sample = rows.where(short).join(F.broadcast(ids), "id").select("id", "label", "lang", "text").mapInArrow(_featured, "id long, label int, lang string, words binary")
-    sample = sample.toArrow().sort_by([("id", "ascending"), ("words", "ascending")]).combine_chunks()
+    chosen = _sampled(usable, F.xxhash64("id"))
+    ids = spark.createDataFrame(chosen, T.StructType([own.schema["id"], own.schema["label"]]))
+    # at most POSITIVES + NEGATIVES ids, and one row of each
+    sample = rows.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text", "lang")).alias("text"))
+    sample = sample.select("label", "text").mapInArrow(_featured, "label int, words binary")
+    sample = sample.toArrow().sort_by([("label", "ascending"), ("words", "ascending")]).combine_chunks()
     words, first = buffers(sample.column("words"))
     words, first = np.ascontiguousarray(words.view(np.uint16).reshape(-1, 3).T).astype(np.int32), first // 6
-    model = fit(words, first, sample.column("label").to_numpy().astype(np.int64), [], calibrate=False)
+    model = fit(words, first, sample.column("label").to_numpy().astype(np.int64))
 
-    # languages from all labelled rows, thresholds from all that were not fitted on
-    labelled = rows.join(own.select("id", "label"), "id")
-    counted = labelled.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_word_counts, "lang string, bucket int, n long")
+    # languages from all rows that have one, thresholds from all labelled ones that were not fitted on
+    counted = rows.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_word_counts, "lang string, bucket int, n long")
     counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = counted.column("lang").to_pylist()
     known = sorted(set(langs))
@@ -336,12 +328,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_column=
     model.thresholds = np.zeros(len(known) + 1)
     left = [total[label] - sum(c[1] == label for c in chosen) for label in (0, 1)]
     if min(left):
-        labelled = labelled.join(F.broadcast(ids.select("id")), "id", "left_anti")
+        own = own.join(F.broadcast(ids.select("id")), "id", "left_anti")
     else:
         left = total
     bins = np.zeros((len(known) + 1, 2, 2 * RANGE * BINS))
-    binned = labelled.select("label", "text").mapInArrow(_binner(spark.sparkContext.broadcast(model)), "guess int, label int, bin int, n long")
-    for r in binned.groupBy("guess", "label", "bin").agg(F.sum("n").alias("n")).collect():
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("guess int, bin int").fields])
+    binned = rows.where("id IS NOT NULL").select("id", "text").mapInArrow(_binner(spark.sparkContext.broadcast(model)), schema)
+    for r in binned.join(own.select("id", "label"), "id").groupBy("guess", "label", "bin").agg(F.count("*").alias("n")).collect():
         bins[r.guess, r.label, r.bin] = r.n
     _set_thresholds(model, bins, (total[0] / left[0]) / (total[1] / left[1]))
     return model

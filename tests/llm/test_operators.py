@@ -193,8 +193,9 @@ def test_toxicity_without_both_kinds(spark, docs, empty):
 
 
 def test_toxicity_of_odd_texts(spark):
-    texts = pa.array(["you idiot " + "word " * 30 if i % 2 else "some word " * 20 for i in range(200)])
-    model = toxicity.fit(*toxicity.features(texts), np.arange(200) % 2, ["en", None] * 100)
+    rows = [(i, "you idiot " + "word " * 30 if i % 2 else "some word " * 20, "en" if i % 2 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.train_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), F.lit(True))
     scores = toxicity.predict(model, pa.array([None, "", "some word", "an idiot", "word " * 50000 + "idiot"]))
     assert (scores[:2] == 0).all() and (scores[:3] < 0.5).all() and (scores[3:] >= 0.5).all()
 
@@ -218,6 +219,58 @@ def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
     assert ((scores >= 0.5) == (np.arange(600) % 4 == 0)).mean() > 0.97
 
 
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    """Ten ids stand for two thousand rows; one row of each reaches the driver, and ids may be text."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 5)
+    monkeypatch.setattr(toxicity, "NEGATIVES", 5)
+    seen = []
+    known = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: seen.append(len(a[2])) or known(*a))
+    rows = [(f"d{i % 20}", "you idiot" if i % 2 else "some word", "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    labels = docs.select("doc_id", F.col("text").contains("idiot").cast("int").alias("toxic"))
+    model = toxicity.train_toxicity(docs, labels, F.lit(True))
+    assert seen == [10]
+    assert (toxicity.predict(model, pa.array(["you idiot", "some word"])) >= 0.5).tolist() == [True, False]
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    seen = []
+    known = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: seen.append(len(a[2])) or known(*a))
+    docs = spark.createDataFrame([(i, ("idiot " if i % 2 else "words ") * 50) for i in range(100)], "doc_id long, text string")
+    toxicity.train_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), F.lit(True))
+    assert seen == [12]  # 2,000 bytes of either kind hold six texts of 300
+
+
+def test_thresholds_are_those_of_scored_rows(spark, monkeypatch):
+    """Thresholds against a search over the stored scores of all labelled rows."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 40)
+    monkeypatch.setattr(toxicity, "NEGATIVES", 40)
+    monkeypatch.setattr(toxicity, "PRIOR", 0)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["idiot", "ugly"] if i % 3 == 0 and rnd.random() < 0.5 else ["good", "word", "ugly"]) for _ in range(rnd.randint(1, 6))), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    fitted = []
+    known = toxicity._sampled
+    monkeypatch.setattr(toxicity, "_sampled", lambda *a: fitted.extend(known(*a)) or fitted)
+    model = toxicity.train_toxicity(docs, labels, F.lit(True))
+    left = [(t, int(i % 3 == 0)) for i, t, _ in rows if i not in {f[0] for f in fitted}]
+    words, first = toxicity.features(pa.array([t for t, _ in left]))
+    score, label = toxicity.logits(model, words, first), np.array([y for _, y in left])
+    total = [sum(i % 3 != 0 for i in range(400)), sum(i % 3 == 0 for i in range(400))]
+    weight = np.where(label == 1, 1.0, (total[0] / (label == 0).sum()) / (total[1] / (label == 1).sum()))
+
+    def f1(t):
+        above = toxicity._bin(score) / toxicity.BINS - toxicity.RANGE >= t
+        return 2 * weight[above & (label == 1)].sum() / max(weight[above].sum() + weight[label == 1].sum(), 1e-9)
+
+    best = max(f1(t) for t in np.unique(toxicity._bin(score)) / toxicity.BINS - toxicity.RANGE)
+    assert f1(model.thresholds[0]) == pytest.approx(best)
+
+
 def test_filters_stay_within_texts():
     random_ = np.random.default_rng(2)
     model = toxicity.Model(
