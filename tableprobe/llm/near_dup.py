@@ -14,13 +14,13 @@ sets is at least `percent` / 100; linked documents form a component.
 4. Within a small node the agreement of the minwise values is computed for all pairs. Pairs under 0.58 are dropped (a pair at
    0.75 falls there with probability 5e-6). Of the others a spanning forest by descending agreement is
    confirmed on the full sets, and its components are found.
-5. Small nodes whose classes are not all in one component by then are compared once more: every pair of at least 0.58 between
-   different components is confirmed. What is connected already needs no further links.
-
-6. Being alike is no link (texts with much in common can all stay below the threshold). So the classes of cut nodes that
-   are still in several components are taken up again. If all but 32 are in one component, these 32 meet every other class;
-   nodes of up to 512 classes are cut so that every part meets every other; larger ones branch on, down to small
-   nodes. The pairs between different components are then confirmed as in 5.
+5. Small nodes whose classes are not all in one component by then are taken up again, and so are the cut nodes, as being alike is no
+   link (texts with much in common can all stay below the threshold). A node of up to `WHOLE` classes and `NAMES` shingles is one
+   group. Of a larger one that is all but 32 classes one component, these meet every part of the others; other larger ones branch on, and
+   those with too many shingles, or at the end of the tree, are cut so that every part meets every other.
+6. Of each group, the classes that agree to 0.58 or more with one of another component send their full sets there, once. The
+   task counts what the classes outside the largest component have in common with every other one, and hands on a spanning forest
+   of the links it finds. So a group hands on fewer links than it has classes, however many pairs it compares.
 
 Recall: a pair at 0.75 survives two levels of a tree with probability 0.69 and four with 0.53; eight trees miss it with
 probability 1e-4 and 2e-3. From there all paths are doubled at the depths `DOUBLED`, so that it is missed with at most 7e-3 at any
@@ -30,7 +30,8 @@ Cases: null texts and texts without words have the empty set and are linked with
 doc_id count as one document: they share a component. A row without a doc_id has a null component and is
 kept. Repeated rows are copies.
 
-Scale: what is shuffled is 300 bytes per document, 16 to 30 bytes per node entry, and full sets only of candidates.
+Scale: what is shuffled is 300 bytes per document, 16 to 30 bytes per node entry, and full sets only of candidates, once for each
+pair of the forest and each open group.
 Copies are collapsed before; no step gathers a node, class or component; all steps are saved.
 """
 
@@ -52,8 +53,10 @@ CUT = 0.58
 #: A child with more than this share of its node does not count as smaller.
 SHRINK = 0.7
 COMMON = 16
-#: A dense node of up to so many classes in several components is compared exhaustively.
-WHOLE = 512
+#: An open node of up to so many classes and shingles is one group; its classes are compared exhaustively on their full sets.
+WHOLE, NAMES = 4096, 1 << 20
+#: Shingles that are counted together.
+_COLUMNS = 4096
 #: Depths at which the paths are doubled, so that recall does not fall with the depth.
 DOUBLED = (4, 6, 9, 13, 18, 24, 32, 40)
 _DEEPEST = 64
@@ -181,49 +184,120 @@ def _forest(keys: list[bytes], agree: np.ndarray) -> list[tuple]:
     return out
 
 
-def _across(keys: list[bytes], agree: np.ndarray, roots: list) -> list[tuple]:
-    """All pairs that agree and are in different components."""
-    left, right = np.nonzero(np.triu(agree >= CUT, 1))
-    return [(keys[i], keys[j]) for i, j in zip(left, right) if roots[i] != roots[j]]
-
-
-def _compare(keys: list[bytes], values: np.ndarray, roots: list | None) -> list[tuple]:
+def _compare(keys: list[bytes], values: np.ndarray) -> list[tuple]:
     """The pairs of one small node that are to be confirmed."""
     order = sorted(range(len(keys)), key=lambda i: keys[i])
     order = [i for k, i in enumerate(order) if k == 0 or keys[i] != keys[order[k - 1]]]
     if len(order) < 2:
         return []
     keys, values = [keys[i] for i in order], values[order]
-    agree = np.stack([(values == one).mean(axis=1) for one in values])
-    return _forest(keys, agree) if roots is None else _across(keys, agree, [roots[i] for i in order])
+    return _forest(keys, np.stack([(values == one).mean(axis=1) for one in values]))
 
 
-def _pairs(with_roots: bool):
-    """Pairs of small nodes; entries come sorted by node."""
+def _groups(batches):
+    """The rows of one node after another; they come sorted by node."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        node = np.asarray(batch.column("node"))
+        cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if held and node[a] != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = node[a]
+    if held:
+        yield held
+
+
+def _column(group: list[pa.RecordBatch], name: str) -> list:
+    return [value for batch in group for value in batch.column(name).to_pylist()]
+
+
+def _sketches(group: list[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([_values(batch.column("sketch")) for batch in group])
+
+
+def _pairs(batches):
+    """Pairs of small nodes."""
+    out: list[tuple] = []
+    for group in _groups(batches):
+        out += _compare(_column(group, "key"), _sketches(group))
+        if len(out) >= 10_000:
+            yield _batch(out)
+            out = []
+    yield _batch(out)
+
+
+def _batch(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], schema=_PAIRS)
+
+
+def _outside(roots: list) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the classes as numbers, and which classes are not in the largest."""
+    _, number, count = np.unique(np.array(roots, dtype=object).astype(str), return_inverse=True, return_counts=True)
+    return number, np.flatnonzero(number != np.argmax(count))
+
+
+def _suspects(batches):
+    """Entries (node, key) of the classes that agree with one of another component of their group."""
+    for group in _groups(batches):
+        number, others = _outside(_column(group, "root"))
+        values = _sketches(group)
+        met = np.zeros(len(number), bool)
+        for i in others:
+            alike = ((values == values[i]).mean(axis=1) >= CUT) & (number != number[i])
+            if alike.any():
+                met |= alike
+                met[i] = True
+        if met.any():
+            keys = [key for key, is_met in zip(_column(group, "key"), met) if is_met]
+            node = group[0].column("node")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([node] * len(keys), pa.int64()), pa.array(keys, pa.binary())], schema=_ENTRIES)
+
+
+def _in_common(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many names each set of `rows` shares with each set."""
+    names = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(names, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column_of = np.cumsum(shared) - 1
+    kept = shared[column]
+    owner, column = owner[kept], column_of[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(shared.sum())
+    out = np.zeros((len(rows), len(sets)), np.int64)
+    for at in range(0, width, _COLUMNS):
+        low, high = np.searchsorted(column, [at, at + _COLUMNS])
+        has = np.zeros((len(sets), min(_COLUMNS, width - at)), np.float32)
+        has[owner[low:high], column[low:high] - at] = 1
+        out += (has[rows] @ has.T).astype(np.int64)
+    return out
 
-    def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], schema=_PAIRS)
+
+def _linker(percent: int, schema: pa.Schema):
+    """Links (u, v) of a group that join its components, from the full sets."""
 
     def run(batches):
-        held: tuple | None = None
-        for batch in batches:
-            node = np.asarray(batch.column("node"))
-            keys, values = batch.column("key").to_pylist(), _values(batch.column("sketch"))
-            roots = batch.column("root").to_pylist() if with_roots else None
-            cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
-            out: list[tuple] = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if not held or held[0] != node[a]:
-                    if held:
-                        out += _compare(held[1], np.concatenate(held[2]), held[3])
-                    held = (node[a], [], [], [] if with_roots else None)
-                held[1].extend(keys[a:b])
-                held[2].append(values[a:b])
-                if with_roots:
-                    held[3].extend(roots[a:b])
-            yield batch_of(out)
-        if held:
-            yield batch_of(_compare(held[1], np.concatenate(held[2]), held[3]))
+        for group in _groups(batches):
+            number, others = _outside(_column(group, "root"))
+            sets = [np.frombuffer(names.as_buffer(), np.uint64) for batch in group for names in batch.column("names")]
+            if not len(others):
+                continue
+            size = np.array([len(x) for x in sets])
+            linked = _in_common(sets, others) * (100 + percent) >= percent * (size[others][:, None] + size[None, :])
+            left, right = np.nonzero(linked & (number[others][:, None] != number[None, :]))
+            left = others[left]
+            # one link between any two components
+            _, one = np.unique(np.minimum(number[left], number[right]) * len(number) + np.maximum(number[left], number[right]), return_index=True)
+            reps = pa.concat_arrays([batch.column("rep") for batch in group])
+            ends = [reps.take(pa.array(side[one])) for side in (left, right)]
+            yield pa.RecordBatch.from_arrays(ends, schema=schema)
 
     return run
 
@@ -277,11 +351,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return every
 
 
-def _leaves(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, int]:
-    """Entries (node, key) of all small nodes and of the parts of dense ones, entries (node, key) of the dense ones, and the depth reached."""
+def _leaves(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Entries (node, key) of all small nodes, of the parts of dense ones, and of the dense ones; and the depth reached."""
     entries = saved(classes.select("key", "sketch").mapInArrow(_planter(trees, 2), _ENTRY), "nodes")
     entries = entries.withColumn("above", F.lit(None).cast("long"))
-    leaves, cut = [], []
+    leaves, cut, pieces = [], [], []
     for depth in range(2, _DEEPEST):
         counts = entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = saved(entries.join(counts, "node"), "nodes")
@@ -292,14 +366,14 @@ def _leaves(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, int]:
         parts = F.ceil(F.col("n") * 2 / SMALL)
 
         # random parts, and about COMMON entries of the node in each of them
-        leaves.append(dense.select(_part("part", F.pmod(F.xxhash64("key", "node"), parts)), "key"))
+        pieces.append(dense.select(_part("part", F.pmod(F.xxhash64("key", "node"), parts)), "key"))
         common = dense.where(F.pmod(F.xxhash64("node", "key", F.lit("common")), F.col("n")) < COMMON)
-        leaves.append(common.select("node", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(_part("part", F.col("part")), "key"))
+        pieces.append(common.select("node", "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(_part("part", F.col("part")), "key"))
         going = large.where(~F.coalesce(F.col("n") > SHRINK * F.col("above"), F.lit(False)))
         if depth == _DEEPEST - 1 or going.limit(1).count() == 0:
             break
         entries = _branched(going.select("node", "key", "n"), classes, depth)
-    return _union(leaves), _union(cut), depth
+    return _union(leaves), _union(pieces), _union(cut), depth
 
 
 def _part(label: str, *of) -> Column:
@@ -307,35 +381,38 @@ def _part(label: str, *of) -> Column:
 
 
 def _open(entries: DataFrame, ids: DataFrame) -> DataFrame:
-    """Entries of nodes with several components; `others` of the `n` are not in the largest, `top`."""
-    rooted = entries.select("node", "key").join(ids, "key")
-    counts = rooted.groupBy("node", "root").agg(F.count("*").alias("c"))
-    nodes = counts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most")).where("n > most.c")
-    return rooted.join(nodes, "node").select("node", "key", "root", "n", F.col("most.root").alias("top"), (F.col("n") - F.col("most.c")).alias("others"))
+    """Entries of nodes with several components; `others` of the `n` are not in the largest, `top`; all have `names` shingles."""
+    rooted = entries.select("node", "key").join(ids.select("key", "root", "size"), "key")
+    counts = rooted.groupBy("node", "root").agg(F.count("*").alias("c"), F.sum("size").alias("names"))
+    nodes = counts.groupBy("node").agg(F.sum("c").alias("n"), F.sum("names").alias("names"), F.max(F.struct("c", "root")).alias("most")).where("n > most.c")
+    return rooted.join(nodes, "node").select("node", "key", "root", "n", "names", F.col("most.root").alias("top"), (F.col("n") - F.col("most.c")).alias("others"))
 
 
-def _below_dense(cut: DataFrame, ids: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """Entries (node, key) of small nodes that hold the pairs of different components of dense nodes."""
-    leaves, entries = [], cut
+def _meetings(small: DataFrame, cut: DataFrame, ids: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """Entries (node, key) of groups that hold the pairs of different components of small nodes and of cut ones."""
+    groups, entries = [], small.unionByName(cut)
     while True:
         sized = saved(_open(entries, ids), "nodes")
-        leaves.append(sized.where(F.col("n") <= SMALL).select("node", "key"))
-        large = sized.where(F.col("n") > SMALL)
-        parts = F.ceil(F.col("n") * 2 / SMALL)
+        fits = (F.col("n") <= WHOLE) & (F.col("names") <= NAMES)
+        groups.append(sized.where(fits).select("node", "key"))
+        large = sized.where(~fits)
+        if large.isEmpty():
+            return _union(groups)
+        parts = F.ceil(F.greatest(F.col("n") * 2 / WHOLE, F.col("names") * 2 / NAMES))
         own = F.pmod(F.xxhash64("key", "node", F.lit("own")), parts)
         every_part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
         # all but few are one component: these few meet every other class
         few = F.col("others") <= SMALL // 2
-        leaves.append(large.where(few & (F.col("root") == F.col("top"))).select(_part("few", own), "key"))
-        leaves.append(large.where(few & (F.col("root") != F.col("top"))).select("node", "key", every_part).select(_part("few", F.col("part")), "key"))
-        # up to WHOLE classes (or at the end): every part meets every other
+        groups.append(large.where(few & (F.col("root") == F.col("top"))).select(_part("few", own), "key"))
+        groups.append(large.where(few & (F.col("root") != F.col("top"))).select("node", "key", every_part).select(_part("few", F.col("part")), "key"))
+        # few classes with many shingles (or at the end): every part meets every other
         last = depth >= _DEEPEST
         whole = ~few & ((F.col("n") <= WHOLE) | F.lit(last))
         met = large.where(whole).select("node", "key", own.alias("own"), every_part).where("own <> part")
-        leaves.append(met.select(_part("met", F.least("own", "part"), F.greatest("own", "part")), "key"))
+        groups.append(met.select(_part("met", F.least("own", "part"), F.greatest("own", "part")), "key"))
         going = large.where(~few & ~whole)
-        if last or going.limit(1).count() == 0:
-            return _union(leaves)
+        if last or going.isEmpty():
+            return _union(groups)
         entries = _branched(going.select("node", "key", "n"), classes, depth)
         depth += 1
 
@@ -350,50 +427,42 @@ def near_duplicates(
 
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(_SKETCH).fields])
     sketches = saved(rows.mapInArrow(_sketcher(size, empty_like(schema)), schema), "sketches")
-    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = saved(classes, "classes")
-    leaves, cut, depth = _leaves(classes, trees)
-    leaves, cut = saved(leaves, "leaves"), saved(cut, "dense")
-
-    def compared(entries: DataFrame, with_roots: bool) -> DataFrame:
-        members = entries.join(classes.select("key", "sketch"), "key")
-        return members.repartition("node").sortWithinPartitions("node").mapInArrow(_pairs(with_roots), _PAIR).distinct()
-
-    pairs = saved(compared(leaves, False), "pairs")
-
-    def sets_for(some: DataFrame, but: DataFrame | None = None) -> DataFrame:
-        wanted = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
-        if but is not None:
-            wanted = wanted.join(but.select("key"), "key", "left_anti")
-        wanted = wanted.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
+    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
+    classes = saved(classes.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "classes")
+    leaves, parts, cut, depth = _leaves(classes, trees)
+    leaves, parts, cut = saved(leaves, "leaves"), saved(parts, "parts"), saved(cut, "dense")
+
+    def by_node(entries: DataFrame) -> DataFrame:
+        return entries.repartition("node").sortWithinPartitions("node")
+
+    members = leaves.unionByName(parts).join(classes.select("key", "sketch"), "key")
+    pairs = saved(by_node(members).mapInArrow(_pairs, _PAIR).distinct(), "pairs")
+
+    def sets_for(keys: DataFrame) -> DataFrame:
+        wanted = keys.distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
         found = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_setter(size), "key binary, names binary")
         return saved(found.dropDuplicates(["key"]), "sets")
 
-    def confirmed(some: DataFrame, sets: DataFrame) -> DataFrame:
-        sided = some.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("names").alias("of_a")), "a")
-        sided = sided.join(sets.select(F.col("key").alias("b"), F.col("names").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
-        links = sided.mapInArrow(_confirmer(percent), "a binary, b binary")
-        ids = classes.select("key", "rep")
-        links = links.join(ids.select(F.col("key").alias("a"), F.col("rep").alias("u")), "a")
-        links = links.join(ids.select(F.col("key").alias("b"), F.col("rep").alias("v")), "b")
-        return saved(links.select("a", "b", "u", "v"), "links")
-
-    sets = sets_for(pairs)
-    links = confirmed(pairs, sets)
-    roots = connected_components(links.select("u", "v"))
-    ids = classes.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("root"))
+    sets = sets_for(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
+    sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("names").alias("of_a")), "a")
+    sided = sided.join(sets.select(F.col("key").alias("b"), F.col("names").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+    links = sided.mapInArrow(_confirmer(percent), _PAIR)
+    reps = classes.select("key", "rep")
+    links = links.join(reps.select(F.col("key").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("key").alias("b"), F.col("rep").alias("v")), "b")
+    links = saved(links.select("u", "v"), "links")
+    roots = connected_components(links)
+    ids = classes.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "sketch", "size", F.coalesce("root", "rep").alias("root"))
     ids = saved(ids, "roots")
-    rooted = leaves.join(ids, "key")
-    open_nodes = rooted.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
-    again = rooted.join(open_nodes, "node").select("node", "key", "root")
-    dense = cut.limit(1).count() > 0
-    if dense:
-        again = again.unionByName(_below_dense(cut, ids, classes, depth).join(ids, "key").select("node", "key", "root"))
-    rest = saved(compared(again, True).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        # parts of dense nodes can pair classes that had no pair before
-        more = confirmed(rest, sets.unionByName(sets_for(rest, sets)) if dense else sets)
-        roots = connected_components(links.unionByName(more).select("u", "v"))
+
+    open_groups = _meetings(leaves, cut, ids, classes, depth).distinct()
+    suspects = by_node(open_groups.join(ids.select("key", "root", "sketch"), "key")).mapInArrow(_suspects, _ENTRY)
+    suspects = saved(suspects, "suspects")
+    if not suspects.isEmpty():
+        full = sets.unionByName(sets_for(suspects.select("key").join(sets.select("key"), "key", "left_anti")))
+        met = suspects.join(ids.select("key", "root", "rep"), "key").join(full, "key")
+        link = T.StructType([T.StructField(name, classes.schema["rep"].dataType) for name in ("u", "v")])
+        more = by_node(met.select("node", "root", "rep", "names")).mapInArrow(_linker(percent, empty_like(link)), link)
+        roots = connected_components(links.unionByName(saved(more, "links")))
     found = sketches.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
     found = found.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")

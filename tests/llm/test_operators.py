@@ -500,6 +500,64 @@ def test_near_duplicates_among_shared_boilerplate(spark, monkeypatch, whole):
     assert wrong == []
 
 
+def framed(n, pairs):
+    """Texts that share 0.70 of their shingles; the first `pairs` pairs share 0.78."""
+    shared = " ".join(f"s{j}" for j in range(204))
+
+    def text(i):
+        own, both = (f"p{i}", f"q{i // 2}") if i < 2 * pairs else (f"p{i}", f"r{i}")
+        return " ".join([shared, *(f"{both}x{j}" for j in range(15)), *(f"{own}x{j}" for j in range(27))])
+
+    return [(i, text(i)) for i in range(n)]
+
+
+def test_alike_texts_grow_in_line(spark, monkeypatch):
+    """Four times the unlinked texts of one frame make some four times the rows of every step, not sixteen times; and no planted pair is missed."""
+    prepare(spark)
+    known = near_dup.saved
+    totals = {}
+    for n in (300, 600, 1200):
+        rows = collections.Counter()
+
+        def counted(df, label):
+            out = known(df, label)
+            rows[label] += out.count()
+            return out
+
+        monkeypatch.setattr(near_dup, "saved", counted)
+        got = near_dup.near_duplicates(spark.createDataFrame(framed(n, 40), "doc_id long, text string").repartition(4)).collect()
+        assert [r.doc_id for r in got if r.component_id != (r.doc_id // 2 * 2 if r.doc_id < 80 else r.doc_id)] == []
+        totals[n] = sum(rows.values())
+    assert totals[1200] < 6 * totals[300] and totals[1200] < 2.6 * totals[600]
+
+
+@pytest.mark.parametrize("names", [1 << 20, 9000])
+def test_recall_in_a_large_family(spark, monkeypatch, names):
+    """A chain of edits: 700 classes of one family, linked and unlinked ones, against all pairs; also where groups are cut by their shingles."""
+    monkeypatch.setattr(near_dup, "NAMES", names)
+    prepare(spark)
+    rnd = random.Random(8)
+    frame = [f"w{j}" for j in range(150)]
+    rows = []
+    for i in range(700):
+        words = list(frame)
+        for _ in range(rnd.choice([1, 3, 5, 7, 9, 12])):
+            words[rnd.randrange(150)] = f"v{rnd.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    want = brute_components(rows)
+    assert 2 < len({top for _, top in want.values()}) < 690
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.component_id != want[r.doc_id][1] for r in got) == 0
+
+
+def test_names_in_common(monkeypatch):
+    monkeypatch.setattr(near_dup, "_COLUMNS", 3)
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 40, n).astype(np.uint64)) for n in (1, 5, 20, 60, 3, 200)]
+    got = near_dup._in_common(sets, np.array([4, 0, 3]))
+    assert got.tolist() == [[len(np.intersect1d(sets[i], x)) for x in sets] for i in (4, 0, 3)]
+
+
 # language model -----------------------------------------------------------------------------
 
 
