@@ -134,6 +134,47 @@ def page_keyset(spark, d):
     return wire_view(page(orders, sort_by="o_custkey", limit=500, after=(last.o_custkey, last.row_index)))
 
 
+# The columns of `lineitem` in wire form, and its rows with their position.
+_LINES = """l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+  strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS l_shipdate"""
+_NUMBERED_LINES = "(SELECT *, row_number() OVER () AS row_index FROM lineitem) l"
+
+
+def _deep_page_sql(order: str, filtered: str = "true") -> str:
+    return f"""SELECT {_LINES}, row_index, position FROM (
+      SELECT *, row_number() OVER (ORDER BY {order}row_index) AS position, count(*) OVER () AS total FROM {_NUMBERED_LINES} WHERE {filtered}) p
+    WHERE position BETWEEN total * 6 // 10 + 1 AND total * 6 // 10 + 500"""
+
+
+def _deep_page(spark, d, sort_by=None, filters=(), **options):
+    """500 rows from six tenths of the table on."""
+    lines = _table(spark, d, "lineitem")
+    total = page_totals(lines, filters, use_regex=options.get("use_regex", False)).first().total_rows
+    return wire_view(page(lines, filters, sort_by, offset=total * 6 // 10, limit=500, position="position", **options))
+
+
+@_query(_deep_page_sql("l_shipdate, "))
+def page_deep_sorted(spark, d):
+    return _deep_page(spark, d, "l_shipdate")
+
+
+@_query(_deep_page_sql("l_returnflag DESC, "))
+def page_deep_sorted_text(spark, d):
+    """Three texts order all rows, so that row numbers decide."""
+    return _deep_page(spark, d, "l_returnflag", ascending=False)
+
+
+@_query(_deep_page_sql("l_extendedprice DESC, ", "l_quantity >= 5"))
+def page_deep_filtered_sorted(spark, d):
+    return _deep_page(spark, d, "l_extendedprice", [Filter("l_quantity", "5", "number", ">=")], ascending=False)
+
+
+@_query(_deep_page_sql("", "contains(l_returnflag, 'N') OR contains(l_returnflag, 'A')"))
+def page_deep_filtered(spark, d):
+    """The rows that pass a filter, in file order."""
+    return _deep_page(spark, d, None, [Filter("l_returnflag", "N|A")], use_regex=True)
+
+
 @_query(
     """SELECT CAST(1000 AS BIGINT) AS "offset", CAST(500 AS BIGINT) AS "limit", count(*) AS total_rows,
       1500 < count(*) AS has_more FROM orders WHERE contains(o_orderpriority, 'URG')"""

@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import TableProbeError
 from ..functions.types import column
 from .filters import compile_filters
+from .ranks import Cut, can_cut, row_at, value_column
 from .row_index import ROW_INDEX, rows_between, with_row_index
 from .sorting import AUTO, sort_expression, sort_keys
 
 DEFAULT_PAGE_ROWS = 500
+#: From this offset on a page starts behind a row that counting found; below, every task keeps the rows before it.
+DEEP_ROWS = 10_000
 
 
 def page(
@@ -30,7 +33,8 @@ def page(
     """Rows `offset`..`offset + limit` of the filtered and sorted table, with `row_index`.
 
     A page is one top-k pass: every task keeps `offset + limit` rows and nothing is shuffled but
-    those. With `whole_table`, the promise that `df` is the table as read and not a part of it, a
+    those. From `DEEP_ROWS` on, the last row before the page is found by counting the sort column (see `ranks`; these jobs run
+    at once), and the pass keeps `limit` rows behind it, however deep the page is. With `whole_table`, the promise that `df` is the table as read and not a part of it, a
     page without filter and sort is a range of row numbers and reads only the files that hold
     them. `after`, the (sort value, row_index) of the last row seen, continues
     a sorted table at any depth without an offset. `position` names a column that numbers the
@@ -54,21 +58,40 @@ def page(
                 rows = rows.filter(_behind(key, can_be_nan, ascending, *after))
         elif after is not None:
             rows = rows.filter(column(ROW_INDEX) > after[1])
-        rows = rows.orderBy(*keys).offset(offset).limit(limit)
+        skipped = offset
+        if offset >= DEEP_ROWS and (not sorted_page or can_cut(rows.select(key).schema[0].dataType)):
+            cut = row_at(rows, offset - 1, *((key, can_be_nan, ascending) if sorted_page else ()))
+            skipped = 0
+            rows = rows.filter(_behind_cut(cut, limit, rows, *((key, can_be_nan, ascending) if sorted_page else ())))
+        rows = rows.orderBy(*keys).offset(skipped).limit(limit)
     if position is not None:
         # a limited sort has one output partition, so the id counts its rows from 0
         rows = rows.withColumn(position, F.monotonically_increasing_id() + (offset + 1))
     return rows
 
 
+def _behind_cut(cut: Cut | None, limit: int, rows: DataFrame, key: Column | None = None, can_be_nan: bool = False, ascending: bool = True) -> Column:
+    """At least the next `limit` rows after a place in the order, and none before; none after a place past the end."""
+    if cut is None:
+        return F.lit(False)
+    later = column(ROW_INDEX) > cut.row_index
+    if key is None:
+        return later
+    value = None if cut.kind == "null" else float("nan") if cut.kind == "nan" else value_column(cut.text, rows.select(key).schema[0].dataType)
+    if cut.kind == "value" and cut.follow >= limit:
+        # values alone fill the page, and the scan skips what lies before them
+        return (key >= value if ascending else key <= value) & ((key != value) | later)
+    return _behind(key, can_be_nan, ascending, value, cut.row_index)
+
+
 def _behind(key: Column, can_be_nan: bool, ascending: bool, value: object, row_index: int) -> Column:
     """Rows after (value, row_index) in the order of `sort_keys`."""
     later = column(ROW_INDEX) > row_index
     if value is None:
         return key.isNull() & later
-    if can_be_nan and value != value:
+    if isinstance(value, float) and value != value:
         return key.isNull() | (F.isnan(key) & later)
-    bound = F.lit(value)
+    bound = value if isinstance(value, Column) else F.lit(value)
     past = key > bound if ascending else key < bound
     if can_be_nan and not ascending:
         past = past | F.isnan(key)
