@@ -46,6 +46,7 @@ from tableprobe.sources import (  # noqa: E402
     infer_types,
     list_tables,
     mark_missing,
+    parquet_catalogue,
     read_csv,
     read_sqlite,
     read_table,
@@ -607,6 +608,51 @@ def profile_approximate(spark, d):
     return profile(_table(spark, d, "lineitem"), exact=False)
 
 
+def _folder(spark, label: str, *parts: DataFrame) -> str:
+    """A folder of Parquet files of several layouts."""
+    folder = scratch_dir(spark, label)
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{folder}/part={number}")
+    return folder
+
+
+@_query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus,
+      o_totalprice, CASE WHEN o_orderkey % 3 = 2 THEN o_orderdate END AS o_orderdate, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderpriority END AS o_orderpriority,
+      CAST(o_orderkey % 3 AS INT) AS part FROM orders"""
+)
+def parquet_unlike_files(spark, d):
+    """Orders in files of three layouts, with columns in other orders and of other widths."""
+    orders = _table(spark, d, "orders")
+    third = [orders.filter(F.col("o_orderkey") % 3 == n) for n in range(3)]
+    folder = _folder(
+        spark,
+        "unlike",
+        third[0].select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"),
+        third[1].select("o_totalprice", F.col("o_custkey").cast("int"), "o_orderstatus", "o_orderkey"),
+        third[2].select("o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"),
+    )
+    return read_table(spark, folder, kind="parquet")
+
+
+@_query(
+    """SELECT l_linenumber AS part, c.name AS name, count(*) AS rows, CAST(sum(CASE WHEN c.name = 'l_tax' AND l_tax = 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
+      CASE c.name WHEN 'l_orderkey' THEN CAST(min(l_orderkey) AS VARCHAR) WHEN 'l_returnflag' THEN min(l_returnflag)
+        ELSE CAST(min(CASE WHEN l_tax <> 0.05 THEN l_tax END) AS VARCHAR) END AS low,
+      CASE c.name WHEN 'l_orderkey' THEN CAST(max(l_orderkey) AS VARCHAR) WHEN 'l_returnflag' THEN max(l_returnflag)
+        ELSE CAST(max(CASE WHEN l_tax <> 0.05 THEN l_tax END) AS VARCHAR) END AS high
+    FROM lineitem, (VALUES ('l_orderkey'), ('l_returnflag'), ('l_tax')) c(name) GROUP BY l_linenumber, c.name"""
+)
+def parquet_catalogue_bounds(spark, d):
+    """Rows, nulls and bounds from footers alone, of a folder with a file for each line number."""
+    lines = _table(spark, d, "lineitem").withColumn("l_tax", F.when(F.col("l_tax") != 0.05, F.col("l_tax")))
+    folder = scratch_dir(spark, "catalogue")
+    lines.select("l_linenumber", "l_orderkey", "l_returnflag", "l_tax").repartition("l_linenumber").write.partitionBy("l_linenumber").parquet(folder)
+    found = parquet_catalogue(spark, folder)
+    part = F.regexp_extract("path", "l_linenumber=([0-9]+)", 1).cast("int").alias("part")
+    return found.select(part, F.col("rows"), F.explode("columns").alias("c")).select("part", "c.name", "rows", "c.nulls", "c.low", "c.high")
+
+
 @_query(
     """SELECT name, type, position, (SELECT count(*) FROM lineitem) AS total_rows FROM (VALUES
       ('l_orderkey', 'int', 1), ('l_partkey', 'int', 2), ('l_suppkey', 'int', 3), ('l_linenumber', 'int', 4),

@@ -29,6 +29,7 @@ def page(
     text_numbers: str | None = AUTO,
     position: str | None = None,
     whole_table: bool = False,
+    footers: DataFrame | None = None,
 ) -> DataFrame:
     """Rows `offset`..`offset + limit` of the filtered and sorted table, with `row_index`.
 
@@ -38,16 +39,16 @@ def page(
     page without filter and sort is a range of row numbers and reads only the files that hold
     them. `after`, the (sort value, row_index) of the last row seen, continues
     a sorted table at any depth without an offset. `position` names a column that numbers the
-    rows of the result from `offset + 1`.
+    rows of the result from `offset + 1`. `footers` are those of the table's Parquet files, if they are known.
     """
     if offset < 0 or limit < 0:
         raise TableProbeError("offset and limit cannot be negative")
     compiled = compile_filters(df, filters, case_insensitive, use_regex)
     sorted_page = sort_by is not None and sort_by in df.columns
     if whole_table and not sorted_page and compiled.predicate is None and after is None:
-        rows = rows_between(df, offset + 1, offset + limit).orderBy(column(ROW_INDEX).asc()).limit(limit)
+        rows = rows_between(df, offset + 1, offset + limit, footers=footers).orderBy(column(ROW_INDEX).asc()).limit(limit)
     else:
-        rows = with_row_index(df)
+        rows = with_row_index(df, footers=footers)
         if compiled.predicate is not None:
             rows = rows.filter(compiled.predicate)
         keys = [column(ROW_INDEX).asc()]

@@ -10,10 +10,11 @@ from __future__ import annotations
 from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..errors import TableProbeError
 from ..functions.types import column
+from .footers import footers as footers_of, literal_path, reachable
 
 ROW_INDEX = "row_index"
 
@@ -64,18 +65,21 @@ def source_files(df: DataFrame) -> list[str]:
     return [plain_path(uri) for uri in df.inputFiles()]
 
 
-def with_row_index(df: DataFrame, name: str = ROW_INDEX, unfiltered: DataFrame | None = None) -> DataFrame:
+def with_row_index(
+    df: DataFrame, name: str = ROW_INDEX, unfiltered: DataFrame | None = None, footers: DataFrame | None = None
+) -> DataFrame:
     """Add the original row number as a bigint column.
 
-    A Parquet frame may already be filtered: the number is still the position in its files,
-    counted on `unfiltered`, or on the files read again where that is not given. A text frame
+    A Parquet frame may already be filtered: the number is still the position in its files. The rows of each file are taken from
+    `footers` (see `footers`), which are read where they are not given; only in a store that Spark alone reaches are they
+    counted, on `unfiltered` or on the files read again. A text frame
     is numbered as it is, so pass it before any filter. A frame that does not come straight
     from files has no position and is refused.
     """
     if is_numbered(df, name):
         return df
     if _knows(df, "row_index"):
-        return mark_numbered(_parquet_index(df, name, unfiltered), name)
+        return mark_numbered(_parquet_index(df, name, unfiltered, footers), name)
     if _knows(df, "file_block_start"):
         return number_located(locate(df), name)
     raise TableProbeError("row positions need a table read from files; write the frame out and read it back")
@@ -126,23 +130,26 @@ def sampled_splits(counts: DataFrame, files: int) -> list[str]:
     return sorted(r[0] for r in counts.select(_FILE).orderBy(F.xxhash64(_FILE)).limit(511).collect())
 
 
-def file_offsets(df: DataFrame, files: list[str]) -> DataFrame:
-    """(file, its rows, rows before it) of a Parquet frame. Reads footers only, no column data."""
-    counts = df.groupBy(F.col("_metadata.file_path").alias(_FILE)).agg(F.count(F.lit(1)).alias("rows"))
+def file_offsets(
+    spark: SparkSession, files: list[str], unfiltered: DataFrame | None = None, known: DataFrame | None = None
+) -> DataFrame:
+    """(file, its rows, rows before it) of Parquet files, from their footers where these can be read."""
+    if known is not None:
+        counts = known.select(F.col("file").alias(_FILE), "rows")
+    elif reachable(files[0]):
+        counts = footers_of(spark, files).select(F.col("file").alias(_FILE), "rows")
+    else:
+        scan = unfiltered if unfiltered is not None else spark.read.parquet(*[literal_path(f) for f in files])
+        counts = scan.groupBy(F.col("_metadata.file_path").alias(_FILE)).agg(F.count(F.lit(1)).alias("rows"))
     return running_offsets(counts, _splits(files))
 
 
-def _reread(df: DataFrame) -> DataFrame:
-    """The unfiltered files below a frame."""
-    return df.sparkSession.read.parquet(*source_files(df))
-
-
-def _parquet_index(df: DataFrame, name: str, unfiltered: DataFrame | None) -> DataFrame:
+def _parquet_index(df: DataFrame, name: str, unfiltered: DataFrame | None, known: DataFrame | None) -> DataFrame:
     files = source_files(df)
-    if len(files) <= 1:
+    if len(files) <= 1 and known is None:
         return df.withColumn(name, F.col("_metadata.row_index") + 1)
-    offsets = file_offsets(unfiltered or _reread(df), files).drop("rows")
-    return _add_offsets(df, name, offsets, len(files), max(map(len, files)))
+    offsets = file_offsets(df.sparkSession, files, unfiltered, known).drop("rows")
+    return _add_offsets(df, name, offsets, len(files), max(map(len, files), default=0))
 
 
 def _add_offsets(df: DataFrame, name: str, offsets: DataFrame, max_rows: int, path_length: int) -> DataFrame:
@@ -152,23 +159,23 @@ def _add_offsets(df: DataFrame, name: str, offsets: DataFrame, max_rows: int, pa
     return joined.withColumn(name, F.col(name) + F.col(_OFFSET)).drop(_FILE, _OFFSET)
 
 
-def rows_between(df: DataFrame, first: int, last: int, name: str = ROW_INDEX) -> DataFrame:
+def rows_between(df: DataFrame, first: int, last: int, name: str = ROW_INDEX, footers: DataFrame | None = None) -> DataFrame:
     """The rows numbered `first`..`last` of an unfiltered table, with their numbers.
 
-    Of a folder of Parquet files only those that hold the rows are read: their footers tell
+    Of a folder of Parquet files only those that hold the rows are read: their footers, read here if they are not given, tell
     which, and the scan drops the others before any task starts.
     """
     numbered = None
     files = source_files(df) if not is_numbered(df, name) and _knows(df, "row_index") else []
     if len(files) > 1:
         overlap = (F.col(_OFFSET) < last) & (F.col(_OFFSET) + F.col("rows") >= first)
-        offsets = file_offsets(_reread(df), files).filter(overlap).select(_FILE, _OFFSET)
+        offsets = file_offsets(df.sparkSession, files, None, footers).filter(overlap).select(_FILE, _OFFSET)
         hits = offsets.limit(_MAX_NAMED_FILES + 1).collect()
         if len(hits) <= _MAX_NAMED_FILES:
             known = df.sparkSession.createDataFrame(hits, f"{_FILE} string, {_OFFSET} bigint")
             chosen = df.filter(F.col("_metadata.file_path").isin([h[0] for h in hits]))
             numbered = mark_numbered(_add_offsets(chosen, name, known, len(hits), max(map(len, files))), name)
-    rows = with_row_index(df, name) if numbered is None else numbered
+    rows = with_row_index(df, name, None, footers) if numbered is None else numbered
     return rows.filter(column(name).between(first, last))
 
 

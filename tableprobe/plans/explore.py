@@ -6,7 +6,7 @@ from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..errors import TableProbeError
+from ..errors import TableProbeError, TableReadError
 from ..functions.text import truncate_text
 from ..functions.types import column, is_string
 from ..functions.wire import row_json, wire_view
@@ -17,7 +17,7 @@ from ..operators.stats import column_stats, profile
 from ..operators.value_counts import DEFAULT_VALUES, value_counts
 from ..session import scratch_dir
 from ..sources.classify import source_type
-from ..sources.tables import TABBED, list_tables, read_table, table_metadata
+from ..sources.tables import TABBED, list_tables, parquet_catalogue, read_parquet, read_table, table_metadata
 from .export import export, output_name
 
 
@@ -30,6 +30,7 @@ class Explorer:
 
     def __init__(self, spark: SparkSession, path: str, table: str | None = None, kind: str | None = None):
         self.spark, self.path, self.table = spark, path, table
+        self._footers: DataFrame | None = None
         self.kind = kind or source_type(path)
         if self.kind in TABBED:
             #: the table with its row numbers
@@ -39,12 +40,32 @@ class Explorer:
             self._pages = self.rows
         else:
             # statistics need no row numbers, and a plain page finds its files itself
-            self.df = self._pages = read_table(spark, path, table, self.kind)
+            self._footers = self._read_footers() if self.kind == "parquet" else None
+            if self._footers is not None:
+                self.df = self._pages = read_parquet(spark, path, known=self._footers)
+            else:
+                self.df = self._pages = read_table(spark, path, table, self.kind)
             try:
-                self.rows = with_row_index(self.df, unfiltered=self.df)
+                self.rows = with_row_index(self.df, unfiltered=self.df, footers=self._footers)
             except TableProbeError:  # files of different encodings are scanned apart
                 self.rows = self._pages = read_table(spark, path, table, self.kind, row_index=True)
 
+    def _read_footers(self) -> DataFrame | None:
+        """The footers of the folder's files, read once; of one file they are at hand, and some stores don't show them."""
+        try:
+            found = parquet_catalogue(self.spark, self.path)
+        except TableReadError:
+            return None
+        if len(self.spark.read.parquet(self.path).inputFiles()) <= 1:
+            return None
+        folder = scratch_dir(self.spark, "footers")
+        found.write.parquet(folder)
+        return self.spark.read.schema(found.schema).parquet(folder)
+
+    def catalogue(self) -> DataFrame:
+        """What the footers of a Parquet table say, a row per file."""
+        return parquet_catalogue(self.spark, self.path) if self._footers is None else self._footers
+
     def refresh(self) -> "Explorer":
         """The same table, read again after its source has changed."""
         return Explorer(self.spark, self.path, self.table, self.kind)
@@ -57,6 +78,7 @@ class Explorer:
         folder = folder or scratch_dir(self.spark, "table")
         self.rows.write.mode("errorifexists").parquet(folder)
         staged = copy(self)
+        staged._footers = None
         staged.rows = staged._pages = self.spark.read.parquet(folder)
         staged.df = staged.rows.drop(ROW_INDEX)
         return staged
@@ -89,7 +111,7 @@ class Explorer:
 
         With `wide_as_text` integers past 2**53 are text, as in `page_json`; see `wire_view`.
         """
-        rows = page(self._pages, _filters(filters), sort_by, ascending, offset, limit, whole_table=True, **options)
+        rows = page(self._pages, _filters(filters), sort_by, ascending, offset, limit, whole_table=True, footers=self._footers, **options)
         shown = wire_view(rows, wide_as_text)
         if max_cell_chars:
             texts = [f.name for f in shown.schema.fields if is_string(f.dataType)]
@@ -99,7 +121,7 @@ class Explorer:
     def page_json(self, *args, **options) -> DataFrame:
         """One page as `row_index, json`, each row a JSON object."""
         filters = options.pop("filters", args[0] if args else ())
-        rows = page(self._pages, _filters(filters), *args[1:], whole_table=True, **options)
+        rows = page(self._pages, _filters(filters), *args[1:], whole_table=True, footers=self._footers, **options)
         return rows.select(F.col(ROW_INDEX), row_json(rows).alias("json"))
 
     def totals(self, filters=(), offset: int = 0, limit: int = DEFAULT_PAGE_ROWS, **options) -> DataFrame:

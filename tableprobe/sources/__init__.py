@@ -7,7 +7,7 @@ from .headers import case_unique_names, header_names
 from .inference import MISSING, SHEET_ERRORS, infer_types, mark_missing, null_markers, type_text_columns
 from .kinds import resolve_kinds
 from .sqlite import list_sqlite_tables, read_sqlite
-from .tables import column_metadata, list_tables, read_parquet, read_table, table_metadata
+from .tables import column_metadata, list_tables, parquet_catalogue, read_parquet, read_table, table_metadata
 from .workbook import list_sheets, read_cells, read_rows, read_workbook
 
 __all__ = [
@@ -24,6 +24,7 @@ __all__ = [
     "list_tables",
     "mark_missing",
     "null_markers",
+    "parquet_catalogue",
     "read_cells",
     "read_csv",
     "read_delimited",
