@@ -54,9 +54,9 @@ CUT = 0.58
 SHRINK = 0.7
 COMMON = 16
 #: An open node of up to so many classes and shingles is one group; its classes are compared exhaustively on their full sets.
-WHOLE, NAMES = 4096, 1 << 20
-#: Shingles that are counted together.
-_COLUMNS = 4096
+WHOLE, NAMES = 2048, 1 << 19
+#: Shingles, and classes, that are counted together.
+_COLUMNS, _ROWS = 2048, 512
 #: Depths at which the paths are doubled, so that recall does not fall with the depth.
 DOUBLED = (4, 6, 9, 13, 18, 24, 32, 40)
 _DEEPEST = 64
@@ -259,25 +259,27 @@ def _suspects(batches):
             yield pa.RecordBatch.from_arrays([pa.array([node] * len(keys), pa.int64()), pa.array(keys, pa.binary())], schema=_ENTRIES)
 
 
-def _in_common(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """How many names each set of `rows` shares with each set."""
+def _in_common(sets: list[np.ndarray], rows: np.ndarray):
+    """Some of `rows` after others, and how many names each of them shares with each set."""
     names = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, count = np.unique(names, return_inverse=True, return_counts=True)
-    shared = count > 1
-    column_of = np.cumsum(shared) - 1
-    kept = shared[column]
-    owner, column = owner[kept], column_of[column[kept]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    width = int(shared.sum())
-    out = np.zeros((len(rows), len(sets)), np.int64)
-    for at in range(0, width, _COLUMNS):
-        low, high = np.searchsorted(column, [at, at + _COLUMNS])
-        has = np.zeros((len(sets), min(_COLUMNS, width - at)), np.float32)
-        has[owner[low:high], column[low:high] - at] = 1
-        out += (has[rows] @ has.T).astype(np.int64)
-    return out
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    order = np.argsort(names, kind="stable")
+    names, owner = names[order], owner[order]
+    # names that occur once are shared by none
+    starts = np.append(True, names[1:] != names[:-1])
+    shared = ~starts | ~np.append(starts[1:], True)
+    column, owner = (np.cumsum(starts & shared) - 1)[shared], owner[shared]
+    del names, order, starts, shared
+    width = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, len(rows), _ROWS):
+        part = rows[first : first + _ROWS]
+        out = np.zeros((len(part), len(sets)), np.int32)
+        for at in range(0, width, _COLUMNS):
+            low, high = np.searchsorted(column, [at, at + _COLUMNS])
+            has = np.zeros((len(sets), min(_COLUMNS, width - at)), np.float32)
+            has[owner[low:high], column[low:high] - at] = 1
+            out += (has[part] @ has.T).astype(np.int32)
+        yield part, out
 
 
 def _linker(percent: int, schema: pa.Schema):
@@ -290,9 +292,13 @@ def _linker(percent: int, schema: pa.Schema):
             if not len(others):
                 continue
             size = np.array([len(x) for x in sets])
-            linked = _in_common(sets, others) * (100 + percent) >= percent * (size[others][:, None] + size[None, :])
-            left, right = np.nonzero(linked & (number[others][:, None] != number[None, :]))
-            left = others[left]
+            found = []
+            for part, common in _in_common(sets, others):
+                # the least that two sets of these sizes have to share
+                least = -(-percent * (size[part][:, None] + size[None, :]) // (100 + percent))
+                row, other = np.nonzero((common >= least) & (number[part][:, None] != number[None, :]))
+                found.append((part[row], other))
+            left, right = (np.concatenate(side) for side in zip(*found))
             # one link between any two components
             _, one = np.unique(np.minimum(number[left], number[right]) * len(number) + np.maximum(number[left], number[right]), return_index=True)
             reps = pa.concat_arrays([batch.column("rep") for batch in group])

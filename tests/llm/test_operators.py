@@ -552,9 +552,12 @@ def test_recall_in_a_large_family(spark, monkeypatch, names):
 
 def test_names_in_common(monkeypatch):
     monkeypatch.setattr(near_dup, "_COLUMNS", 3)
+    monkeypatch.setattr(near_dup, "_ROWS", 2)
     rnd = np.random.default_rng(3)
     sets = [np.unique(rnd.integers(0, 40, n).astype(np.uint64)) for n in (1, 5, 20, 60, 3, 200)]
-    got = near_dup._in_common(sets, np.array([4, 0, 3]))
+    found = list(near_dup._in_common(sets, np.array([4, 0, 3])))
+    assert [part.tolist() for part, _ in found] == [[4, 0], [3]]
+    got = np.concatenate([common for _, common in found])
     assert got.tolist() == [[len(np.intersect1d(sets[i], x)) for x in sets] for i in (4, 0, 3)]
 
 
