@@ -176,6 +176,14 @@ def page_deep_filtered(spark, d):
     return _deep_page(spark, d, None, [Filter("l_returnflag", "N|A")], use_regex=True)
 
 
+@_query(_deep_page_sql("l_extendedprice DESC, "))
+def page_sorted_copy(spark, d):
+    """A deep page from a copy that was sorted once."""
+    table = Explorer(spark, f"{d}/lineitem.parquet", kind="parquet").stage(sort_by="l_extendedprice", ascending=False)
+    total = table.totals().first().total_rows
+    return table.page(sort_by="l_extendedprice", ascending=False, offset=total * 6 // 10, limit=500, position="position")
+
+
 @_query(
     """SELECT CAST(1000 AS BIGINT) AS "offset", CAST(500 AS BIGINT) AS "limit", count(*) AS total_rows,
       1500 < count(*) AS has_more FROM orders WHERE contains(o_orderpriority, 'URG')"""

@@ -99,6 +99,16 @@ def _behind(key: Column, can_be_nan: bool, ascending: bool, value: object, row_i
     return past | key.isNull() | ((key == bound) & later)
 
 
+def placed_page(rows: DataFrame, offset: int, limit: int, footers: DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """Rows `offset`..`offset + limit` of a table whose files hold it in the wanted order, from the files that have them."""
+    if offset < 0 or limit < 0:
+        raise TableProbeError("offset and limit cannot be negative")
+    place = position or "__place"
+    found = rows_between(rows, offset + 1, offset + limit, place, footers)
+    found = found.orderBy(column(place).asc()).limit(limit)
+    return found if position is not None else found.drop(place)
+
+
 def page_totals(
     df: DataFrame,
     filters=(),

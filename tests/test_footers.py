@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -129,3 +130,29 @@ def test_an_explorer_reads_the_footers_once(spark, saved, monkeypatch):
     assert [r.row_index for r in table.page(offset=995).collect()] == list(range(996, 1001))
     assert table.page(sort_by="v", ascending=False, limit=5).count() == 5
     assert table.totals().first().total_rows == 1000
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_pages_of_a_sorted_copy(spark, saved, monkeypatch, ascending):
+    from tableprobe.plans import explore
+
+    monkeypatch.setattr(explore, "SORTED_FILE_ROWS", 100)
+    values = F.when(F.col("id") % 10 == 3, None).when(F.col("id") % 11 == 4, float("nan")).otherwise((F.col("id") * 7919 % 300).cast("double"))
+    df = saved(spark.range(2000).select("id", values.alias("v"), F.lit("x").alias("__f")), files=3)
+    table = Explorer(spark, df.inputFiles()[0].rsplit("/", 1)[0], kind="parquet")
+    staged = table.stage(sort_by="v", ascending=ascending)
+    for offset, limit in ((0, 7), (995, 10), (1500, 250), (1995, 10), (2000, 5)):
+        plain = table.page(sort_by="v", ascending=ascending, offset=offset, limit=limit, position="p").collect()
+        got = staged.page(sort_by="v", ascending=ascending, offset=offset, limit=limit, position="p").collect()
+        assert [(r.id, r.row_index, r.p) for r in got] == [(r.id, r.row_index, r.p) for r in plain]
+    assert [r.row_index for r in staged.page_json((), "v", ascending, 995, 3).collect()] == [r.row_index for r in table.page(sort_by="v", ascending=ascending, offset=995, limit=3).collect()]
+    # at most two files of 100 rows hold a page, and no others are opened
+    rows = staged.page(sort_by="v", ascending=ascending, offset=995, limit=50)
+    named = set(re.findall(r"part-[0-9]+[^ ,)]*parquet", rows._jdf.queryExecution().optimizedPlan().toString()))
+    assert 1 <= len(named) <= 2 and len(staged._orders["v", ascending][0].inputFiles()) > 19
+    # other orders, filters and plain pages are served as before
+    assert staged.page(sort_by="v", ascending=not ascending, limit=5).count() == 5
+    assert [r.id for r in staged.page({"id": {"type": "number", "value": "77"}}, sort_by="v").collect()] == [77]
+    assert [r.row_index for r in staged.page(offset=10, limit=3).collect()] == [11, 12, 13]
+    with pytest.raises(TableProbeError):
+        table.stage(sort_by="nope")
