@@ -81,6 +81,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
+def pieces(column: pa.Array, size: int = 1 << 20):
+    """A text column in slices of whole rows of some `size` bytes, or one row: (first row, slice)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets = buffers(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        yield first, column.slice(first, last - first)
+        first = last
+
+
 class Spans:
     """Hashes of any substrings of one byte array."""
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import Words, buffers, prepare, saved
+from tableprobe.llm.common import Words, buffers, pieces, prepare, saved
 
 POSITIVES, NEGATIVES, LONGEST, SAMPLE_BYTES = 2500, 5500, 200_000, 64_000_000
 BUCKETS, SIZE, AFFIX = 1 << 15, 8, 5
@@ -114,9 +114,12 @@ def predict(model: Model, texts: pa.Array) -> np.ndarray:
     """The score of every text, with its language's threshold at 0.5."""
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    words, first = features(texts)
-    margin = logits(model, words, first).astype(np.float64) - model.thresholds[guess_languages(model, words, first)]
-    return np.where(np.diff(first) > 0, 1 / (1 + np.exp(-np.clip(margin, -40, 40))), 0.0)
+    scores = np.zeros(len(texts))
+    for at, some in pieces(texts):
+        words, first = features(some)
+        margin = logits(model, words, first).astype(np.float64) - model.thresholds[guess_languages(model, words, first)]
+        scores[at : at + len(some)] = np.where(np.diff(first) > 0, 1 / (1 + np.exp(-np.clip(margin, -40, 40))), 0.0)
+    return scores
 
 
 class _Adam:
@@ -244,12 +247,15 @@ def _word_counts(batches):
     """How often each bucket occurs in the texts of a language, per task."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        words = Words(batch.column("text"))
-        buckets = (words.hashes >> np.uint64(64 - 15)).astype(np.int32)
-        for row, lang in enumerate(batch.column("lang").to_pylist()):
-            if lang not in counts:
-                counts[lang] = np.zeros(BUCKETS, np.int64)
-            np.add.at(counts[lang], buckets[words.first[row] : words.first[row + 1]], 1)
+        langs = batch.column("lang").to_pylist()
+        for at, some in pieces(batch.column("text")):
+            words = Words(some)
+            buckets = (words.hashes >> np.uint64(64 - 15)).astype(np.int32)
+            for row in range(len(some)):
+                lang = langs[at + row]
+                if lang not in counts:
+                    counts[lang] = np.zeros(BUCKETS, np.int64)
+                np.add.at(counts[lang], buckets[words.first[row] : words.first[row + 1]], 1)
     for lang, own in counts.items():
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], names=["lang", "bucket", "n"])
@@ -259,11 +265,12 @@ def _binner(shared):
     def run(batches):
         for batch in batches:
             model = shared.value
-            words, first = features(batch.column("text"))
-            some = pa.array(np.diff(first) > 0)  # without words the score is 0 whatever the threshold
-            where = (guess_languages(model, words, first), _bin(logits(model, words, first)))
-            columns = [batch.column("id"), *(pa.array(x.astype(np.int32)) for x in where)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "guess", "bin"]).filter(some)
+            for at, texts in pieces(batch.column("text")):
+                words, first = features(texts)
+                some = pa.array(np.diff(first) > 0)  # without words the score is 0 whatever the threshold
+                where = (guess_languages(model, words, first), _bin(logits(model, words, first)))
+                columns = [batch.column("id").slice(at, len(texts)), *(pa.array(x.astype(np.int32)) for x in where)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "guess", "bin"]).filter(some)
 
     return run
 

@@ -14,7 +14,7 @@ import tiktoken
 import zstandard
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe, exchange, langid, lm, mixing, near_dup, quality, queries, suffix_dedup, topk, toxicity, url_filter
+from tableprobe.llm import bpe, common, exchange, langid, lm, mixing, near_dup, quality, queries, suffix_dedup, topk, toxicity, url_filter
 from tableprobe.llm.common import prepare
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -271,6 +271,14 @@ def test_thresholds_are_those_of_scored_rows(spark, monkeypatch):
     assert f1(model.thresholds[0]) == pytest.approx(best)
 
 
+def test_scores_do_not_depend_on_the_pieces():
+    rnd = np.random.default_rng(2)
+    texts = pa.array(["a b c " * int(n) if n else None for n in rnd.integers(0, 50, 40)])
+    found = list(common.pieces(texts.cast(pa.binary()), 100))
+    assert [at for at, _ in found] == np.cumsum([0, *(len(s) for _, s in found)])[:-1].tolist() and pa.concat_arrays([s for _, s in found]) == texts.cast(pa.binary())
+    assert list(common.pieces(pa.array([], pa.binary()))) == []
+
+
 def test_filters_stay_within_texts():
     random_ = np.random.default_rng(2)
     model = toxicity.Model(
