@@ -995,15 +995,29 @@ def csv_ingest_numbered(spark, d):
     return read_csv(spark, export(ordered, scratch_dir(spark, "customer"), "csv"), row_index=True)
 
 
-@_query("SELECT c_custkey, 'Zürich ' || c_name AS city FROM customer")
+@_query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, 'Zürich ' || c_name AS city FROM customer")
 def csv_ingest_latin1(spark, d):
     """Files that are not UTF-8 are read as Latin-1."""
-    customer = _table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Zürich "), "c_name").alias("city"))
+    customer = _table(spark, d, "customer").withColumn("city", F.concat(F.lit("Zürich "), "c_name"))
     folder = scratch_dir(spark, "customer")
     customer.write.csv(folder, header=True, encoding="ISO-8859-1")
     return read_csv(spark, folder)
 
 
+@_query("""SELECT o_orderkey, o_custkey, o_orderpriority || chr(10) || 'of "' || o_orderstatus || '", ' AS note, o_totalprice FROM orders""")
+def csv_ingest_blank_lines(spark, d):
+    """One file whose records span lines, with lines of blanks between some of them."""
+    orders = _table(spark, d, "orders")
+    note = F.concat(F.lit('"'), "o_orderpriority", F.lit('\nof ""'), "o_orderstatus", F.lit('"", "'))
+    record = F.concat_ws(",", "o_orderkey", "o_custkey", note, "o_totalprice")
+    blank = F.when(F.col("o_orderkey") % 5 == 0, "\n\n   ").otherwise("")
+    lines = orders.select(F.concat(record, blank).alias("value"), F.col("o_orderkey").alias("place"))
+    header = spark.createDataFrame([("o_orderkey,o_custkey,note,o_totalprice", -1)], lines.schema)
+    folder = scratch_dir(spark, "orders")
+    header.unionByName(lines).coalesce(1).sortWithinPartitions("place").select("value").write.text(folder)
+    return read_csv(spark, folder)
+
+
 @_query("SELECT * FROM customer")
 def csv_ingest_mixed_headers(spark, d):
     """Files with the same columns in another order are one table, by name."""

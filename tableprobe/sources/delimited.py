@@ -18,6 +18,7 @@ from ..functions.types import column
 from ..operators.row_index import ROW_INDEX, locate, number_located, plain_path, source_files
 from .headers import header_names
 from .inference import cast_text, infer_types, mark_missing
+from .records import BLOCK, FILE, SEQ, can_split, spanning_records
 
 #: Holds the whole record where a row has more or fewer fields than the header.
 _RAGGED = "__ragged__"
@@ -54,8 +55,8 @@ def read_delimited(
 
     Columns are matched by name: a file may have them in another order than the first file by
     path, but files that do not have the same columns are refused. A file that is not UTF-8
-    throughout is read as Latin-1. A file is split unless a quoted field of its own holds a
-    line break. A row with more fields than the header, blank or not, is an error; missing
+    throughout is read as Latin-1. Files are split, those with line breaks inside quoted fields
+    too (see `records`), unless a line ends in a carriage return alone. Blank lines are no rows. A row with more fields than the header, blank or not, is an error; missing
     fields are null. `types` (name to Spark type) spares the inference. With `row_index` the
     original row number is added.
     """
@@ -68,9 +69,13 @@ def read_delimited(
     parts = []
     for layout, files in layouts.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*layout.names, _RAGGED]])
-        reader = spark.read.options(header=True, encoding=layout.encoding, multiLine=layout.multi_line, **options)
-        rows = reader.options(columnNameOfCorruptRecord=_RAGGED, columnPruning=False).schema(schema).csv(files if len(layouts) > 1 else paths)
-        parts.append(_refuse_extra_fields(locate(rows) if row_index else rows, layout.names, options))
+        if layout.multi_line and can_split(spark, files):
+            rows = _spanning_rows(spark, files, layout, schema, options, row_index)
+        else:
+            reader = spark.read.options(header=True, encoding=layout.encoding, multiLine=layout.multi_line, **options)
+            rows = reader.options(columnNameOfCorruptRecord=_RAGGED, columnPruning=False).schema(schema).csv(files if len(layouts) > 1 else paths)
+            rows = locate(rows) if row_index else rows
+        parts.append(_refuse_extra_fields(rows, layout.names, options))
     marked = mark_missing(reduce(DataFrame.unionByName, parts), list(names))
     try:
         typed = cast_text(marked, infer_types(marked, list(names)) if types is None else types)
@@ -79,6 +84,14 @@ def read_delimited(
     return number_located(typed) if row_index else typed
 
 
+def _spanning_rows(spark: SparkSession, files: list[str], layout: _Layout, schema: T.StructType, options: dict, row_index: bool) -> DataFrame:
+    """Rows of files with records that span lines."""
+    records = spanning_records(spark, files, layout.encoding, options["sep"])
+    parser = {**options, "multiLine": "true", "columnNameOfCorruptRecord": _RAGGED}
+    place = [FILE, BLOCK, SEQ] if row_index else []
+    return records.select(F.from_csv("record", schema.json(), parser).alias("r"), *place).select("r.*", *place)
+
+
 def _layouts(
     spark: SparkSession, paths: list[str], options: dict, encoding: str | None, multi_line: bool | None
 ) -> dict[_Layout, list[str]]:
@@ -136,6 +149,9 @@ def _header(spark: SparkSession, file: str, options: dict, encoding: str) -> lis
         raise TableReadError(f"{file} has zero bytes in its header: it is not UTF-8 or Latin-1 text")
     if cells[0]:
         cells[0] = cells[0].lstrip("\ufeff")
+    if cells[-1]:
+        # left over where a line feed inside a quoted name was taken for the end of lines
+        cells[-1] = cells[-1].rstrip("\r")
     names = header_names(cells)
     folded = {n.lower() for n in names}
     if len(folded) < len(names) and spark.conf.get("spark.sql.caseSensitive") != "true":
