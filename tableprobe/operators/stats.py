@@ -23,6 +23,7 @@ from ..functions.text import DIGEST_OVER, digest_key
 from ..functions.types import column, is_string, null_columns_to_string, simplify_type
 from .melt import Melted, constants, melt
 from .quantiles import interpolate, order_statistics, quantile_ranks
+from .sketches import estimates, merge, sketch
 
 #: Columns handled by one job: bounds how many rows one input row becomes.
 COLUMNS_PER_JOB = 64
@@ -74,8 +75,8 @@ def column_stats(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Statistics of many columns, one row per column in the given order.
 
-    With ``exact=False`` distinct counts and quantiles come from sketches, which takes one
-    scan and shuffles nothing; there is then no most common value.
+    With ``exact=False`` distinct counts, quartiles and outliers come from sketches (see `sketches`), which takes one
+    scan and shuffles a row per task; there is then no most common value.
     """
     names = list(df.columns) if columns is None else list(columns)
     for name in names:
@@ -84,28 +85,60 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
     df = null_columns_to_string(df)
     rows = []
     for start in range(0, len(names), COLUMNS_PER_JOB):
-        rows += _profile_columns(df, names[start : start + COLUMNS_PER_JOB], exact)
+        some = names[start : start + COLUMNS_PER_JOB]
+        rows += _profile_columns(df, some) if exact else _sketched_columns(sketch(df, some), df, some)
     return df.sparkSession.createDataFrame([_stats_row(r) for r in rows], STATS_SCHEMA)
 
 
-def _profile_columns(df: DataFrame, names: list[str], exact: bool) -> list[dict]:
+def profile_of_parts(sketches: DataFrame, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The profile of `df` from saved `sketch` rows of its parts; of `df` only the types are looked at."""
+    names = list(df.columns) if columns is None else list(columns)
+    rows = _sketched_columns(merge(sketches, names), null_columns_to_string(df), names)
+    return df.sparkSession.createDataFrame([_stats_row(r) for r in rows], STATS_SCHEMA)
+
+
+def _sketched_columns(sketched: DataFrame, df: DataFrame, names: list[str]) -> list[dict]:
+    """The figures of one row of sketches."""
+    out = []
+    for name, found in zip(names, estimates(sketched, names)):
+        dtype = df.schema[name].dataType
+        s = {"column_name": name, "data_type": found["type"] or simplify_type(dtype), "total_rows": found["rows"] or 0, "non_null_count": found["present"] or 0}
+        s |= {"null_count": s["total_rows"] - s["non_null_count"], "unique_count": min(found["distinct"] or 0, s["non_null_count"])}
+        numeric = found["numbers"] and not found["other"]
+        if numeric or (found["values"] and not is_string(dtype)):
+            variance = found["spread"] / found["values"]
+            s |= {"mean": found["mean"], "std_dev": math.sqrt(max(variance, 0.0)) if math.isfinite(variance) else None}
+        if numeric:
+            q1, median, q3 = found["quartiles"]
+            low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            s |= {"median": median, "outlier_lower_bound": low, "outlier_upper_bound": high, "outlier_count": found["outside"]}
+            s |= {"min_value": found["low_number"], "max_value": found["high_number"]}
+            s["outlier_percentage"] = round(found["outside"] / s["non_null_count"] * 100, 1)
+        if s["non_null_count"] and is_string(dtype):
+            s |= {"min_length": found["min_length"], "max_length": found["max_length"], "avg_length": found["length"] / s["non_null_count"]}
+        if s["non_null_count"] and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            s |= _dates(df, found, dtype)
+        out.append(s)
+    return out
+
+
+def _profile_columns(df: DataFrame, names: list[str]) -> list[dict]:
     # fixed short names from here on, whatever the columns are called
     frame = df.select(*[column(n).alias(f"c{i}") for i, n in enumerate(names)])
     types = [f.dataType for f in frame.schema.fields]
     groups = melt(frame, {i: f"c{i}" for i in range(len(names))})
     stats = [{"column_name": n, "data_type": simplify_type(t)} for n, t in zip(names, types)]
-    _collect_metrics(frame, groups, stats, exact)
+    _collect_metrics(frame, groups, stats)
     for s, dtype in zip(stats, types):
         s["null_count"] = s["total_rows"] - s["non_null_count"]
         if s["non_null_count"] and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             s |= _dates(frame, s, dtype)
     # the distinct values and the quartiles do not need each other: their jobs run side by side
     with ThreadPoolExecutor(1) as pool:
-        distinct = pool.submit(inheritable_thread_target(frame.sparkSession)(_distinct_values), frame, groups, stats) if exact else None
-        numbers = [g for g in groups if g.is_number] + _number_texts(frame, types, stats, exact)
-        _quartiles(frame, numbers, stats, exact)
-        if distinct:
-            distinct.result()
+        distinct = pool.submit(inheritable_thread_target(frame.sparkSession)(_distinct_values), frame, groups, stats)
+        numbers = [g for g in groups if g.is_number] + _number_texts(frame, types, stats)
+        _quartiles(frame, numbers, stats)
+        distinct.result()
     return stats
 
 
@@ -116,13 +149,11 @@ def _profile_columns(df: DataFrame, names: list[str], exact: bool) -> list[dict]
 _METRICS = {
     "total_rows": "bigint",
     "non_null_count": "bigint",
-    "unique_count": "bigint",
     "numbers": "bigint",
     "mean": "double",
     "std_dev": "double",
     "low": "string",
     "high": "string",
-    "quartiles": "array<double>",
     "min_length": "bigint",
     "max_length": "bigint",
     "avg_length": "double",
@@ -130,20 +161,15 @@ _METRICS = {
 }
 
 
-def _metrics(group: Melted, exact: bool) -> dict[str, Column]:
+def _metrics(group: Melted) -> dict[str, Column]:
     """Aggregates over the values `x` of a column."""
     x = F.col("x")
     out = {"total_rows": F.count(F.lit(1)), "non_null_count": F.count(x)}
-    if not exact:
-        seen = F.when(x.isNotNull(), F.xxhash64(x))
-        out["unique_count"] = F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(seen, F.lit(14))), F.lit(0))
     if group.is_number:
         # the range and the quartiles leave NaN out, mean and deviation do not
         valid = F.when(~F.isnan(x), x) if group.is_double else x
         out |= {"numbers": F.count(valid), "mean": F.avg(x), "std_dev": F.stddev_pop(x)}
         out |= {"low": F.min(valid), "high": F.max(valid)}
-        if not exact:
-            out["quartiles"] = F.percentile_approx(valid, list(_QUARTERS))
     elif isinstance(group.dtype, (T.TimestampType, T.TimestampNTZType)):
         out |= {"low": F.min(x), "high": F.max(x)}
     elif group.text:
@@ -153,11 +179,11 @@ def _metrics(group: Melted, exact: bool) -> dict[str, Column]:
     return out
 
 
-def _collect_metrics(frame: DataFrame, groups: list[Melted], stats: list[dict], exact: bool) -> None:
+def _collect_metrics(frame: DataFrame, groups: list[Melted], stats: list[dict]) -> None:
     """The metrics of every column into `stats`: one scan per value type, one job."""
     branches, parsers = [], {}
     for group in groups:
-        metrics = _metrics(group, exact)
+        metrics = _metrics(group)
         found = group.rows(frame).groupBy("i").agg(*[expr.alias(m) for m, expr in metrics.items()])
         typed = [f"CAST({m if m in metrics else 'NULL'} AS {t}) AS {m}" for m, t in _METRICS.items()]
         branches.append(found.selectExpr("i", *typed))
@@ -252,7 +278,7 @@ def _smallest_of_top(frame: DataFrame, col: Column, count: int) -> str:
 # numbers ---------------------------------------------------------------------------------
 
 
-def _number_texts(frame: DataFrame, types: list[T.DataType], stats: list[dict], exact: bool) -> list[Melted]:
+def _number_texts(frame: DataFrame, types: list[T.DataType], stats: list[dict]) -> list[Melted]:
     """The text columns that hold only numbers, read as such, with their metrics added."""
     texts = [
         i for i, (t, s) in enumerate(zip(types, stats)) if is_string(t) and s["non_null_count"] and not s["not_number"]
@@ -266,16 +292,16 @@ def _number_texts(frame: DataFrame, types: list[T.DataType], stats: list[dict],
         kinds[kind].members[i] = numeric_view(F.col(f"c{i}"), types[i], kind)
     groups = [g for g in kinds.values() if g.members]
     scratch = [dict() for _ in stats]
-    _collect_metrics(frame, groups, scratch, exact)
+    _collect_metrics(frame, groups, scratch)
     for s, found in zip(stats, scratch):
         s |= {m: v for m, v in found.items() if m not in ("total_rows", "non_null_count", "unique_count")}
     return groups
 
 
-def _quartiles(frame: DataFrame, groups: list[Melted], stats: list[dict], exact: bool) -> None:
+def _quartiles(frame: DataFrame, groups: list[Melted], stats: list[dict]) -> None:
     """Median, and the values outside the quartiles by more than 1.5 times their distance."""
     some = {i: stats[i] for g in groups for i in g.members if stats[i]["numbers"]}
-    if exact and some:
+    if some:
         extent = {i: (s["numbers"], s["low"], s["high"]) for i, s in some.items()}
         ranks = {i: quantile_ranks(s["numbers"], _QUARTERS) for i, s in some.items()}
         ordered = order_statistics(frame, groups, extent, ranks)

@@ -52,7 +52,7 @@ _TYPES = (
 _UINT64_MAX = str(2**64 - 1)
 
 #: Columns whose types are decided in one job.
-_COLUMNS_PER_JOB = 64
+_COLUMNS_PER_JOB = 1024
 
 
 def null_markers(col: Column, sheet: bool = False) -> Column:
