@@ -33,6 +33,7 @@ from tableprobe.operators import (  # noqa: E402
     page_totals,
     parse_filter_entry,
     profile,
+    top_values,
     value_counts,
     with_row_index,
 )
@@ -716,6 +717,21 @@ def value_counts_long_texts(spark, d):
     return value_counts(_table(spark, d, "documents"), "text", 50, long_texts=True)
 
 
+@_query(f"""SELECT value, "count", pct FROM ({_counts_sql("lineitem", "CAST(l_partkey AS VARCHAR)", 25)})""")
+def top_values_many(spark, d):
+    """The most frequent values of a column of many, proven without counting all of them."""
+    return top_values(_table(spark, d, "lineitem"), "l_partkey", 25)
+
+
+@_query("""SELECT CASE WHEN l_orderkey % 3 = 0 THEN l_returnflag ELSE l_orderkey || '-' || l_linenumber END AS value, count(*) AS "count",
+      CAST(round(CAST(CAST(count(*) / sum(count(*)) OVER () * 100 AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS pct
+    FROM lineitem GROUP BY 1 ORDER BY "count" DESC LIMIT 3""")
+def top_values_skewed(spark, d):
+    """Three values hold a third of the rows, the others occur once."""
+    odd = F.when(F.col("l_orderkey") % 3 == 0, F.col("l_returnflag")).otherwise(F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return top_values(_table(spark, d, "lineitem").withColumn("v", odd), "v", 3)
+
+
 @_query(_counts_sql("lineitem", _DOUBLE_TEXT.format("l_discount"), 0))
 def value_counts_double(spark, d):
     return value_counts(_table(spark, d, "lineitem"), "l_discount", 0)

@@ -12,7 +12,7 @@ from .paging import DEFAULT_PAGE_ROWS, page, page_totals
 from .row_index import ROW_INDEX, with_row_index
 from .sorting import sort_table
 from .stats import STATS_SCHEMA, column_stats, profile
-from .value_counts import DEFAULT_VALUES, value_counts
+from .value_counts import DEFAULT_VALUES, top_values, value_counts
 
 __all__ = [
     "CompiledFilters",
@@ -30,6 +30,7 @@ __all__ = [
     "parse_filter_entry",
     "profile",
     "sort_table",
+    "top_values",
     "value_counts",
     "with_row_index",
 ]

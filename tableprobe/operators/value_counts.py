@@ -76,3 +76,47 @@ def value_counts(
         F.round(F.col("n") / totals.getField("rows") * 100, 2).alias("pct"),
         totals.getField("values").alias("total_unique"),
     )
+
+
+#: Buckets that values are dealt into by hash.
+_BUCKETS = 1 << 16
+
+
+def top_values(df: DataFrame, name: str, limit: int = DEFAULT_VALUES, tie: str = "first_seen") -> DataFrame:
+    """`value`, `count`, `pct` of the most frequent values, as `value_counts` lists them, of a column with very many values.
+
+    One pass counts the rows of `_BUCKETS` buckets of hashed values: no value is more frequent than its bucket. The values of the
+    fullest buckets are counted exactly; where the last one listed is more frequent than every other bucket is full, the
+    list is proven. Else the values of all buckets that are as full are counted, which proves it. So values of buckets that
+    can't hold a listed one are never shuffled. Only where all values are about as frequent, no bucket can be left out. The passes but the last run at once.
+    """
+    if name not in df.columns:
+        raise ColumnNotFoundError(f"Column '{name}' not found in table")
+    if tie not in ("first_seen", "value") or limit < 1:
+        raise TableProbeError("a number of values, and ties by first_seen or value, are needed")
+    dtype = df.schema[name].dataType
+    first_seen = tie == "first_seen"
+    rows = with_row_index(df) if first_seen and name != ROW_INDEX else df
+    by_text = is_string(dtype) or is_nested(dtype)
+    key = text_or_token(column(name), dtype) if by_text else column(name)
+    bucket = F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int")
+    keyed = rows.select(key.alias("key"), bucket.alias("bucket"), *([column(ROW_INDEX).alias("place")] if first_seen else []))
+    sizes = {r.bucket: r["count"] for r in keyed.groupBy("bucket").count().collect()}
+    total = sum(sizes.values())
+    value = F.col("key") if by_text else text_or_token(F.col("key"), dtype)
+
+    def counted(buckets: set[int]) -> DataFrame:
+        some = keyed if len(buckets) == len(sizes) else keyed.filter(F.col("bucket").isin(sorted(buckets)))
+        measures = [F.count(F.lit(1)).alias("n")] + ([F.min("place").alias("first")] if first_seen else [])
+        groups = some.groupBy("key").agg(*measures).withColumn("value", value)
+        return groups.orderBy(F.col("n").desc(), F.col("first" if first_seen else "value").asc()).limit(limit)
+
+    chosen = set(sorted(sizes, key=lambda b: (-sizes[b], b))[: 2 * limit + 16])
+    listed = counted(chosen)
+    if len(chosen) < len(sizes):
+        least = sorted((r.n for r in listed.select("n").collect()), reverse=True)
+        least = least[limit - 1] if len(least) == limit else 1
+        needed = {b for b, n in sizes.items() if n >= least}
+        if not needed <= chosen:
+            listed = counted(needed)
+    return listed.select("value", F.col("n").alias("count"), F.round(F.col("n") / F.lit(max(total, 1)) * 100, 2).alias("pct"))

@@ -147,6 +147,13 @@ def test_classification_goes_by_content_then_name(spark, tmp_path):
     put(tmp_path / "PAR1.csv", "PAR1,b\n1,2\n")
     put(tmp_path / "old name.XLS", b"x" * 1536)
     put(tmp_path / "plain", b"-")
+    put(tmp_path / "empty.csv", b"")
+    put(tmp_path / "odd [x] %25.xlsx", b"")
+    empty = {r.path.rsplit("/", 1)[1]: r for r in classify_files(spark, str(tmp_path)).filter("size = 0").collect()}
+    assert {n: (r.source_type, r.size_text) for n, r in empty.items()} == {"empty.csv": ("csv", "0 B"), "odd [x] %25.xlsx": ("excel", "0 B")}
+    assert abs(empty["empty.csv"].modified.timestamp() - (tmp_path / "empty.csv").stat().st_mtime) < 90_000
+    (tmp_path / "empty.csv").unlink()
+    (tmp_path / "odd [x] %25.xlsx").unlink()
     got = {r.path.rsplit("/", 1)[1]: r for r in classify_files(spark, str(tmp_path)).collect()}
     assert {n: r.source_type for n, r in got.items()} == {"real.txt": "sqlite", "text.db": "unknown", "zip.db": "unknown", "PAR1.csv": "csv", "old name.XLS": "excel", "plain": "unknown"}
     assert got["old name.XLS"].size_text == "1.5 KB" and got["plain"].size_text == "1 B"

@@ -1,4 +1,5 @@
 import datetime as dt
+import importlib
 import math
 import random
 import statistics
@@ -208,3 +209,29 @@ def test_hot_values_are_counted_before_the_shuffle(spark, saved):
     assert frame.collect()[0] == ("hot", 1000, 33.33, 2001)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("tie", ["first_seen", "value"])
+@pytest.mark.parametrize("buckets", [3, 64, 1 << 16])
+def test_top_values_are_those_of_the_full_count(spark, saved, monkeypatch, tie, buckets):
+    from tableprobe.operators import top_values, value_counts as vc
+
+    monkeypatch.setattr(importlib.import_module("tableprobe.operators.value_counts"), "_BUCKETS", buckets)
+    value = F.when(F.col("id") % 4 == 0, F.lit("hot")).when(F.col("id") % 9 == 1, None).when(F.col("id") % 50 < 9, (F.col("id") % 50).cast("string")).otherwise(F.col("id").cast("string"))
+    df = saved(spark.range(2000).select("id", value.alias("v"), (F.col("id") * 31 % 700).alias("n"), F.lit(1.5).alias("one")))
+    for name, limit in (("v", 1), ("v", 6), ("v", 40), ("n", 10), ("one", 3), ("id", 5)):
+        full = [tuple(r)[:3] for r in vc(df, name, limit, tie=tie).collect()]
+        assert [tuple(r) for r in top_values(df, name, limit, tie=tie).collect()] == full, (name, limit)
+    assert top_values(df.limit(0) if tie == "value" else saved(df.filter("id < 0")), "v", 5, tie=tie).collect() == []
+
+
+def test_only_values_of_full_buckets_are_counted(spark, saved):
+    from tableprobe.operators import top_values
+
+    value = F.when(F.col("id") % 3 == 0, F.col("id") % 15).otherwise(F.col("id"))
+    df = saved(spark.range(200_000).select(value.alias("v")))
+    top = top_values(df, "v", 5, tie="value")
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan or "INSET" in plan.upper()
+    counted = df.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 16)).isin([r.b for r in df.filter("v < 15").select(F.pmod(F.xxhash64("v"), F.lit(1 << 16)).alias("b")).distinct().collect()]))
+    assert counted.select("v").distinct().count() < 400 and [r["count"] for r in top.collect()][0] >= 13_333
