@@ -57,7 +57,7 @@ from tableprobe.sources import (  # noqa: E402
     table_to_grid,
     type_text_columns,
 )
-from tableprobe.streaming import keep_current, latest, live_profile, live_value_counts, read_arriving  # noqa: E402
+from tableprobe.streaming import current_profile, keep_current, keep_profile, latest, live_profile, live_value_counts, read_arriving  # noqa: E402
 from tableprobe.testing import write_databases, write_workbooks  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1177,6 +1177,35 @@ def live_statistics(spark, d):
     return _settled(spark, live_profile(stream, ["value", "event_type", "user_id"])).drop("unique_estimate")
 
 
+def _live_column(name: str, kind: str, number: str = "NULL", length: str = "NULL") -> str:
+    return f"""SELECT '{name}' AS column_name, '{kind}' AS data_type, count(*) AS total_rows, count({name}) AS non_null_count, count(*) - count({name}) AS null_count,
+      CAST(min({number}) AS DOUBLE) AS min_value, CAST(max({number}) AS DOUBLE) AS max_value, CAST(round(avg({number}), 2) AS DOUBLE) AS mean,
+      CAST(min({length}) AS BIGINT) AS min_length, CAST(max({length}) AS BIGINT) AS max_length FROM events"""
+
+
+@_query(
+    " UNION ALL ".join(
+        [
+            _live_column("event_id", "int", "event_id"),
+            _live_column("user_id", "int", "user_id"),
+            _live_column("event_type", "string", length="length(event_type)"),
+            _live_column("value", "float", "value"),
+            _live_column("props", "string", length="length(props)"),
+            _live_column("ts", "datetime"),
+        ]
+    )
+)
+def live_profile_of_arrivals(spark, d):
+    """All columns, from one row of sketches for each batch; quartiles and distinct counts are left to the tests."""
+    events, folder = _table(spark, d, "events"), scratch_dir(spark, "live")
+    arriving = scratch_dir(spark, "arriving")
+    events.repartition(6, "event_id").write.parquet(arriving)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(arriving)
+    keep_profile(stream, f"{folder}/sketches", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    found = current_profile(spark, f"{folder}/sketches", events.schema)
+    return found.select("column_name", "data_type", "total_rows", "non_null_count", "null_count", "min_value", "max_value", "mean", "min_length", "max_length")
+
+
 # driver contract -------------------------------------------------------------------------
 
 

@@ -1,5 +1,5 @@
 """Results that follow arriving files."""
 
-from .live import keep_current, latest, live_profile, live_value_counts, read_arriving
+from .live import current_profile, keep_current, keep_profile, latest, live_profile, live_value_counts, read_arriving
 
-__all__ = ["keep_current", "latest", "live_profile", "live_value_counts", "read_arriving"]
+__all__ = ["current_profile", "keep_current", "keep_profile", "latest", "live_profile", "live_value_counts", "read_arriving"]

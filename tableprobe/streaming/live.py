@@ -1,8 +1,8 @@
 """Counts and profiles that stay current while files arrive.
 
 There is no event time: a row counts from the moment its file is there, so there is no
-watermark, and the state is one row per value (or per column). Exact quantiles and distinct
-counts cannot be kept incrementally; the distinct count is a sketch.
+watermark, and the state is one row per value (or per column). `keep_profile` keeps mergeable sketches instead: a batch
+writes one row for what arrived in it, and the profile of everything is that of the merged rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from ..errors import ColumnNotFoundError, TableReadError
 from ..functions.text import text_or_token, text_view
 from ..functions.types import column, is_floating, is_numeric
 from ..operators.filters import apply_filters
+from ..operators.sketches import merge, sketch
+from ..operators.stats import profile_of_parts
 
 
 def read_arriving(spark: SparkSession, path: str, schema: T.StructType, files: str = "*.parquet") -> DataFrame:
@@ -77,11 +79,66 @@ def keep_current(result: DataFrame, folder: str, checkpoint: str, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+#: Batches whose sketches are merged into one row.
+MERGED_BATCHES = 64
+
+
+def keep_profile(
+    stream: DataFrame, folder: str, checkpoint: str, columns: list[str] | None = None, filters=(), available_now: bool = False, **options
+) -> StreamingQuery:
+    """Sketch every batch of arrivals into ``<folder>/batch=<n>``; `current_profile` reads them.
+
+    A batch looks at its own rows only. After every `MERGED_BATCHES` batches their rows are merged into ``<folder>/upto=<n>``, and what it is made of is
+    removed once it is complete. A batch that is run again replaces its own folder, so nothing counts twice.
+    """
+    rows = apply_filters(stream, filters, **options)
+    names = list(rows.columns) if columns is None else list(columns)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        sketch(batch, names).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if (number + 1) % MERGED_BATCHES == 0 and number not in _finished(spark, folder, "upto"):
+            merge(_parts(spark, folder, number), names).write.mode("overwrite").parquet(f"{folder}/upto={number}")
+        last = max(_finished(spark, folder, "upto"), default=-1)
+        for kind, done in (("upto", lambda n: n < last), ("batch", lambda n: n <= last)):
+            for n in filter(done, _finished(spark, folder, kind)):
+                _remove(spark, f"{folder}/{kind}={n}")
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_profile(spark: SparkSession, folder: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+    """The profile of everything in the complete batches, as `profile` with ``exact=False`` gives it."""
+    return profile_of_parts(_parts(spark, folder), spark.createDataFrame([], schema), columns)
+
+
+def _parts(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
+    """The sketches to be merged: the last merged row, and those of the batches since."""
+    bases = [n for n in _finished(spark, folder, "upto") if upto is None or n < upto]
+    last = max(bases, default=-1)
+    since = [n for n in _finished(spark, folder, "batch") if n > last and (upto is None or n <= upto)]
+    paths = [f"{folder}/upto={last}"] * (last >= 0) + [f"{folder}/batch={n}" for n in since]
+    if not paths:
+        raise TableReadError(f"no complete batch in {folder}")
+    return spark.read.parquet(*paths)
+
+
+def _finished(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """The numbers of the folders that have their success marker."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return [int(status.getPath().getParent().getName().removeprefix(f"{kind}=")) for status in found or []]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def latest(spark: SparkSession, folder: str) -> DataFrame:
     """The result after the last complete batch: the last one whose folder has its success marker."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
-    finished = [status.getPath().getParent().getName().removeprefix("batch=") for status in found or []]
+    finished = _finished(spark, folder, "batch")
     if not finished:
         raise TableReadError(f"no complete batch in {folder}")
-    return spark.read.parquet(f"{folder}/batch={max(map(int, finished))}")
+    return spark.read.parquet(f"{folder}/batch={max(finished)}")
