@@ -22,49 +22,55 @@ _HLL_BITS = 14
 _POINTS = 1000
 
 
-def _numbers(x: Column, dtype: T.DataType, target: T.DataType) -> Column | None:
-    """The numbers of a column as doubles, NaN left out; None where it has none."""
-    if is_string(dtype):
-        number = text_to_double(x)
-    elif isinstance(target, T.NumericType):
-        number = x.cast("double")
-    else:
-        return None
-    return F.when(~F.isnan(number), number)
+def _view(x: Column, dtype: T.DataType) -> Column:
+    """A column in the type its values are compared in."""
+    target = value_type(dtype)
+    if is_nested(dtype) or (isinstance(target, T.StringType) and not is_string(dtype)):
+        return text_view(x, dtype)
+    return x if is_string(dtype) or target == dtype else x.cast(target)
 
 
-def _aggregates(name: str, dtype: T.DataType) -> Column:
-    """What is kept of one column."""
-    target, x = value_type(dtype), column(name)
-    if is_nested(dtype) or (isinstance(target, T.StringType) and not is_string(dtype)):
-        x = text_view(x, dtype)
-    elif target != dtype and not is_string(dtype):
-        x = x.cast(target)
-    number = _numbers(x, dtype, target)
-    whole = x.cast("double") if isinstance(target, T.NumericType) else number
-    none = F.lit(None)
-    dated = isinstance(target, (T.TimestampType, T.TimestampNTZType))
-    bounds = x if dated else number
-    exact = x if isinstance(target, T.NumericType) and not isinstance(target, T.DoubleType) else bounds
-    length = F.char_length(x) if is_string(dtype) else none
+def _prepared(name: str, dtype: T.DataType, i: int) -> list[Column]:
+    """What the aggregates of a column look at, worked out once a row."""
+    x, out = _view(column(name), dtype), []
+    out.append(x.alias(f"x{i}"))
+    out.append(F.when(x.isNotNull(), F.xxhash64(x)).alias(f"h{i}"))
+    if is_string(dtype):
+        number = text_to_double(x)
+        out += [F.when(~F.isnan(number), number).alias(f"n{i}"), F.char_length(x).alias(f"l{i}"), (~is_number_text(x)).alias(f"o{i}")]
+    elif isinstance(value_type(dtype), T.DoubleType):
+        out.append(F.when(~F.isnan(x), x).alias(f"n{i}"))
+    elif isinstance(value_type(dtype), T.NumericType):
+        out.append(x.cast("double").alias(f"n{i}"))
+    return out
+
+
+def _aggregates(dtype: T.DataType, i: int) -> Column:
+    """What is kept of one column. Aggregates that are the same are computed once."""
+    target, x = value_type(dtype), F.col(f"x{i}")
+    numeric, floating = isinstance(target, T.NumericType), isinstance(target, T.DoubleType)
+    text, dated = is_string(dtype), isinstance(target, (T.TimestampType, T.TimestampNTZType))
+    none, zero = F.lit(None), F.lit(0).cast("bigint")
+    number = F.col(f"n{i}") if numeric or text else None
+    # the mean and the deviation see NaN; nothing but floats has it
+    whole = x if floating else number
+    bounds = x if dated or (numeric and not floating) else number
     kept = {
-        "type": F.first(F.lit(simplify_type(dtype))),
+        "type": F.lit(simplify_type(dtype)),
         "rows": F.count(F.lit(1)),
         "present": F.count(x),
-        "distinct": F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), F.lit(_HLL_BITS)),
-        "numbers": F.count(number) if number is not None else F.lit(0).cast("bigint"),
-        "other": F.count_if(~is_number_text(x)) if is_string(dtype) else F.lit(0).cast("bigint"),
-        "values": F.count(whole) if whole is not None else F.lit(0).cast("bigint"),
+        "distinct": F.hll_sketch_agg(F.col(f"h{i}"), F.lit(_HLL_BITS)),
+        "numbers": zero if number is None else F.count(number if floating or text else x),
+        "other": F.count_if(F.col(f"o{i}")) if text else zero,
+        "values": zero if whole is None else F.count(whole if text else x),
         "mean": F.avg(whole) if whole is not None else none.cast("double"),
-        "spread": F.var_pop(whole) * F.count(whole) if whole is not None else none.cast("double"),
-        "low": F.min(exact).cast("string") if exact is not None else none.cast("string"),
-        "high": F.max(exact).cast("string") if exact is not None else none.cast("string"),
-        "low_number": F.min(number) if number is not None else none.cast("double"),
-        "high_number": F.max(number) if number is not None else none.cast("double"),
+        "spread": F.var_pop(whole) * F.count(whole if text else x) if whole is not None else none.cast("double"),
+        "low": F.min(bounds).cast("string") if bounds is not None else none.cast("string"),
+        "high": F.max(bounds).cast("string") if bounds is not None else none.cast("string"),
+        "low_number": F.min(bounds).cast("double") if number is not None else none.cast("double"),
+        "high_number": F.max(bounds).cast("double") if number is not None else none.cast("double"),
         "quantiles": F.kll_sketch_agg_double(number) if number is not None else none.cast("binary"),
-        "min_length": F.min(length).cast("bigint"),
-        "max_length": F.max(length).cast("bigint"),
-        "length": F.sum(length).cast("bigint"),
+        **{key: (f(F.col(f"l{i}")) if text else none).cast("bigint") for key, f in (("min_length", F.min), ("max_length", F.max), ("length", F.sum))},
     }
     return F.struct(*[value.alias(key) for key, value in kept.items()])
 
@@ -72,8 +78,16 @@ def _aggregates(name: str, dtype: T.DataType) -> Column:
 def sketch(df: DataFrame, columns: list[str] | None = None, by: list[Column] | None = None) -> DataFrame:
     """One struct of aggregates per column, under its name; one row, or one for each value of `by` (such as the file's path)."""
     names = list(df.columns) if columns is None else columns
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(*[_aggregates(n, df.schema[n].dataType).alias(n) for n in names])
+    types = [df.schema[n].dataType for n in names]
+    if by:
+        # the keys keep their names, and are set aside under others that no column has
+        titles = df.select(*by).columns
+        keys = [key.alias(f"k{i}") for i, key in enumerate(by)]
+    else:
+        titles, keys = [], []
+    prepared = df.select(*keys, *[c for i, (n, t) in enumerate(zip(names, types)) for c in _prepared(n, t, i)])
+    grouped = prepared.groupBy(*[F.col(f"k{i}").alias(title) for i, title in enumerate(titles)])
+    return grouped.agg(*[_aggregates(t, i).alias(n) for i, (n, t) in enumerate(zip(names, types))])
 
 
 def merge(sketches: DataFrame, columns: list[str]) -> DataFrame:

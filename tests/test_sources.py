@@ -436,3 +436,16 @@ def test_databases_are_one_table(spark, tmp_path):
     connection.close()
     with pytest.raises(Exception, match="city"):
         read_sqlite(spark, str(tmp_path)).collect()
+
+
+def test_types_of_many_columns_take_one_job(spark):
+    def jobs(number):
+        group = f"types {number}"
+        spark.sparkContext.setJobGroup(group, group)
+        wide = spark.range(20).select(*[(F.col("id") + i).cast("string").alias(f"c{i}") for i in range(number)])
+        assert dict(type_text_columns(wide).dtypes)[f"c{number - 1}"] == "bigint"
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(3), jobs(300)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert many == few
