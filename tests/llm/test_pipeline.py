@@ -96,4 +96,4 @@ def test_registered(spark):
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")]
-    assert len(names) == 11 and sorted(queries.QUERIES) == sorted(n for n in names if n != "pipeline")
+    assert len(names) == 14 and sorted(queries.QUERIES) == sorted(n for n in names if n != "pipeline")
