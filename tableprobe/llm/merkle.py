@@ -147,5 +147,6 @@ def _ways(levels: list[tuple[DataFrame, DataFrame]], tops: DataFrame) -> DataFra
             above = known.select(F.col("g").alias("ug"), F.col("i").alias("ui"), F.col("path").alias("rest"), "subroot")
             joined = met.join(above, (F.col("g") == F.col("ug")) & (F.col("up") == F.col("ui")))
             here = here.unionByName(joined.select("g", "i", F.concat(F.array("step"), "rest").alias("path"), "subroot", *carried))
-        known = here
+        # a plan over all levels would hold the broadcasts of all of them in the driver at once
+        known = saved(here, "merkle-paths") if depth else here
     return known

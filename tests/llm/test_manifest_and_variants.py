@@ -62,6 +62,14 @@ def test_manifest_is_that_of_the_trees(spark, monkeypatch, arity):
     assert sorted(((r.row.id, r.leaf, r.subroot, r.root, [(s.left, s.right) for s in r.path]) for r in got), key=repr) == expected_manifest(rows, arity)
 
 
+def test_plan_of_a_manifest_does_not_grow_with_its_levels(spark):
+    plans = []
+    for rows in (30, 3000):
+        made = merkle.manifest(spark.range(rows), F.lit("g"), [F.col("id")], merkle.row_hash(F.col("id")))
+        plans.append(made._jdf.queryExecution().optimizedPlan().toString())
+    assert plans[0].count("Join ") == plans[1].count("Join ") and plans[0].count("Union") == plans[1].count("Union")
+
+
 def test_manifests_of_no_and_of_one_row(spark):
     df = spark.createDataFrame([], "id long, source string")
     assert merkle.manifest(df, F.col("source"), [F.col("id")], merkle.row_hash(F.col("id"))).collect() == []
