@@ -1,37 +1,62 @@
 """Sample sources written by Spark from a table: databases and workbooks.
 
-One file per partition, named by the partition's number, so that a range-partitioned frame
-becomes files whose order by path is the order of the table. Used by the tests and by the
-registered queries that read such sources.
+Files are named by the partition's number and counted in it, so that a range-partitioned frame
+becomes files whose order by path is the order of the table. Rows are written as they come: no
+task holds those of a partition or of a file. Used by the tests and by the registered queries
+that read such sources.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Rows of a workbook. A worksheet holds 1,048,576, and one task decodes a workbook.
+WORKBOOK_ROWS = 100_000
 
-def _file_writer(folder: str, extension: str, build):
-    """A `mapInPandas` function: all rows of a partition through `build` into one file."""
+
+def _file_writer(folder: str, extension: str, build, most: int | None = None):
+    """A `mapInPandas` function: the rows of a partition through `build` into a file, or files of `most` rows.
+
+    `build` takes an iterator of frames and an output stream.
+    """
+
+    def cut(batches):
+        """(file, rows), no piece across two files."""
+        file = used = 0
+        for rows in batches:
+            while len(rows):
+                piece = rows if most is None else rows[: most - used]
+                yield file, piece
+                rows, used = rows[len(piece) :], used + len(piece)
+                if used == most:
+                    file, used = file + 1, 0
 
     def write(batches):
+        import itertools
+
         import pandas as pd
         import pyarrow.fs as fs
         from pyspark import TaskContext
 
-        parts = list(batches)
-        rows = pd.concat(parts) if parts else None
-        if rows is None or rows.empty:
-            return
         number = TaskContext.get().partitionId()
         if "://" in folder:
             system, inner = fs.FileSystem.from_uri(folder)
         else:
             system, inner = fs.LocalFileSystem(), folder.removeprefix("file:")
-        system.create_dir(inner, recursive=True)
-        name = f"part-{number:05d}.{extension}"
-        with system.open_output_stream(f"{inner}/{name}") as out:
-            out.write(build(rows))
-        yield pd.DataFrame({"file": [name], "rows": [len(rows)]})
+        for file, pieces in itertools.groupby(cut(batches), key=lambda piece: piece[0]):
+            system.create_dir(inner, recursive=True)
+            name = f"part-{number:05d}-{file:05d}.{extension}"
+            total = 0
+
+            def counted():
+                nonlocal total
+                for _, rows in pieces:
+                    total += len(rows)
+                    yield rows
+
+            with system.open_output_stream(f"{inner}/{name}") as out:
+                build(counted(), out)
+            yield pd.DataFrame({"file": [name], "rows": [total]})
 
     return write
 
@@ -39,28 +64,33 @@ def _file_writer(folder: str, extension: str, build):
 def write_databases(df: DataFrame, folder: str, table: str) -> int:
     """Each partition as a SQLite database with one table; returns the number of files."""
 
-    def build(rows) -> bytes:
+    def build(frames, out) -> None:
+        import shutil
         import sqlite3
-
-        connection = sqlite3.connect(":memory:")
-        names = ", ".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
-        connection.execute(f'CREATE TABLE "{table}" ({names})')
-        marks = ", ".join("?" * len(rows.columns))
-        values = rows.astype(object).where(rows.notna(), None).values.tolist()
-        connection.executemany(f'INSERT INTO "{table}" VALUES ({marks})', values)
-        connection.commit()
-        return connection.serialize()
+        import tempfile
+
+        with tempfile.NamedTemporaryFile(suffix=".db") as file:
+            connection = sqlite3.connect(file.name)
+            for n, rows in enumerate(frames):
+                if n == 0:
+                    names = ", ".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
+                    connection.execute(f'CREATE TABLE "{table}" ({names})')
+                    marks = ", ".join("?" * len(rows.columns))
+                values = rows.astype(object).where(rows.notna(), None).values.tolist()
+                connection.executemany(f'INSERT INTO "{table}" VALUES ({marks})', values)
+                connection.commit()
+            connection.close()
+            shutil.copyfileobj(file, out, 1 << 20)
 
     written = df.mapInPandas(_file_writer(folder, "db", build), "file string, rows bigint")
     return written.count()
 
 
 def write_workbooks(df: DataFrame, folder: str, sheet: str) -> int:
-    """Each partition as a workbook with one worksheet; returns the number of files."""
+    """Each partition as workbooks of one worksheet and at most `WORKBOOK_ROWS` rows; returns the number of files."""
 
-    def build(rows) -> bytes:
+    def build(frames, out) -> None:
         import datetime as dt
-        import io
         import numbers
         import zipfile
         from xml.sax.saxutils import escape, quoteattr
@@ -81,21 +111,26 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str) -> int:
 
         main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
         office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        lines = [list(rows.columns), *rows.astype(object).values.tolist()]
-        body = "".join("<row>" + "".join(map(cell, line)) + "</row>" for line in lines)
+        def row(values) -> str:
+            return "<row>" + "".join(map(cell, values)) + "</row>"
+
         parts = {
             "xl/workbook.xml": f'<workbook {main} xmlns:r="{office}"><sheets>'
             f'<sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>',
             "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
             f'<Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
             "xl/styles.xml": f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>',
-            "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>",
         }
-        out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
             for name, text in parts.items():
                 package.writestr(name, text)
-        return out.getvalue()
-
-    written = df.mapInPandas(_file_writer(folder, "xlsx", build), "file string, rows bigint")
+            with package.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as part:
+                part.write(f"<worksheet {main}><sheetData>".encode())
+                for n, rows in enumerate(frames):
+                    if n == 0:
+                        part.write(row(rows.columns).encode())
+                    part.write("".join(map(row, rows.astype(object).values.tolist())).encode())
+                part.write(b"</sheetData></worksheet>")
+
+    written = df.mapInPandas(_file_writer(folder, "xlsx", build, WORKBOOK_ROWS), "file string, rows bigint")
     return written.count()

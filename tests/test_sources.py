@@ -324,6 +324,37 @@ def test_workbooks_with_unlike_headers(spark, tmp_path):
         read_workbook(spark, folder)
 
 
+def test_long_partitions_become_several_workbooks(spark, tmp_path, monkeypatch):
+    """Rows beyond those of one workbook go to the next, and stay in the order of the table."""
+    from tableprobe import testing
+
+    monkeypatch.setattr(testing, "WORKBOOK_ROWS", 10)
+    assert write_workbooks(spark.range(25).coalesce(1), f"{tmp_path}/books", "S") == 3
+    got = read_workbook(spark, f"{tmp_path}/books", row_index=True)
+    assert sorted(map(tuple, got.collect())) == [(i, i + 1) for i in range(25)]
+
+
+def test_rows_of_a_worksheet_are_not_held(tmp_path):
+    import tracemalloc
+    import zipfile
+
+    from tableprobe.sources.workbook import _Workbook
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w", zipfile.ZIP_DEFLATED) as package:
+        package.writestr("xl/workbook.xml", f"<workbook {main}/>")
+        package.writestr("xl/_rels/workbook.xml.rels", "<Relationships/>")
+        package.writestr("s.xml", f"<worksheet {main}><sheetData>" + "<row><c><v>1</v></c></row>" * 60_000 + "</sheetData></worksheet>")
+    with open(tmp_path / "a.xlsx", "rb") as stream:
+        book = _Workbook(stream)
+        book.load_values()
+        tracemalloc.start()
+        assert sum(1 for _ in book.rows("s.xml")) == 60_000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak < 2_000_000
+
+
 def test_workbook_parts(spark, tmp_path):
     """Shared strings, styles, formulas, errors and a chart sheet, in a hand-made package."""
     import zipfile
