@@ -8,12 +8,26 @@ that read such sources.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+
+# the functions below run inside tasks, where this package need not be installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of a workbook. A worksheet holds 1,048,576, and one task decodes a workbook.
 WORKBOOK_ROWS = 100_000
 
 
+def _located(folder: str):
+    import pyarrow.fs as fs
+
+    if "://" in folder:
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder.removeprefix("file:")
+
+
 def _file_writer(folder: str, extension: str, build, most: int | None = None):
     """A `mapInPandas` function: the rows of a partition through `build` into a file, or files of `most` rows.
 
@@ -35,14 +49,10 @@ def _file_writer(folder: str, extension: str, build, most: int | None = None):
         import itertools
 
         import pandas as pd
-        import pyarrow.fs as fs
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        if "://" in folder:
-            system, inner = fs.FileSystem.from_uri(folder)
-        else:
-            system, inner = fs.LocalFileSystem(), folder.removeprefix("file:")
+        system, inner = _located(folder)
         for file, pieces in itertools.groupby(cut(batches), key=lambda piece: piece[0]):
             system.create_dir(inner, recursive=True)
             name = f"part-{number:05d}-{file:05d}.{extension}"
@@ -134,3 +144,17 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str) -> int:
 
     written = df.mapInPandas(_file_writer(folder, "xlsx", build, WORKBOOK_ROWS), "file string, rows bigint")
     return written.count()
+
+
+def write_split(df: DataFrame, by: str, folder: str) -> None:
+    """Parquet with one file for each value of a column.
+
+    A task has a writer for each of its values; without that Spark sorts the rows of a task by the value first.
+    """
+    conf, setting = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(setting)
+    conf.set(setting, "64")
+    try:
+        df.repartition(by).write.partitionBy(by).parquet(folder)
+    finally:
+        conf.set(setting, before)

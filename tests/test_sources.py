@@ -480,3 +480,16 @@ def test_types_of_many_columns_take_one_job(spark):
     few, many = jobs(3), jobs(300)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert many == few
+
+
+def test_files_by_value_are_written_without_a_sort(spark, tmp_path):
+    from tableprobe.testing import write_split
+
+    setting = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    write_split(spark.range(1000).selectExpr("id % 7 AS k", "id"), "k", f"{tmp_path}/t")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plan = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+    assert "InsertIntoHadoopFsRelation" in plan and "Sort" not in plan
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == setting
+    got = spark.read.parquet(f"{tmp_path}/t")
+    assert len(got.inputFiles()) == 7 and got.count() == 1000
