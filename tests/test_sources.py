@@ -493,3 +493,14 @@ def test_files_by_value_are_written_without_a_sort(spark, tmp_path):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == setting
     got = spark.read.parquet(f"{tmp_path}/t")
     assert len(got.inputFiles()) == 7 and got.count() == 1000
+
+
+def test_query_of_files_names_tables_in_folders(spark, tmp_path):
+    import __spark_entry__ as catalog
+
+    spark.range(4).repartition(2).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(4).coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "region.parquet")
+    next((tmp_path / "parts").glob("_SUCCESS")).unlink()
+    found = catalog.queries()["classified_files"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("orders", "parquet"), ("region", "parquet")]
