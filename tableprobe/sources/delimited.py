@@ -107,9 +107,11 @@ def _layouts(
         F.lit(True).alias("utf8") if encoding else F.is_valid_utf8("value").alias("utf8"),
         F.lit(False).alias("spans") if multi_line is not None else _open_quote("value", options["sep"]).alias("spans"),
     )
+    # sets of flags are aggregated by hash; beside mere flags the text of `first` would have every task sort its lines by file
     per_file = lines.filter(F.trim("value") != "").groupBy("file").agg(
-        F.min_by("value", "place").alias("first"), F.bool_and("utf8").alias("utf8"), F.bool_or("spans").alias("spans")
+        F.min_by("value", "place").alias("first"), F.collect_set("utf8").alias("utf8"), F.collect_set("spans").alias("spans")
     )
+    per_file = per_file.withColumns({"utf8": ~F.array_contains("utf8", F.lit(False)), "spans": F.array_contains("spans", F.lit(True))})
     # a first line that is only part of the header says nothing about other files
     alone = F.when(_open_quote("first", options["sep"]), F.col("file"))
     alike = per_file.groupBy("first", "utf8", "spans", alone.alias("alone")).agg(F.sort_array(F.collect_list("file")).alias("files"))

@@ -146,6 +146,34 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str) -> int:
     return written.count()
 
 
+def join_files(spark: SparkSession, parts: str, file: str) -> int:
+    """The files that a query wrote into a folder, end to end by partition, as one file; returns its bytes.
+
+    One file has one writer, so one task copies them, a block at a time.
+    """
+
+    def copy(batches):
+        import posixpath
+        import shutil
+
+        import pandas as pd
+        import pyarrow.fs as fs
+
+        for _ in batches:
+            system, inner = _located(parts)
+            names = sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.base_name.startswith("part-"))
+            target = _located(file)[1]
+            system.create_dir(posixpath.dirname(target), recursive=True)
+            with system.open_output_stream(target) as out:
+                for name in names:
+                    with system.open_input_stream(name) as stream:
+                        shutil.copyfileobj(stream, out, 8 << 20)
+                size = out.tell()
+            yield pd.DataFrame({"bytes": [size]})
+
+    return spark.range(1, numPartitions=1).mapInPandas(copy, "bytes bigint").first().bytes
+
+
 def write_split(df: DataFrame, by: str, folder: str) -> None:
     """Parquet with one file for each value of a column.
 

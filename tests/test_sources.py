@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import gzip
 import sqlite3
 from decimal import Decimal
@@ -495,6 +496,29 @@ def test_files_by_value_are_written_without_a_sort(spark, tmp_path):
     assert len(got.inputFiles()) == 7 and got.count() == 1000
 
 
+def test_parts_become_one_file_in_their_order(spark, tmp_path):
+    from tableprobe.testing import join_files
+
+    spark.range(999, -1, -1).selectExpr("cast(id as string)", "id AS n").repartitionByRange(5, "n").sortWithinPartitions("n").select("id").write.text(f"{tmp_path}/parts")
+    size = join_files(spark, f"{tmp_path}/parts", f"{tmp_path}/one/a.txt")
+    assert (tmp_path / "one/a.txt").read_text() == "".join(f"{i}\n" for i in range(1000))
+    assert size == (tmp_path / "one/a.txt").stat().st_size
+
+
+def test_lines_are_not_sorted_to_find_headers(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "cast(id AS string) AS t").write.csv(f"{tmp_path}/c", header=True)
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsList().size()
+    assert read_csv(spark, f"{tmp_path}/c").count() == 1000
+    bus.waitUntilEmpty(30_000)
+    found = store.executionsList()
+    plans = [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+    partial = r"\(\d+\) (\w+)[^\n]*\nInput[^\n]*\nKeys[^\n]*\nFunctions[^\n]*\[partial_min_by"
+    assert {kind for plan in plans for kind in re.findall(partial, plan)} == {"ObjectHashAggregate"}
+
+
 def test_query_of_files_names_tables_in_folders(spark, tmp_path):
     import __spark_entry__ as catalog
 
