@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import buffers, saved
+from tableprobe.llm.common import buffers, saved, tidy
 
 #: Bytes of text in a block, and names in a bucket. A document is never cut.
 BLOCK_BYTES, BUCKET_NAMES = 2 << 20, 1 << 20
@@ -77,7 +77,7 @@ def make_blocks(rows: DataFrame, label: str) -> DataFrame:
 
     Rows keep their order, so that of a range-sorted frame gives block numbers in the same order.
     """
-    return saved(rows.mapInArrow(_cut, BLOCK_SCHEMA), label)
+    return saved(rows.mapInArrow(tidy(_cut), BLOCK_SCHEMA), label)
 
 
 # names on the wire -----------------------------------------------------------------------
@@ -241,7 +241,7 @@ def blocks_in(batches: Iterator[pa.RecordBatch]):
 def exchange(blocks: DataFrame, send: Send, names: int, label: str) -> DataFrame:
     """The replies to what `send` makes of every block; `names`: about how many there are, from counts."""
     buckets = max(1, math.ceil(names / BUCKET_NAMES))
-    sent = blocks.mapInArrow(_sender(send, buckets), _SENT)
+    sent = blocks.mapInArrow(tidy(_sender(send, buckets)), _SENT)
     return saved(sent.groupBy("bucket", "channel").applyInArrow(_answer, _REPLY), label)
 
 

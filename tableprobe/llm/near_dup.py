@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import Words, mix, prepare, saved, shingles
+from tableprobe.llm.common import Words, mix, prepare, saved, shingles, tidy
 from tableprobe.llm.components import connected_components
 
 HASHES = 128
@@ -347,7 +347,7 @@ def _branched(entries: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     if depth in DOUBLED:
         entries = entries.select(F.explode(F.array("node", F.xxhash64("node", F.lit("again")))).alias("node"), "key", "n")
     entries = entries.join(classes.select("key", "sketch"), "key").select("node", "key", "n", "sketch")
-    return saved(entries.mapInArrow(_deepen, _DEEPER), "nodes")
+    return saved(entries.mapInArrow(tidy(_deepen), _DEEPER), "nodes")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -359,7 +359,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _leaves(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Entries (node, key) of all small nodes, of the parts of dense ones, and of the dense ones; and the depth reached."""
-    entries = saved(classes.select("key", "sketch").mapInArrow(_planter(trees, 2), _ENTRY), "nodes")
+    entries = saved(classes.select("key", "sketch").mapInArrow(tidy(_planter(trees, 2)), _ENTRY), "nodes")
     entries = entries.withColumn("above", F.lit(None).cast("long"))
     leaves, cut, pieces = [], [], []
     for depth in range(2, _DEEPEST):
@@ -432,7 +432,7 @@ def near_duplicates(
     from tableprobe.llm.exchange import empty_like
 
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(_SKETCH).fields])
-    sketches = saved(rows.mapInArrow(_sketcher(size, empty_like(schema)), schema), "sketches")
+    sketches = saved(rows.mapInArrow(tidy(_sketcher(size, empty_like(schema))), schema), "sketches")
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
     classes = saved(classes.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "classes")
     leaves, parts, cut, depth = _leaves(classes, trees)
@@ -442,17 +442,17 @@ def near_duplicates(
         return entries.repartition("node").sortWithinPartitions("node")
 
     members = leaves.unionByName(parts).join(classes.select("key", "sketch"), "key")
-    pairs = saved(by_node(members).mapInArrow(_pairs, _PAIR).distinct(), "pairs")
+    pairs = saved(by_node(members).mapInArrow(tidy(_pairs), _PAIR).distinct(), "pairs")
 
     def sets_for(keys: DataFrame) -> DataFrame:
         wanted = keys.distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"))
-        found = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_setter(size), "key binary, names binary")
+        found = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(tidy(_setter(size)), "key binary, names binary")
         return saved(found.dropDuplicates(["key"]), "sets")
 
     sets = sets_for(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
     sided = pairs.join(sets.select(F.col("key").alias("a"), F.col("names").alias("of_a")), "a")
     sided = sided.join(sets.select(F.col("key").alias("b"), F.col("names").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
-    links = sided.mapInArrow(_confirmer(percent), _PAIR)
+    links = sided.mapInArrow(tidy(_confirmer(percent)), _PAIR)
     reps = classes.select("key", "rep")
     links = links.join(reps.select(F.col("key").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("key").alias("b"), F.col("rep").alias("v")), "b")
     links = saved(links.select("u", "v"), "links")
@@ -461,13 +461,13 @@ def near_duplicates(
     ids = saved(ids, "roots")
 
     open_groups = _meetings(leaves, cut, ids, classes, depth).distinct()
-    suspects = by_node(open_groups.join(ids.select("key", "root", "sketch"), "key")).mapInArrow(_suspects, _ENTRY)
+    suspects = by_node(open_groups.join(ids.select("key", "root", "sketch"), "key")).mapInArrow(tidy(_suspects), _ENTRY)
     suspects = saved(suspects, "suspects")
     if not suspects.isEmpty():
         full = sets.unionByName(sets_for(suspects.select("key").join(sets.select("key"), "key", "left_anti")))
         met = suspects.join(ids.select("key", "root", "rep"), "key").join(full, "key")
         link = T.StructType([T.StructField(name, classes.schema["rep"].dataType) for name in ("u", "v")])
-        more = by_node(met.select("node", "root", "rep", "names")).mapInArrow(_linker(percent, empty_like(link)), link)
+        more = by_node(met.select("node", "root", "rep", "names")).mapInArrow(tidy(_linker(percent, empty_like(link))), link)
         roots = connected_components(links.unionByName(saved(more, "links")))
     found = sketches.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
     found = found.join(roots, F.col("rep") == F.col("node"), "left")

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import Spans, buffers, prepare
+from tableprobe.llm.common import Spans, buffers, prepare, tidy
 from tableprobe.llm.exchange import Answer, blocks_in, empty_like, exchange, make_blocks, with_replies
 
 #: Perfect difference sets, by modulus.
@@ -197,4 +197,4 @@ def remove_repeats(
     windows = exchange(with_replies(blocks, tuples), second, total // 3, "suffix-windows")
     schema = T.StructType([rows.schema["row"], *RESULT.fields])
     joined = with_replies(blocks, tuples, windows)
-    return joined.mapInArrow(_finish(size, bits, whole_characters, empty_like(schema)), schema)
+    return joined.mapInArrow(tidy(_finish(size, bits, whole_characters, empty_like(schema))), schema)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableprobe.llm.common import Words, buffers, pieces, prepare, saved
+from tableprobe.llm.common import Words, buffers, pieces, prepare, release, saved, tidy
 
 POSITIVES, NEGATIVES, LONGEST, SAMPLE_BYTES = 2500, 5500, 200_000, 64_000_000
 BUCKETS, SIZE, AFFIX = 1 << 15, 8, 5
@@ -317,14 +317,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_column=
     ids = spark.createDataFrame(chosen, T.StructType([own.schema["id"], own.schema["label"]]))
     # at most POSITIVES + NEGATIVES ids, and one row of each
     sample = rows.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text", "lang")).alias("text"))
-    sample = sample.select("label", "text").mapInArrow(_featured, "label int, words binary")
+    sample = sample.select("label", "text").mapInArrow(tidy(_featured), "label int, words binary")
     sample = sample.toArrow().sort_by([("label", "ascending"), ("words", "ascending")]).combine_chunks()
     words, first = buffers(sample.column("words"))
     words, first = np.ascontiguousarray(words.view(np.uint16).reshape(-1, 3).T).astype(np.int32), first // 6
     model = fit(words, first, sample.column("label").to_numpy().astype(np.int64))
 
     # languages from all rows that have one, thresholds from all labelled ones that were not fitted on
-    counted = rows.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_word_counts, "lang string, bucket int, n long")
+    counted = rows.where("lang IS NOT NULL").select("lang", "text").mapInArrow(tidy(_word_counts), "lang string, bucket int, n long")
     counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = counted.column("lang").to_pylist()
     known = sorted(set(langs))
@@ -340,7 +340,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_column=
         left = total
     bins = np.zeros((len(known) + 1, 2, 2 * RANGE * BINS))
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("guess int, bin int").fields])
-    binned = rows.where("id IS NOT NULL").select("id", "text").mapInArrow(_binner(spark.sparkContext.broadcast(model)), schema)
+    binned = rows.where("id IS NOT NULL").select("id", "text").mapInArrow(tidy(_binner(spark.sparkContext.broadcast(model))), schema)
     for r in binned.join(own.select("id", "label"), "id").groupBy("guess", "label", "bin").agg(F.count("*").alias("n")).collect():
         bins[r.guess, r.label, r.bin] = r.n
     _set_thresholds(model, bins, (total[0] / left[0]) / (total[1] / left[1]))
@@ -353,6 +353,8 @@ def toxicity(text: Column | str, model: Model, spark) -> Column:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(predict(shared.value, texts.cast(pa.binary())), pa.float64())
+        scores = pa.array(predict(shared.value, texts.cast(pa.binary())), pa.float64())
+        release()
+        return scores
 
     return scored(text)

@@ -97,3 +97,11 @@ def test_registered(spark):
 
     names = [n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")]
     assert len(names) == 14 and sorted(queries.QUERIES) == sorted(n for n in names if n != "pipeline")
+
+
+def test_steps_give_memory_back_when_they_end(monkeypatch):
+    from tableprobe.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and calls == [1]
