@@ -335,6 +335,21 @@ def test_long_partitions_become_several_workbooks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(i, i + 1) for i in range(25)]
 
 
+def test_unlike_workbooks_of_bounded_size_are_one_table(spark, sf, tmp_path, monkeypatch):
+    """Many workbooks in two orders of columns, none with more rows than a workbook may have, lose and mix up nothing."""
+    import __spark_entry__ as catalog
+    from tableprobe import testing
+
+    monkeypatch.setattr(testing, "WORKBOOK_ROWS", 100)
+    monkeypatch.setattr(catalog, "scratch_dir", lambda spark, label: f"{tmp_path}/{label}")
+    got = catalog.queries()["workbook_ingest_unlike_files"](spark, sf).collect()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_orderdate", F.col("o_orderdate").cast("string")).collect()
+    orders.sort(key=lambda r: (r.o_orderkey % 2, r.o_orderkey))
+    assert sorted(map(tuple, got), key=lambda r: r[-1]) == [(*r, i) for i, r in enumerate(orders, 1)]
+    books = read_cells(spark, f"{tmp_path}/workbooks").filter("row > 1").groupBy("path").agg(F.count_distinct("row").alias("rows")).collect()
+    assert max(b.rows for b in books) <= 100 and sum(b.rows for b in books) == len(orders)
+
+
 def test_rows_of_a_worksheet_are_not_held(tmp_path):
     import tracemalloc
     import zipfile
