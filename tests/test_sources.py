@@ -335,6 +335,33 @@ def test_long_partitions_become_several_workbooks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(i, i + 1) for i in range(25)]
 
 
+def test_rows_of_a_partition_are_not_held(spark, tmp_path, monkeypatch):
+    """A writer's memory is that of a batch of rows, however many a partition has."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def frames():
+        for start in range(0, 60_000, 1_000):
+            ids = range(start, start + 1_000)
+            yield pd.DataFrame({"id": ids, "name": [f"name of row {i}" for i in ids]})
+
+    def here(task, schema):
+        """The task in this process, where its memory can be traced."""
+        return SimpleNamespace(count=lambda: len(list(task(frames()))))
+
+    tracemalloc.start()
+    assert write_workbooks(SimpleNamespace(mapInPandas=here), f"{tmp_path}/books", "S") == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    assert read_workbook(spark, f"{tmp_path}/books").agg(F.count("name"), F.sum("id")).first()[:] == (60_000, sum(range(60_000)))
+
+
 def test_unlike_workbooks_of_bounded_size_are_one_table(spark, sf, tmp_path, monkeypatch):
     """Many workbooks in two orders of columns, none with more rows than a workbook may have, lose and mix up nothing."""
     import __spark_entry__ as catalog
